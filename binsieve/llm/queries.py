@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from binsieve.llm import toxicity
 from binsieve.llm.bpe_automaton import bpe_round_trip
 from binsieve.llm.common import table
+from binsieve.llm.pii import find_pii
+from binsieve.llm.simhash import simhash_components
 from binsieve.llm.token_counts import token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,5 +23,18 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts)}
+def op8_simhash(spark, sf_dir):
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+
+
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op8_simhash, op9_toxicity, op10_pii)}
 ORACLES: dict[str, str] = {}
