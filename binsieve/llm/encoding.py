@@ -19,7 +19,7 @@ from binsieve.llm import words
 from binsieve.llm.common import steps
 
 #: Words kept in a worker's cache, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+CACHE_WORDS, CACHE_CHARS = 1_000_000, 48
 
 
 def packed(ids: list[int]) -> bytes:

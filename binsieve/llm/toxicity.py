@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,9 @@ LABEL_ROWS = 20_000
 #: Lengths of the word beginnings that may stand in the lexicon, besides whole words.
 STEMS = (4, 5, 6)
 #: A lexicon entry is in this share of the toxic rows at least, and so many times likelier there than elsewhere.
-SUPPORT, ODDS, LEAST_ROWS = 0.004, 8.0, 6
+SUPPORT, ODDS, LEAST_ROWS = 0.01, 8.0, 8
+#: Different words that an entry comes after in toxic rows, or half as many as it has rows.
+CONTEXTS = 10
 #: Words for which a negation stays in force.
 NEGATED_WORDS = 3
 
@@ -39,12 +41,20 @@ THREATS = frozenset("kill hurt destroy beat burn shoot stab punch murder hang bo
 # End of fixed values.
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
-_MARKS = dict.fromkeys(map(ord, '"“”„«»,()[]{}<>*&%$#|=+/\\_~`'), " ")
+_MARKS = b'.!?;:",()[]{}<>*&%$#|=+/\\_~`'
+_TO_SPACE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
+_QUOTES = "“”„«»"
 PATTERNS = ("insult", "targeted", "negated", "reported", "threat")
+#: First letters by which a word is looked up: as many as the shortest beginning has.
+HEAD = min(STEMS)
 
 
-def words_of(clause: str) -> list[str]:
-    return clause.translate(_MARKS).split()
+def split_words(text: str) -> list[str]:
+    """Words between white space and marks."""
+    if not text.isascii():
+        for c in _QUOTES:
+            text = text.replace(c, " ")
+    return text.encode("utf-8", "replace").translate(_TO_SPACE).decode().split()
 
 
 def entries(word: str) -> list[str]:
@@ -62,8 +72,7 @@ class Grammar:
 
     def prepare(self) -> Grammar:
         """The first letters of everything that can start a match: a word without them has no arc."""
-        short = min(3, *STEMS)
-        self.heads = frozenset(x[:short] for x in [*self.lexicon, *THREATS])
+        self.heads = frozenset(x.rstrip("*")[:HEAD] for x in [*self.lexicon, *THREATS])
         return self
 
     def insult(self, word: str) -> float:
@@ -72,7 +81,7 @@ class Grammar:
 
     def clause(self, clause: str, found: dict[str, list[float]]) -> None:
         """Run the composed transducers over one clause; matched patterns and weights go to found."""
-        marks = words_of(clause)
+        marks = split_words(clause)
         target = not TARGETS.isdisjoint(marks)
         negated, reported = 0, False
         for word in marks:
@@ -90,11 +99,10 @@ class Grammar:
         """For each pattern, how many matches and their weight, damped, and an intercept."""
         found: dict[str, list[float]] = {k: [] for k in PATTERNS}
         low = text.lower()
-        heads, short = self.heads, min(3, *STEMS)
-        plain = low.translate(_SPLIT) if low.isascii() else _NOT_WORD.sub(" ", low)
-        if any(w[:short] in heads for w in plain.split()):
+        heads = self.heads
+        if not heads.isdisjoint([w[:HEAD] for w in split_words(low)]):
             for clause in _CLAUSE.split(low):
-                if any(w[:short] in heads for w in words_of(clause)):
+                if not heads.isdisjoint([w[:HEAD] for w in split_words(clause)]):
                     self.clause(clause, found)
         row = [1.0]
         for k in PATTERNS:
@@ -109,10 +117,6 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-_SPLIT = str.maketrans(dict.fromkeys('.!?;:\n"“”„«»,()[]{}<>*&%$#|=+/\\_~`', " "))
-_NOT_WORD = re.compile(r"[.!?;:\n\"“”„«»,()\[\]{}<>*&%$#|=+/\\_~`]+")
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the intercept is not shrunk."""
     w = np.zeros(x.shape[1])
@@ -141,17 +145,28 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) ->
 
 
 def _count_entries(batches):
-    """Documents that have each entry, by label, counted before they leave the worker."""
-    held: Counter = Counter()
+    """Documents that have each entry, by label, and as a bit set the words it came after; added up before they leave the worker."""
+    held: dict[tuple[str, int], list[int]] = {}
 
     def out():
         keys = list(held)
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["entry", "toxic", "n"])
+        after = np.array([x[1] for x in held.values()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([y for _, y in keys], pa.int32()), pa.array([x[0] for x in held.values()], pa.int64()), pa.array(after)], names=["entry", "toxic", "n", "after"])
 
     for batch in batches:
         for text, toxic in zip(texts_of(batch, "text"), batch.column("toxic").to_pylist()):
-            words = set(_NOT_WORD.sub(" ", text.lower()).split())
-            held.update((e, toxic) for e in {e for w in words for e in entries(w)})
+            words = split_words(text.lower())
+            mine: dict[str, int] = {}
+            for before, word in zip(["", *words], words):
+                bit = 1 << (zlib.crc32(before.encode()) & 63)
+                for e in entries(word):
+                    mine[e] = mine.get(e, 0) | bit
+            for e, bits in mine.items():
+                if (x := held.get((e, toxic))) is None:
+                    held[e, toxic] = [1, bits]
+                else:
+                    x[0] += 1
+                    x[1] |= bits
             if len(held) > 1_000_000:
                 yield out()
                 held.clear()
@@ -170,10 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Grammar:
         empty.weights = np.append(math.log(share / (1 - share)) if share else -40.0, np.zeros(len(empty.features("")) - 1))
         return empty
     least = max(LEAST_ROWS, math.ceil(SUPPORT * bad))
-    counts = train.mapInArrow(_count_entries, "entry string, toxic int, n bigint").groupBy("entry")
-    counts = counts.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
-    # At most (entries of a row) / SUPPORT entries can reach this support, however many rows there are.
-    chosen = counts.where(F.col("bad") >= least).where((F.col("bad") + 0.5) / (bad + 1) >= ODDS * (F.col("good") + 0.5) / (good + 1)).collect()
+    bad_rows, good_rows = F.col("toxic") == 1, F.col("toxic") == 0
+    counts = train.mapInArrow(_count_entries, "entry string, toxic int, n bigint, after bigint").groupBy("entry")
+    counts = counts.agg(F.sum(F.when(bad_rows, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(good_rows, F.col("n")).otherwise(0)).alias("good"), F.bit_count(F.bit_or(F.when(bad_rows, F.col("after")).otherwise(F.lit(0).cast("bigint")))).alias("contexts"))
+    # At most (entries of a row) / SUPPORT entries can reach this support, however many rows there are. A word that
+    # copies of one text share always comes after the same words; an insult comes after many.
+    often = (F.col("bad") >= least) & (F.col("contexts") >= F.least(F.lit(CONTEXTS), F.col("bad") / 2))
+    chosen = counts.where(often).where((F.col("bad") + 0.5) / (bad + 1) >= ODDS * (F.col("good") + 0.5) / (good + 1)).collect()
     grammar = Grammar({r["entry"]: math.log((r["bad"] + 0.5) / (bad + 1)) - math.log((r["good"] + 0.5) / (good + 1)) for r in chosen}).prepare()
 
     def rows_of(batches):
