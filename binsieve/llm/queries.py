@@ -7,9 +7,11 @@ import public_tokenizers
 from binsieve.llm import toxicity
 from binsieve.llm.bpe_automaton import bpe_round_trip
 from binsieve.llm.common import table
+from binsieve.llm.packing import pack_documents
 from binsieve.llm.pii import find_pii
 from binsieve.llm.simhash import simhash_components
 from binsieve.llm.token_counts import token_counts
+from binsieve.llm.token_files import token_files_round_trip
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +25,14 @@ def op3_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024)
 
 
+def op5_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=1024, end_id=2)
+
+
+def op6_token_files(spark, sf_dir):
+    return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=2)
+
+
 def op8_simhash(spark, sf_dir):
     return simhash_components(table(spark, sf_dir, "documents"), shingle=4, radius=4)
 
@@ -36,5 +46,5 @@ def op10_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op8_simhash, op9_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op5_packing, op6_token_files, op8_simhash, op9_toxicity, op10_pii)}
 ORACLES: dict[str, str] = {}
