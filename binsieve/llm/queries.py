@@ -10,6 +10,7 @@ from binsieve.llm import toxicity
 from binsieve.llm.bpe_automaton import bpe_round_trip
 from binsieve.llm.common import table
 from binsieve.llm.imatch import imatch_edits
+from binsieve.llm.media import media_round_trip
 from binsieve.llm.packing import pack_documents
 from binsieve.llm.pii import find_pii
 from binsieve.llm.simhash import simhash_components
@@ -22,6 +23,10 @@ WORD_BPE = "word_bpe_49k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_media(spark, sf_dir):
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_round_trip(spark, sf_dir):
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -60,7 +65,7 @@ def op10_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op3_token_counts, op4_imatch, op5_packing, op6_token_files, op7_url_rules, op8_simhash, op9_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_bpe_round_trip, op3_token_counts, op4_imatch, op5_packing, op6_token_files, op7_url_rules, op8_simhash, op9_toxicity, op10_pii)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLES: dict[str, str] = {
