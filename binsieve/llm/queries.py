@@ -6,6 +6,7 @@ import string
 
 import public_tokenizers
 
+import corpus_pipeline
 from binsieve.llm import toxicity
 from binsieve.llm.bpe_automaton import bpe_round_trip
 from binsieve.llm.common import table
@@ -65,7 +66,7 @@ def op10_pii(spark, sf_dir):
     return find_pii(table(spark, sf_dir, "documents")).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_bpe_round_trip, op3_token_counts, op4_imatch, op5_packing, op6_token_files, op7_url_rules, op8_simhash, op9_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_bpe_round_trip, op3_token_counts, op4_imatch, op5_packing, op6_token_files, op7_url_rules, op8_simhash, op9_toxicity, op10_pii)} | {"pipeline": corpus_pipeline.run}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLES: dict[str, str] = {

@@ -46,6 +46,26 @@ def simhash(text: str, shingle: int) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
+def shingle_sketch(text: str, shingle: int, size: int) -> bytes:
+    """The ``size`` smallest distinct 32-bit shingle hashes in order: all of them, where there are no more."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    digest = xxhash.xxh32_intdigest
+    found = {digest(b" ".join(words[i : i + shingle]), 7) for i in range(n)}
+    return np.sort(np.fromiter(found, "<u4", len(found)))[:size].tobytes()
+
+
+def resemblance(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of two shingle sets by their sketches; exact where both sketches hold whole sets."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    union = np.union1d(x, y)
+    if len(x) >= size or len(y) >= size:
+        union = union[:size]
+    return np.isin(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True).sum() / len(union)
+
+
 def fingerprints(df: DataFrame, shingle: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, fp) of each row; fp is the 64-bit fingerprint as a signed long. No shuffle."""
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -83,10 +103,17 @@ def chains(radius: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each run of equal ``groups``, as pairs of fingerprints."""
+def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each run of equal ``groups``, as pairs of fingerprints.
+
+    Runs of at most ``every`` rows give all their links instead.
+    """
     n = len(fps)
     parent = np.arange(n)
+    change = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    short = np.repeat(np.diff(np.append(change, n)) <= every, np.diff(np.append(change, n)))
+    more: list[np.ndarray] = [np.zeros(0, fps.dtype)]
+    other: list[np.ndarray] = [np.zeros(0, fps.dtype)]
     begin, d = np.arange(n - 1), 1
 
     def find(i):
@@ -98,13 +125,17 @@ def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests)
     while len(begin):
         begin = begin[begin + d < n]
         begin = begin[groups[begin] == groups[begin + d]]
-        pairs = begin[parent[begin] != parent[begin + d]]
+        pairs = begin[short[begin] | (parent[begin] != parent[begin + d])]
         differ = fps[pairs] ^ fps[pairs + d]
         keep = np.ones(len(pairs), bool)
         for masks, budget in tests:
             keep[keep] = np.bitwise_count(differ[keep] & masks[starts[pairs[keep]]]) <= budget
         joined = False
-        for i in pairs[keep].tolist():
+        pairs = pairs[keep]
+        all_of = pairs[short[pairs]]
+        more.append(fps[all_of])
+        other.append(fps[all_of + d])
+        for i in pairs[~short[pairs]].tolist():
             a, b = find(i), find(i + d)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -115,10 +146,10 @@ def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests)
             parent = flat
         d += 1
     off = np.flatnonzero(parent != np.arange(n))
-    return fps[off], fps[parent[off]]
+    return np.concatenate([*more, fps[off]]), np.concatenate([*other, fps[parent[off]]])
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
+def links(distinct: DataFrame, radius: int, every: int = 0) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that connect exactly what links connect.
 
     Within a bucket of fingerprints that share a key, a spanning forest of its links stands for all
@@ -162,7 +193,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def found(keys, fps):
-            a, b = _linked_rows(keys, fps.view(np.uint64), (keys & 7).astype(np.int64), tests)
+            a, b = _linked_rows(keys, fps.view(np.uint64), (keys & 7).astype(np.int64), tests, every)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
@@ -179,6 +210,15 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+def _named(firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, name) of every distinct fingerprint: the smallest ``first`` that edges (u, v) reach."""
+    roots = written(components(edges), "roots")
+    known = roots.join(firsts.select("fp", "first"), roots["node"] == firsts["fp"]).select("node", "root", "first")
+    smallest = written(known.groupBy("root").agg(F.min("first").alias("name")), "component-names")
+    named = written(roots.join(smallest, "root").select(F.col("node").alias("fp"), "name"), "named")
+    return written(firsts.select("fp", "first").join(named, "fp", "left").select("fp", F.coalesce("name", "first").alias("name")), "labels")
+
+
 def simhash_components(df: DataFrame, shingle: int = 5, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprint and component of every row: (id column, ``fingerprint``, ``component_id``).
 
@@ -190,11 +230,64 @@ def simhash_components(df: DataFrame, shingle: int = 5, radius: int = 4, id_colu
     """
     held = written(fingerprints(df, shingle, id_column, text_column), "fingerprints")
     firsts = written(held.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    edges = written(links(firsts.select("fp"), radius), "links")
-    roots = written(components(edges), "roots")
-    named = roots.join(firsts, roots["node"] == firsts["fp"]).select("node", "root", "first")
-    smallest = written(named.groupBy("root").agg(F.min("first").alias("name")), "component-names")
-    named = written(roots.join(smallest, "root").select(F.col("node").alias("fp"), "name"), "named")
-    labels = written(firsts.join(named, "fp", "left").select("fp", F.coalesce("name", "first").alias("component_id")), "labels")
+    labels = _named(firsts, written(links(firsts.select("fp"), radius), "links"))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return held.join(labels, "fp").select(F.col("id").alias(id_column), shown.alias("fingerprint"), "component_id")
+    return held.join(labels, "fp").select(F.col("id").alias(id_column), shown.alias("fingerprint"), F.col("name").alias("component_id"))
+
+
+#: Shingle hashes in a sketch, and the largest bucket whose links are all tested.
+SKETCH, TESTED = 128, 32
+
+
+def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "text", shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """(key, name) of every row: ``name`` is the smallest key of its group of near copies.
+
+    Fingerprints within ``radius`` bits are candidates, as in ``simhash_components``; a candidate
+    stands if the two texts' shingle sets are alike by ``similarity`` or more, which is exact for
+    texts of up to ``SKETCH`` distinct shingles and estimated from that many hashes beyond. Texts of
+    equal fingerprints are copies. Groups are closed under links. Keys may be of any type that has an
+    order, structs included.
+    """
+    source = df.select(F.col(key_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            texts = texts_of(batch, "text")
+            found = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found), pa.array([shingle_sketch(t, shingle, SKETCH) for t in texts], pa.binary())], names=["id", "fp", "sketch"])
+
+    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp bigint, sketch binary"), "sketches")
+    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch")), "distinct-sketches")
+    near = links(firsts.select("fp"), radius, every=TESTED).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    side = lambda x: firsts.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+    pairs = written(near, "candidates").join(side("u"), "u").join(side("v"), "v")
+
+    def test(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("u_sketch", "v_sketch"))
+            keep = pa.array([resemblance(x, y, SKETCH) >= similarity for x, y in zip(a, b)], pa.bool_())
+            yield batch.select(["u", "v"]).filter(keep)
+
+    labels = _named(firsts, written(pairs.mapInArrow(test, "u bigint, v bigint"), "near-links"))
+    return held.select("id", "fp").join(labels, "fp").select(F.col("id").alias(key_column), "name")
+
+
+def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """Keep one row of each group of near copies: the one of the smallest (id, hash of the text).
+
+    All columns are kept. A null id is smaller than any other. Of rows that have the same id and text,
+    one stays, found by a map-side aggregation.
+    """
+    names = df.columns
+    keyed = df.withColumn("_key", F.struct(F.col(id_column), F.xxhash64(F.col(text_column))))
+    groups = written(near_duplicate_groups(keyed, "_key", text_column, **options), "near-groups")
+    dropped = groups.where(~F.col("_key").eqNullSafe(F.col("name"))).select("_key").distinct()
+    again = written(groups.where(F.col("_key").eqNullSafe(F.col("name"))).groupBy("_key").count().where("count > 1").select("_key"), "repeated-rows")
+    parts = lambda x: x.select(F.col(f"_key.{id_column}").alias("_id"), F.col("_key.col2").alias("_hash"))
+    left = df.withColumn("_hash2", F.xxhash64(F.col(text_column)))
+    match = lambda x: F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash2") == F.col("_hash"))
+    kept = left.join(parts(dropped), match(dropped), "left_anti")
+    if again.isEmpty():
+        return kept.select(names)
+    repeated = kept.join(parts(again), match(again), "left_semi").groupBy(id_column, "_hash2").agg(F.min(F.struct(names)).alias("row")).select("row.*")
+    return kept.join(parts(again), match(again), "left_anti").select(names).unionByName(repeated.select(names))

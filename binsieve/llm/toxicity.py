@@ -222,3 +222,15 @@ def score_toxicity(df: DataFrame, grammar: Grammar, id_column: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[id_column, "held_out", "score", "predicted"])
 
     return source.mapInArrow(run, f"`{id_column}` {source.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def reject_toxic(df: DataFrame, grammar: Grammar, text_column: str = "text") -> DataFrame:
+    """The rows whose text scores below 0.5, with all their columns."""
+    model = df.sparkSession.sparkContext.broadcast(grammar)
+
+    def run(batches):
+        own = model.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < 0.5 for t in texts_of(batch, text_column)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
