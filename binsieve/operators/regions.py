@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 BITS = 64
 
 
-def word_of(rid: Column) -> list[Column]:
-    return [F.floor(rid / BITS).cast("bigint").alias("word_idx"), F.expr("1L").alias("one")]
-
-
 def words(df: DataFrame, rid: str, region: str = "region_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Word table of (region, rid) rows; partial words are combined before the shuffle."""
     position = F.pmod(F.col(rid), F.lit(BITS)).cast("int")
