@@ -5,11 +5,506 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from binsieve.functions import bits
+from binsieve.functions.binning import Cast, Explicit, Precision, Sigbits
+from binsieve.operators import regions, tools
+from binsieve.operators.column_engine import ColumnEngine
+from binsieve.operators.index import Index, build_index
+from binsieve.operators.index_engine import IndexEngine
+from binsieve.plans.encoding import ENCODINGS
+from binsieve.plans.terms import AndNot, Constraint, Or, Query, Xor, parse
+from binsieve.sources.datasets import chunk_of, linear_ranges, subvolume
+from binsieve.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+PRICES = (5_000.0, 20_000.0, 50_000.0, 75_000.0, 100_000.0, 150_000.0, 200_000.0, 300_000.0, 400_000.0)
+PRIORITIES = ("1-URGENT", "3-MEDIUM", "5-LOW")
+ODD_SIZES = (1, 4, 9, 16, 25, 36, 49)
+PART_SIZE = 1000
+
+
+def query(sql: str | None = None):
+    """Register a query, with its oracle if SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Binning ---------------------------------------------------------------------------------------
+
+
+@query("SELECT (p_size::BIGINT & 4294967295) >> 2 AS bin_key, count(*) AS n FROM part GROUP BY 1")
+def bin_sigbits_int(spark, sf_dir):
+    return ColumnEngine(_table(spark, sf_dir, "part"), {"p_size": Sigbits(30, "int32")}, "p_partkey").bin_keys("p_size")
+
+
+_DOUBLE_KEY = """CASE WHEN c_acctbal = 0 THEN 0 ELSE
+    (CASE WHEN c_acctbal < 0 THEN 32768 ELSE 0 END) + (e + 1023) * 16 + floor((abs(c_acctbal) / pow(2.0, e) - 1) * 16)::BIGINT END"""
+_DOUBLE_FROM = """(SELECT c_acctbal, g - CASE WHEN pow(2.0, g) > abs(c_acctbal) THEN 1 ELSE 0 END + CASE WHEN pow(2.0, g + 1) <= abs(c_acctbal) THEN 1 ELSE 0 END AS e
+    FROM (SELECT c_acctbal, floor(log2(CASE WHEN c_acctbal = 0 THEN 1 ELSE abs(c_acctbal) END))::BIGINT AS g FROM customer WHERE c_acctbal IS NOT NULL))"""
+
+
+@query(f"SELECT {_DOUBLE_KEY} AS bin_key, count(*) AS n FROM {_DOUBLE_FROM} GROUP BY 1")
+def bin_sigbits_double(spark, sf_dir):
+    return ColumnEngine(_table(spark, sf_dir, "customer"), {"c_acctbal": Sigbits(16, "float64")}, "c_custkey").bin_keys("c_acctbal")
+
+
+@query(f"SELECT bin_key, row_number() OVER (ORDER BY CASE WHEN bin_key >= 32768 THEN 32767 - bin_key ELSE bin_key END) - 1 AS bin_no FROM (SELECT DISTINCT {_DOUBLE_KEY} AS bin_key FROM {_DOUBLE_FROM})")
+def bin_keys_order(spark, sf_dir):
+    own = Sigbits(16, "float64")
+    index = build_index(_table(spark, sf_dir, "customer"), "c_acctbal", "c_custkey", own)
+    return index.bins.select("bin_key", F.col("bin_no").cast("bigint").alias("bin_no"))
+
+
+_SIGNIFICANT = """CASE WHEN l_extendedprice = 0 THEN 0.0 ELSE sign(l_extendedprice) * CASE
+    WHEN s > 0 THEN floor(0.5 + pow(10.0, log10(abs(l_extendedprice)) - s)) * pow(10.0, s)
+    WHEN s < 0 THEN floor(0.5 + pow(10.0, log10(abs(l_extendedprice)) - s)) / pow(10.0, -s)
+    ELSE floor(0.5 + pow(10.0, log10(abs(l_extendedprice)))) END END"""
+
+
+@query(f"SELECT {_SIGNIFICANT} AS bin_key, count(*) AS n FROM (SELECT l_extendedprice, floor(log10(abs(l_extendedprice))) - 2 AS s FROM lineitem) GROUP BY 1")
+def bin_precision(spark, sf_dir):
+    return ColumnEngine(_table(spark, sf_dir, "lineitem"), {"l_extendedprice": Precision(3)}, "l_orderkey").bin_keys("l_extendedprice")
+
+
+def _case(column: str, bounds, lowest: str) -> str:
+    return "CASE " + " ".join(f"WHEN {column} >= {b!r} THEN {b!r}" for b in reversed(bounds)) + f" ELSE {lowest} END"
+
+
+@query(f"SELECT ({_case('o_totalprice', PRICES, '-1.7976931348623157e308')})::DOUBLE AS bin_key, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1")
+def bin_explicit_num(spark, sf_dir):
+    return ColumnEngine(_table(spark, sf_dir, "orders"), {"o_totalprice": Explicit(PRICES)}, "o_orderkey").bin_keys("o_totalprice")
+
+
+_PRIORITY_CASE = _case("o_orderpriority", PRIORITIES, "''")
+
+
+@query(f"SELECT {_PRIORITY_CASE} AS bin_key, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
+def bin_explicit_str(spark, sf_dir):
+    return ColumnEngine(_table(spark, sf_dir, "orders"), {"o_orderpriority": Explicit(PRIORITIES)}, "o_orderkey").bin_keys("o_orderpriority")
+
+
+@query("SELECT (o_totalprice::FLOAT::INTEGER & 2147483647) >> 12 AS bin_key, count(*) AS n FROM (SELECT trunc(o_totalprice) AS o_totalprice FROM orders) GROUP BY 1")
+def bin_cast(spark, sf_dir):
+    trunc = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").cast("float").alias("o_totalprice"))
+    return ColumnEngine(trunc, {"o_totalprice": Cast("int32", Sigbits(20, "int32"))}, "o_orderkey").bin_keys("o_totalprice")
+
+
+@query("""WITH v AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT value FROM events WHERE value IS NOT NULL)),
+    cuts AS (SELECT value FROM v WHERE r IN (SELECT k * n // 8 FROM range(1, 8) t(k)))
+    SELECT (SELECT count(*) FROM cuts WHERE cuts.value < e.value) AS bin_id, count(*) AS n FROM events e WHERE value IS NOT NULL GROUP BY 1""")
+def bin_equidepth(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    cuts = tools.equi_depth(events, "value", 8)
+    return events.where("value is not null").groupBy(tools.equi_depth_bin(F.col("value"), cuts).cast("bigint").alias("bin_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, dense_rank() OVER (ORDER BY p_size) - 1 AS bin_id FROM part")
+def bin_as_bids(spark, sf_dir):
+    return tools.dense_ids(_table(spark, sf_dir, "part"), "p_size").select("p_partkey", "bin_id")
+
+
+@query("SELECT p_partkey, (p_size::BIGINT & 4294967295) >> 4 AS truncated, xor(p_size::BIGINT & 4294967295, 2147483648) >> 4 AS conv2c, ((p_size::BIGINT & 4294967295) >> 4) << 4 AS zeroed FROM part")
+def tool_quantize_words(spark, sf_dir):
+    word = lambda mode: bits.transform_word(F.col("p_size"), mode, 28, 32)
+    return _table(spark, sf_dir, "part").select("p_partkey", word("truncate").alias("truncated"), word("conv2c").alias("conv2c"), word("zero").alias("zeroed"))
+
+
+# Ranges and Boolean queries by columns ------------------------------------------------------------
+
+
+def _orders(spark, sf_dir, mode="bins") -> ColumnEngine:
+    own = {"o_totalprice": Explicit(PRICES), "o_custkey": Sigbits(58, "int64"), "o_orderpriority": Explicit(PRIORITIES)}
+    return ColumnEngine(_table(spark, sf_dir, "orders"), own, "o_orderkey", mode=mode)
+
+
+_ORDER_KEYS = {"o_totalprice": f"({_case('o_totalprice', PRICES, '-1.7976931348623157e308')})", "o_custkey": "(o_custkey >> 6)", "o_orderpriority": f"({_PRIORITY_CASE})"}
+
+
+def _bound(var: str, value) -> str:
+    if var == "o_custkey":
+        return str(int(value) >> 6)
+    bounds = PRICES if var == "o_totalprice" else PRIORITIES
+    below = [b for b in bounds if b <= value]
+    return repr(below[-1]) if below else ("''" if var == "o_orderpriority" else "-1.7976931348623157e308")
+
+
+def _range_sql(var: str, lower=None, upper=None) -> str:
+    """The closed form of a constraint's bins."""
+    key = _ORDER_KEYS[var]
+    tests = []
+    if lower is not None:
+        tests.append(f"{key} >= (SELECT coalesce(max(CASE WHEN {key} <= {_bound(var, lower)} THEN {key} END), min({key})) FROM orders WHERE {var} IS NOT NULL)")
+    if upper is not None:
+        tests.append(f"{key} <= {_bound(var, upper)}")
+    return f"coalesce({var} IS NOT NULL AND " + " AND ".join(tests or ["true"]) + ", false)"
+
+
+def _rids_sql(condition: str) -> str:
+    return f"SELECT o_orderkey AS rid FROM orders WHERE {condition}"
+
+
+def _ranged(name: str, var: str, lower=None, upper=None):
+    def run(spark, sf_dir):
+        return _orders(spark, sf_dir).evaluate(Query.range(var, lower, upper))
+
+    run.__name__ = name
+    query(_rids_sql(_range_sql(var, lower, upper)))(run)
+
+
+_ranged("range_between", "o_totalprice", 60_000, 160_000)
+_ranged("range_lower", "o_totalprice", 200_000.0)
+_ranged("range_upper", "o_totalprice", None, 49_999.5)
+_ranged("range_candidate_gap", "o_custkey", 70, 100)
+_ranged("range_above_all", "o_custkey", 10**9)
+_ranged("range_below_all", "o_custkey", -(10**9), 200)
+_ranged("range_string", "o_orderpriority", "2-HIGH", "4-NOT SPECIFIED")
+_ranged("q_empty", "o_custkey", None, -100)
+_ranged("q_full", "o_custkey", -100)
+
+_A, _B, _C = ("o_totalprice", 50_000, 200_000), ("o_custkey", None, 500), ("o_custkey", 200, 900)
+_SQL = {k: _range_sql(*k) for k in (_A, _B, _C)}
+
+
+def _boolean(name: str, made: Query, condition: str):
+    def run(spark, sf_dir):
+        return _orders(spark, sf_dir).evaluate(made)
+
+    run.__name__ = name
+    query(_rids_sql(condition))(run)
+
+
+_a, _b, _c = (Query.range(*k) for k in (_A, _B, _C))
+_boolean("q_and", _a & _b, f"{_SQL[_A]} AND {_SQL[_B]}")
+_boolean("q_or", _a | _b, f"{_SQL[_A]} OR {_SQL[_B]}")
+_boolean("q_not", ~_a, f"NOT {_SQL[_A]}")
+_boolean("q_andnot", _a - _b, f"{_SQL[_A]} AND NOT {_SQL[_B]}")
+_boolean("q_xor", _a ^ _b, f"{_SQL[_A]} <> {_SQL[_B]}")
+_boolean("q_nary_or", Query(*(Constraint(*k) for k in (_A, _B, _C)), Or(3)), " OR ".join(_SQL.values()))
+_boolean("q_nary_xor", Query(*(Constraint(*k) for k in (_A, _B, _C)), Xor(3)), f"({_SQL[_A]} <> {_SQL[_B]}) <> {_SQL[_C]}")
+_boolean("q_nary_andnot", Query(*(Constraint(*k) for k in (_A, _B, _C)), AndNot(3)), f"{_SQL[_A]} AND NOT {_SQL[_B]} AND NOT {_SQL[_C]}")
+_boolean("q_nested_rpn", parse("50000<=o_totalprice<=200000 o_custkey<=500 and 200<o_custkey<900 NOT or"), f"({_SQL[_A]} AND {_SQL[_B]}) OR NOT {_SQL[_C]}")
+
+
+@query(f"SELECT count(*) AS n FROM orders WHERE {_SQL[_A]} AND NOT {_SQL[_B]}")
+def q_count(spark, sf_dir):
+    return _orders(spark, sf_dir).count(_a - _b)
+
+
+@query("SELECT o_orderkey AS rid FROM orders WHERE o_totalprice BETWEEN 50000 AND 200000 AND NOT (o_custkey <= 500)")
+def q_exact(spark, sf_dir):
+    return _orders(spark, sf_dir, "exact").evaluate(_a - _b)
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 OR NOT l_discount <= 0.05")
+def q_exact_scan(spark, sf_dir):
+    own = {"l_quantity": Explicit((0.0,)), "l_discount": Explicit((0.0,))}
+    made = Query.range("l_quantity", 10, 20) | ~Query.range("l_discount", None, 0.05)
+    return ColumnEngine(_table(spark, sf_dir, "lineitem"), own, "l_orderkey", mode="exact").select(made).select("l_orderkey", "l_partkey", "l_quantity")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until the column engine is in place."""
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    """Record ids of a nested Boolean query over binned columns."""
+    return QUERIES["q_nested_rpn"](spark, sf_dir)
+
+
+# Word tables --------------------------------------------------------------------------------------
+
+
+def _size_words(spark, sf_dir, lower, upper) -> DataFrame:
+    """The parts of some sizes as a region."""
+    part = _table(spark, sf_dir, "part").where(F.col("p_size").between(lower, upper)).withColumn("region_id", F.lit(0))
+    return regions.words(part, "p_partkey").select("word_idx", "word")
+
+
+def _part_spine(spark, sf_dir) -> DataFrame:
+    return regions.spine(_table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("size")), "size")
+
+
+_IN = "SELECT p_partkey AS rid FROM part WHERE "
+
+
+@query(_IN + "p_size BETWEEN 5 AND 20 OR p_size BETWEEN 15 AND 30")
+def rs_union(spark, sf_dir):
+    return regions.rids(regions.union(_size_words(spark, sf_dir, 5, 20), _size_words(spark, sf_dir, 15, 30)))
+
+
+@query(_IN + "p_size BETWEEN 15 AND 20")
+def rs_inter(spark, sf_dir):
+    return regions.rids(regions.intersect(_size_words(spark, sf_dir, 5, 20), _size_words(spark, sf_dir, 15, 30)))
+
+
+@query(_IN + "p_size BETWEEN 5 AND 14 AND NOT p_size BETWEEN 7 AND 9")
+def rs_diff(spark, sf_dir):
+    return regions.rids(regions.difference(_size_words(spark, sf_dir, 5, 20), _size_words(spark, sf_dir, 15, 30), _size_words(spark, sf_dir, 7, 9)))
+
+
+@query(_IN + "(p_size BETWEEN 5 AND 20) <> (p_size BETWEEN 15 AND 30)")
+def rs_symdiff(spark, sf_dir):
+    return regions.rids(regions.symdiff(_size_words(spark, sf_dir, 5, 20), _size_words(spark, sf_dir, 15, 30)))
+
+
+@query(_IN + "NOT p_size BETWEEN 5 AND 20")
+def rs_complement(spark, sf_dir):
+    return regions.rids(regions.complement(_size_words(spark, sf_dir, 5, 20), _part_spine(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_size BETWEEN 5 AND 20")
+def rs_count(spark, sf_dir):
+    return regions.count(_size_words(spark, sf_dir, 5, 20))
+
+
+@query("SELECT p_partkey + 1000000 AS rid FROM part WHERE p_size BETWEEN 5 AND 20")
+def rs_rids(spark, sf_dir):
+    return regions.rids(_size_words(spark, sf_dir, 5, 20), 1_000_000)
+
+
+@query("SELECT true AS equal")
+def rs_equal(spark, sf_dir):
+    twice = regions.complement(regions.complement(_size_words(spark, sf_dir, 5, 20), _part_spine(spark, sf_dir)), _part_spine(spark, sf_dir))
+    return regions.equal(twice, _size_words(spark, sf_dir, 5, 20))
+
+
+@query("SELECT p_partkey AS rid FROM part")
+def rs_uniform(spark, sf_dir):
+    return regions.rids(regions.uniform(_part_spine(spark, sf_dir), True))
+
+
+@query("SELECT p_partkey // 64 AS word_idx, bit_or(CASE WHEN p_partkey % 64 = 63 THEN -9223372036854775808 ELSE (1::BIGINT << (p_partkey % 64)::INTEGER) END) AS word FROM part WHERE p_size BETWEEN 5 AND 40 GROUP BY 1")
+def rep_bitmap_words(spark, sf_dir):
+    return _size_words(spark, sf_dir, 5, 40)
+
+
+_RUNS = "SELECT min(rid) AS start, count(*) AS len FROM (SELECT p_partkey AS rid, p_partkey - row_number() OVER (ORDER BY p_partkey) AS g FROM part WHERE p_size BETWEEN 5 AND 40) GROUP BY g"
+
+
+@query(_RUNS)
+def rep_wah_runs(spark, sf_dir):
+    return regions.runs(_size_words(spark, sf_dir, 5, 40))
+
+
+@query(_IN + "p_size BETWEEN 5 AND 40")
+def rep_from_runs(spark, sf_dir):
+    return regions.rids(regions.from_runs(regions.runs(_size_words(spark, sf_dir, 5, 40))))
+
+
+@query(_IN + "p_size BETWEEN 5 AND 40")
+def rep_ii(spark, sf_dir):
+    lists = regions.id_list(_size_words(spark, sf_dir, 5, 40))
+    return regions.rids(regions.from_id_list(lists))
+
+
+@query("SELECT p_partkey // 65536 AS chunk, true AS inverted, count(*) AS n, max(p_partkey) AS last FROM part WHERE NOT p_size BETWEEN 5 AND 40 GROUP BY 1")
+def rep_cii(spark, sf_dir):
+    lists = regions.id_list(_size_words(spark, sf_dir, 5, 40), True, _part_spine(spark, sf_dir))
+    total = F.aggregate("deltas", F.lit(0).cast("bigint"), lambda s, d: s + d)
+    return lists.select("chunk", "inverted", F.size("deltas").cast("bigint").alias("n"), total.alias("last"))
+
+
+@query("""WITH l0 AS (SELECT p_partkey AS b FROM part WHERE p_size BETWEEN 5 AND 48),
+    l1 AS (SELECT b // 4 AS b FROM l0 GROUP BY 1 HAVING count(*) = 4), l2 AS (SELECT b // 4 AS b FROM l1 GROUP BY 1 HAVING count(*) = 4)
+    SELECT 0 AS level, b AS block_no FROM l0 WHERE b // 4 NOT IN (SELECT b FROM l1)
+    UNION ALL SELECT 1, b FROM l1 WHERE b // 4 NOT IN (SELECT b FROM l2) UNION ALL SELECT 2, b FROM l2""")
+def rep_cblq_blocks(spark, sf_dir):
+    return regions.blocks(_size_words(spark, sf_dir, 5, 48), 2, 2)
+
+
+@query(_IN + "p_size BETWEEN 5 AND 48")
+def rep_from_blocks(spark, sf_dir):
+    return regions.rids(regions.from_blocks(regions.blocks(_size_words(spark, sf_dir, 5, 48), 3, 2), 3))
+
+
+@query(f"""SELECT 'list' AS form, count(*) * 4 AS bytes FROM part WHERE p_size BETWEEN 5 AND 40
+    UNION ALL SELECT 'bitmap', count(DISTINCT p_partkey // 64) * 8 FROM part WHERE p_size BETWEEN 5 AND 40 UNION ALL SELECT 'runs', count(*) * 8 FROM ({_RUNS})""")
+def rep_sizes(spark, sf_dir):
+    return regions.sizes(_size_words(spark, sf_dir, 5, 40)).where("form <> 'blocks'")
+
+
+# Indexes and encodings ------------------------------------------------------------------------------
+
+
+def _size_index(spark, sf_dir, part_size=None) -> Index:
+    return build_index(_table(spark, sf_dir, "part"), "p_size", "p_partkey", Sigbits(32, "int32"), part_size)
+
+
+def _encoded(name: str, encoding: str, complement: str):
+    def run(spark, sf_dir):
+        engine = IndexEngine({"p_size": _size_index(spark, sf_dir).encode(encoding)}, {"p_size": Sigbits(32, "int32")}, complement)
+        return engine.evaluate(Query.range("p_size", 7, 33)).select("rid")
+
+    run.__name__ = name
+    query(_IN + "p_size BETWEEN (SELECT coalesce(max(p_size) FILTER (p_size <= 7), min(p_size)) FROM part) AND 33")(run)
+
+
+_encoded("enc_equality", "equality", "never")
+_encoded("enc_equality_compl", "equality", "always")
+_encoded("enc_range", "range", "auto")
+_encoded("enc_interval", "interval", "auto")
+_encoded("enc_hier", "hierarchical", "auto")
+_encoded("enc_binarycomp", "binary", "auto")
+
+_DEFINITIONS = {
+    "equality": "r = b", "range": "r < n - 1 AND b <= r", "interval": "r < (n + 1) // 2 AND r <= b AND b < r + n // 2", "hierarchical": "r < n - 1 AND b <= r AND b >= r + 1 - ((r + 1) & -(r + 1))",
+    "binary": "r < ceil(log2(n)) AND (b >> r::INTEGER) & 1 = 0",
+}
+
+
+def _definitions(encoding: str, condition: str):
+    def run(spark, sf_dir):
+        bins = _size_index(spark, sf_dir)
+        n = F.broadcast(bins.parts.select("part_id", F.col("nbins").alias("n")))  # one partition, one row
+        own = bins.bins.select("part_id", F.col("bin_no").alias("b")).join(n, "part_id")
+        regions_of = own.select(F.explode(ENCODINGS[encoding].members(F.col("n"), F.col("b"))).alias("region_id"), F.col("b").alias("bin_no"))
+        return regions_of.select(F.col("region_id").cast("bigint").alias("region_id"), F.col("bin_no").cast("bigint").alias("bin_no"))
+
+    run.__name__ = f"enc_defs_{encoding}"
+    query(f"WITH k AS (SELECT count(DISTINCT p_size) AS n FROM part) SELECT r AS region_id, b AS bin_no FROM k, range(0, (SELECT n FROM k)) x(r), range(0, (SELECT n FROM k)) y(b) WHERE {condition}")(run)
+
+
+for _name, _condition in _DEFINITIONS.items():
+    _definitions(_name, _condition)
+
+
+def _price_index(spark, sf_dir) -> dict[str, Index]:
+    orders = _table(spark, sf_dir, "orders")
+    return {"o_totalprice": build_index(orders, "o_totalprice", "o_orderkey", Explicit(PRICES), PART_SIZE), "o_custkey": build_index(orders, "o_custkey", "o_orderkey", Sigbits(58, "int64"), PART_SIZE)}
+
+
+_PRICE_BINNINGS = {"o_totalprice": Explicit(PRICES), "o_custkey": Sigbits(58, "int64")}
+
+
+def _by_part_sql(var: str, lower, upper) -> str:
+    """A constraint's bins where every partition has keys of its own."""
+    key = _ORDER_KEYS[var]
+    low = "" if lower is None else f" AND {key} >= coalesce(max(CASE WHEN {key} <= {_bound(var, lower)} THEN {key} END) OVER w, min({key}) OVER w)"
+    return f"coalesce({var} IS NOT NULL{low}" + ("" if upper is None else f" AND {key} <= {_bound(var, upper)}") + ", false)"
+
+
+_PARTED = f"SELECT o_orderkey AS rid, o_orderkey // {PART_SIZE} AS part_id, {{}} AS hit FROM orders WINDOW w AS (PARTITION BY o_orderkey // {PART_SIZE})"
+
+
+@query(f"SELECT part_id, count(*) FILTER (hit) AS n FROM ({_PARTED.format(_by_part_sql(*_A) + ' AND NOT ' + _by_part_sql(*_B))}) GROUP BY 1")
+def idx_partitioned_count(spark, sf_dir):
+    return IndexEngine(_price_index(spark, sf_dir), _PRICE_BINNINGS).counts(_a - _b)
+
+
+@query(f"SELECT part_id, rid FROM ({_PARTED.format(_by_part_sql(*_A) + ' OR ' + _by_part_sql(*_C))}) WHERE hit AND part_id BETWEEN 2 AND 4")
+def idx_cursor_range(spark, sf_dir):
+    return IndexEngine(_price_index(spark, sf_dir), _PRICE_BINNINGS).evaluate(_a | _c, 2, 5)
+
+
+@query(f"SELECT part_id, rid FROM ({_PARTED.format('NOT (' + _by_part_sql(*_A) + ')')}) WHERE hit")
+def idx_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "index")
+    build_index(_table(spark, sf_dir, "orders"), "o_totalprice", "o_orderkey", Explicit(PRICES), PART_SIZE).encode("interval").save(path)
+    return IndexEngine({"o_totalprice": Index.load(spark, path)}, _PRICE_BINNINGS).evaluate(~_a)
+
+
+@query(f"SELECT part_id, rid FROM ({_PARTED.format(_by_part_sql(*_A) + ' <> ' + _by_part_sql(*_C))}) WHERE hit")
+def idx_column_partitions(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").withColumn("part", F.floor(F.col("o_orderkey") / PART_SIZE))
+    return ColumnEngine(orders, _PRICE_BINNINGS, "o_orderkey", part="part").evaluate(_a ^ _c)
+
+
+@query(f"""SELECT 'o_totalprice' AS var, 'equality' AS encoding, part_id, part_id * {PART_SIZE} AS domain_offset, max(rid) - part_id * {PART_SIZE} + 1 AS domain_size, count(DISTINCT k)::INTEGER AS nbins,
+    count(DISTINCT k) AS nregions, count(DISTINCT (k, (rid - part_id * {PART_SIZE}) // 64)) * 8 AS bytes
+    FROM (SELECT o_orderkey AS rid, o_orderkey // {PART_SIZE} AS part_id, {_ORDER_KEYS['o_totalprice']} AS k FROM orders) GROUP BY part_id""")
+def idx_info(spark, sf_dir):
+    return _price_index(spark, sf_dir)["o_totalprice"].info()
+
+
+@query(f"SELECT part_id, part_id * {PART_SIZE} AS domain_offset, row_number() OVER (ORDER BY part_id) - 1 AS domain_id, max(rid) - part_id * {PART_SIZE} + 1 AS domain_size FROM (SELECT o_orderkey AS rid, o_orderkey // {PART_SIZE} AS part_id FROM orders) GROUP BY part_id")
+def idx_domains(spark, sf_dir):
+    return _price_index(spark, sf_dir)["o_totalprice"].domains()
+
+
+@query(f"SELECT rid // {PART_SIZE} AS part_id FROM (SELECT o_orderkey AS rid FROM orders) WHERE rid = 3 * {PART_SIZE}")
+def idx_partition_at(spark, sf_dir):
+    return _price_index(spark, sf_dir)["o_totalprice"].partition_at(3 * PART_SIZE)
+
+
+@query(f"WITH b AS (SELECT o_orderkey // {PART_SIZE} AS part_id, dense_rank() OVER (PARTITION BY o_orderkey // {PART_SIZE} ORDER BY {_ORDER_KEYS['o_totalprice']}) - 1 AS r, (o_orderkey % {PART_SIZE}) // 64 AS w FROM orders) SELECT part_id, count(DISTINCT (r, w)) FILTER (r BETWEEN 2 AND 4) * 8 AS bytes FROM b GROUP BY 1")
+def idx_region_bytes(spark, sf_dir):
+    return _price_index(spark, sf_dir)["o_totalprice"].size(2, 5)
+
+
+@query()
+def idx_statistics(spark, sf_dir):
+    return IndexEngine(_price_index(spark, sf_dir), _PRICE_BINNINGS).statistics(_a & _c)
+
+
+# Scans --------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, value FROM events WHERE event_id >= 100 AND event_id < 400")
+def scan_linear_range(spark, sf_dir):
+    return _table(spark, sf_dir, "events").where(linear_ranges(F.col("event_id"), [(100, 300)])).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id BETWEEN 10 AND 19 OR event_id BETWEEN 500 AND 699")
+def scan_multi_range(spark, sf_dir):
+    return _table(spark, sf_dir, "events").where(linear_ranges(F.col("event_id"), [(10, 10), (500, 200)])).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM events WHERE event_id < 1000 AND event_id // 100 BETWEEN 2 AND 4 AND (event_id // 10) % 10 BETWEEN 1 AND 3 AND event_id % 10 BETWEEN 5 AND 8")
+def scan_subvolume(spark, sf_dir):
+    return _table(spark, sf_dir, "events").where(subvolume(F.col("event_id"), [10, 10, 10], [2, 1, 5], [3, 3, 4])).select("event_id", "value")
+
+
+@query("SELECT ((event_id // 100) // 4) + (((event_id // 10) % 10) // 5) * 3 + ((event_id % 10) // 3) * 6 AS chunk, count(*) AS n FROM events WHERE event_id < 1000 GROUP BY 1")
+def scan_natural_partitions(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").where("event_id < 1000")
+    return events.groupBy(chunk_of(F.col("event_id"), [10, 10, 10], [4, 5, 3]).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Tools --------------------------------------------------------------------------------------------
+
+_RUN_STATS = """WITH e AS (SELECT event_id, event_type AS bin_key FROM events {0}),
+    m AS (SELECT bin_key, CASE WHEN lag(bin_key) OVER (ORDER BY event_id) IS NOT DISTINCT FROM bin_key AND lag(event_id) OVER (ORDER BY event_id) IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM e),
+    g AS (SELECT bin_key, count(*) AS n, sum(fresh)::BIGINT AS runs FROM m GROUP BY 1)
+    SELECT bin_key, n, runs, n / (SELECT count(*) FROM e) AS density, n / runs AS mean_run, n / runs * (1 - n / (SELECT count(*) FROM e)) AS sigma FROM g"""
+
+
+@query(_RUN_STATS.format(""))
+def tool_characterize(spark, sf_dir):
+    return tools.characterize(_table(spark, sf_dir, "events"), F.col("event_type"), "event_id")
+
+
+@query(_RUN_STATS.format("WHERE event_id BETWEEN 200 AND 799"))
+def tool_characterize_range(spark, sf_dir):
+    return tools.characterize(_table(spark, sf_dir, "events"), F.col("event_type"), "event_id", 200, 600)
+
+
+@query("SELECT o_orderstatus, " + ", ".join(f"min(o_orderkey::VARCHAR) FILTER (r = 1 AND o_orderpriority = '{p}') AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS r FROM orders) GROUP BY 1")
+def tool_pivot(spark, sf_dir):
+    return tools.pivot_first(_table(spark, sf_dir, "orders"), ["o_orderstatus"], "o_orderpriority", "o_orderkey", "o_orderkey")
+
+
+def _dilated_sql(x: str, dims: int, width: int, shift: int = 0) -> str:
+    return " + ".join(f"((({x}) >> {i}) & 1) * {1 << (i * dims + shift)}" for i in range(width))
+
+
+@query(f"SELECT p_partkey, {_dilated_sql('p_partkey', 2, 16)} AS dilated, p_partkey & 65535 AS undilated FROM part")
+def tool_dilate(spark, sf_dir):
+    wide = bits.dilate(F.col("p_partkey"), 2, 16)
+    return _table(spark, sf_dir, "part").select("p_partkey", wide.alias("dilated"), bits.undilate(wide, 2, 16).alias("undilated"))
+
+
+@query(f"SELECT event_id, {_dilated_sql('(event_id // 100) % 100', 2, 7, 1)} + {_dilated_sql('event_id % 100', 2, 7)} AS z FROM events")
+def tool_morton(spark, sf_dir):
+    y, x = F.pmod(F.floor(F.col("event_id") / 100), F.lit(100)), F.pmod(F.col("event_id"), F.lit(100))
+    return _table(spark, sf_dir, "events").select("event_id", bits.morton([y, x], 7).alias("z"))
+
