@@ -56,7 +56,7 @@ class Sigbits(Binning):
         if self.kind.is_float:
             word = float_bits(value, w)
         elif self.kind.name == "uint64":  # a decimal: its upper half becomes negative longs
-            word = F.when(value >= F.lit(1 << 63).cast("decimal(20,0)"), (value - F.lit(1 << 64).cast("decimal(21,0)")).cast("bigint")).otherwise(value.cast("bigint"))
+            word = F.when(value >= F.lit(str(1 << 63)).cast("decimal(20,0)"), (value - F.lit(str(1 << 64)).cast("decimal(21,0)")).cast("bigint")).otherwise(value.cast("bigint"))
         else:
             word = value.cast("bigint").bitwiseAND(F.lit(-1 if w == 64 else (1 << w) - 1).cast("bigint"))
         return F.shiftrightunsigned(word, w - self.n) if self.n < w else word
@@ -79,7 +79,7 @@ class Sigbits(Binning):
             if isinstance(value, float) and math.isfinite(value):
                 value = math.floor(value)
             value = int(min(max(value, low), high))
-        return F.lit(value).cast(self.kind.spark)
+        return F.lit(str(value) if self.kind.name == "uint64" else value).cast(self.kind.spark)
 
     def order_of(self, value) -> int:
         """The order of a constant, worked out here; for planning without a session."""
