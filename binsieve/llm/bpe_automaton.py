@@ -48,8 +48,10 @@ class MergeAutomaton:
         self.longest = max(map(len, self.by_label), default=0)
 
     def gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        """Add one merge. A merge whose parts never meet any more has no arc to withdraw."""
-        if self.rank[w] >= 0 or len(self.labels[w]) < 2 or not self.arc(u, v, rank):
+        """Add one merge. Where a part is never made, or the parts never meet any more, there is no arc to withdraw."""
+        if self.rank[w] >= 0:
+            raise ValueError(f"two merges make token {w}")
+        if any(len(self.labels[x]) > 1 and self.rank[x] < 0 for x in (u, v)) or not self.arc(u, v, rank):
             return
         self.withdrawn.setdefault(u << 32 | v, rank)
         self.left[w], self.right[w], self.rank[w] = u, v, rank
