@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import struct
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -34,6 +35,10 @@ class Binning:
     def constant(self, value) -> Column:
         return F.lit(value)
 
+    def upper_values(self, column: Column, value) -> Column | None:
+        """What ``key <= bound(value)`` says about the column itself, in a form that scans can use, if anything."""
+        return None
+
 
 @dataclass(frozen=True)
 class Sigbits(Binning):
@@ -149,6 +154,10 @@ class Explicit(Binning):
 
         return F.when(value.isNotNull(), tree(0, len(self.bounds)))
 
+    def upper_values(self, column: Column, value) -> Column | None:
+        after = bisect_right(self.bounds, value)
+        return column < F.lit(self.bounds[after]) if after < len(self.bounds) else None
+
     def constant(self, value) -> Column:
         if isinstance(value, str) != isinstance(self.bounds[0], str):
             raise TypeError("a bound of another type than the boundaries")

@@ -64,12 +64,20 @@ class ColumnEngine:
         def leaf(c: Constraint) -> Column:
             if c.var not in self.binnings:
                 raise KeyError(f"no binning for {c.var}")
+            # Null only where the column is, and there the first test is false: so the whole is never null.
+            value, own = F.col(c.var), self.binnings[c.var]
+            tests = [value.isNotNull()]
             if self.mode == "exact":
-                tests = [F.col(c.var).isNotNull()] + ([F.col(c.var) >= F.lit(c.lower)] if c.lower is not None else []) + ([F.col(c.var) <= F.lit(c.upper)] if c.upper is not None else [])
-            else:
-                key = self.order(c.var)
-                tests = [key.isNotNull()] + ([key >= lows[c]] if c.lower is not None else []) + ([key <= self.binnings[c.var].bound(c.upper)] if c.upper is not None else [])
-            return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+                tests += ([value >= F.lit(c.lower)] if c.lower is not None else []) + ([value <= F.lit(c.upper)] if c.upper is not None else [])
+                return reduce(lambda a, b: a & b, tests)
+            key = self.order(c.var)
+            if c.lower is not None:
+                tests.append(key >= lows[c])
+            if c.upper is not None:
+                tests.append(key <= own.bound(c.upper))
+                if (scanned := own.upper_values(value, c.upper)) is not None:
+                    tests.append(scanned)
+            return reduce(lambda a, b: a & b, tests)
 
         return query.fold(leaf, combine)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from binsieve.sources.scratch import scratch_path
+
 #: Records in a chunk within which runs are found; neighbouring chunks are then joined by their edges.
 CHUNK = 1 << 20
 
@@ -44,25 +46,29 @@ def equi_depth(df: DataFrame, value: str, nbins: int, sample_step: int = 1, rid:
     own = df.where(F.col(value).isNotNull())
     if sample_step > 1:
         own = own.where(F.col(rid) % sample_step == 0)
-    distinct = own.select(F.col(value).alias("v")).distinct()
-    ranged = distinct.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    from pyspark import StorageLevel
-
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
-        total = sum(n for _, n in counts)
-        wanted = sorted({k * total // nbins for k in range(1, nbins)} - {0})
-        before, at = {}, 0
-        for part, n in counts:
-            before[part], at = at, at + n
-        if not wanted:
-            return []
-        base = F.create_map(*[F.lit(x) for part in before for x in (part, before[part])])
-        rank = F.row_number().over(Window.partitionBy("part").orderBy("v")) + F.element_at(base, F.col("part"))
-        return [r["v"] for r in ranged.select("v", rank.alias("rank")).where(F.col("rank").isin(wanted)).orderBy("rank").collect()]
-    finally:
-        ranged.unpersist()
+    ranked, total = ranks(own.select(F.col(value).alias("v")), "v")
+    wanted = sorted({k * total // nbins for k in range(1, nbins)} - {0})
+    return [r["v"] for r in ranked.where((F.col("rank") + 1).isin(wanted)).orderBy("rank").collect()] if wanted else []
+
+
+def ranks(df: DataFrame, value: str, order: Column | None = None) -> tuple[DataFrame, int]:
+    """(value, rank) of the distinct values, ranked from 0, and how many there are.
+
+    Distinct values are dealt to ranges and written, so that both passes see the same ranges; a rank
+    is that within its range and the sizes of the ranges before, of which the driver sees one number each.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranges")
+    by = F.col(value) if order is None else order
+    distinct = df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("by", by)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct.repartitionByRange(n, "by").withColumn("part", F.spark_partition_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    before, at = [0] * n, 0
+    for r in held.groupBy("part").count().orderBy("part").collect():
+        before[r["part"]], at = at, at + r["count"]
+    base = F.get(F.array(*[F.lit(b).cast("bigint") for b in before]), F.col("part"))
+    return held.select(value, (F.row_number().over(Window.partitionBy("part").orderBy("by")) - 1 + base).alias("rank")), at
 
 
 def equi_depth_bin(value: Column, boundaries: list) -> Column:
@@ -82,10 +88,8 @@ def dense_ids(df: DataFrame, key: str, order: Column | None = None, to: str = "b
 
     Only distinct keys are ranked; they are joined back by key.
     """
-    keys = df.select(F.col(key).alias("_key")).where("_key is not null").distinct()
-    by = F.col("_key") if order is None else order
-    ranks = keys.select("_key", (F.row_number().over(Window.orderBy(by)) - 1).cast("bigint").alias(to))
-    return df.join(ranks, F.col(key) == F.col("_key"), "left").drop("_key")
+    ranked, _ = ranks(df.select(F.col(key).alias("_key")), "_key", order)
+    return df.join(ranked.withColumnRenamed("rank", to), F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def pivot_first(df: DataFrame, rows: list[str], column: str, body: str, order: str) -> DataFrame:
