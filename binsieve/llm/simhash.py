@@ -27,23 +27,40 @@ COUNT_ROWS = 1 << 15
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def simhash(text: str, shingle: int) -> int:
-    """The 64-bit fingerprint of one text: majority bits of XXH64 (seed 42) over word shingles."""
+#: Odd multipliers that make further 64-bit hashes of a shingle's first one.
+_AGAIN = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def simhashes(text: str, shingle: int, tables: int = 1) -> list[int]:
+    """64-bit fingerprints of one text: majority bits of XXH64 (seed 42) over word shingles.
+
+    Fingerprints after the first are of hashes made from those by a multiplication and a fold.
+    """
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return [0] * tables
     line = b" ".join(words)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, stops[:-1] + 1)
     n = max(1, len(words) - shingle + 1)
     ends = stops[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    count = np.zeros(64, np.int64)
+    count = np.zeros((tables, 64), np.int64)
     for at in range(0, n, COUNT_ROWS):
         some = [digest(line[a:b], 42) for a, b in zip(starts[at : min(n, at + COUNT_ROWS)].tolist(), ends[at : at + COUNT_ROWS].tolist())]
-        bits = np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
+        hashes = np.array(some, "<u8")
+        for k in range(tables):
+            if k:
+                hashes = hashes * np.uint64(_AGAIN[(k - 1) % 2])
+                hashes ^= hashes >> np.uint64(29)
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            count[k] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def simhash(text: str, shingle: int) -> int:
+    """The first fingerprint of one text."""
+    return simhashes(text, shingle)[0]
 
 
 def shingle_sketch(text: str, shingle: int, size: int) -> bytes:
@@ -235,32 +252,45 @@ def simhash_components(df: DataFrame, shingle: int = 5, radius: int = 4, id_colu
     return held.join(labels, "fp").select(F.col("id").alias(id_column), shown.alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-#: Shingle hashes in a sketch, and the largest bucket whose links are all tested.
-SKETCH, TESTED = 128, 32
+#: Shingle hashes in a sketch, the largest bucket whose links are all tested, and fingerprints of a text.
+SKETCH, TESTED, TABLES = 256, 32, 2
 
 
 def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "text", shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """(key, name) of every row: ``name`` is the smallest key of its group of near copies.
 
-    Fingerprints within ``radius`` bits are candidates, as in ``simhash_components``; a candidate
-    stands if the two texts' shingle sets are alike by ``similarity`` or more, which is exact for
-    texts of up to ``SKETCH`` distinct shingles and estimated from that many hashes beyond. Texts of
-    equal fingerprints are copies. Groups are closed under links. Keys may be of any type that has an
-    order, structs included.
+    A text has ``TABLES`` fingerprints; two texts are candidates if one of them is within ``radius``
+    bits of the other's, by the links of ``simhash_components``. A candidate stands if the two texts'
+    shingle sets are alike by ``similarity`` or more, which is exact for texts of up to ``SKETCH``
+    distinct shingles and estimated from that many hashes beyond. Texts of equal sketches are copies.
+    Groups are closed under links. Keys may be of any type that has an order, structs included.
     """
     source = df.select(F.col(key_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    names = [f"fp{k}" for k in range(TABLES)]
 
     def run(batches):
         for batch in batches:
             texts = texts_of(batch, "text")
-            found = np.array([simhash(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found), pa.array([shingle_sketch(t, shingle, SKETCH) for t in texts], pa.binary())], names=["id", "fp", "sketch"])
-
-    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp bigint, sketch binary"), "sketches")
-    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), F.min("sketch").alias("sketch")), "distinct-sketches")
-    near = links(firsts.select("fp"), radius, every=TESTED).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    side = lambda x: firsts.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch"))
-    pairs = written(near, "candidates").join(side("u"), "u").join(side("v"), "v")
+            found = np.array([simhashes(t, shingle, TABLES) for t in texts], np.uint64).reshape(-1, TABLES).view(np.int64)
+            sketches = [shingle_sketch(t, shingle, SKETCH) for t in texts]
+            classes = np.array([xxhash.xxh64_intdigest(x, 3) for x in sketches], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(classes), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(TABLES)), pa.array(sketches, pa.binary())], names=["id", "fp", *names, "sketch"])
+
+    columns = ", ".join(f"{n} bigint" for n in names)
+    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp bigint, {columns}, sketch binary"), "sketches")
+    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), *(F.min(n).alias(n) for n in names), F.min("sketch").alias("sketch")), "distinct-sketches")
+    near = None
+    for n in names:
+        # One class stands for those of an equal fingerprint; the others are its candidates.
+        stands = written(firsts.groupBy(n).agg(F.min("fp").alias("rep")), "representatives")
+        same = firsts.join(stands, n).where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
+        linked = written(links(stands.select(F.col(n).alias("fp")), radius, every=TESTED).distinct(), "candidates")
+        side = lambda x: stands.select(F.col(n).alias(x), F.col("rep").alias(f"{x}_rep"))  # noqa: B023, E731
+        both = same.union(linked.join(side("u"), "u").join(side("v"), "v").select("u_rep", "v_rep"))
+        near = both if near is None else near.union(both)
+    near = written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "candidate-pairs")
+    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch"))
+    pairs = near.join(of("u"), "u").join(of("v"), "v")
 
     def test(batches):
         for batch in batches:
