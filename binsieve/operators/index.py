@@ -17,13 +17,14 @@ PART = ("part_id",)
 
 @dataclass(frozen=True)
 class Index:
-    """``words``: (part_id, region_id, word_idx, word); ``bins``: (part_id, bin_no, bin_key, order, n); ``parts``: (part_id, domain_offset, domain_size, nbins)."""
+    """``words``: (part_id, region_id, word_idx, word); ``bins``: (part_id, bin_no, bin_key, order, n); ``parts``: (part_id, domain_offset, domain_size, nbins); ``present``: the words of all records that are in a bin."""
 
     var: str
     encoding: str
     words: DataFrame
     bins: DataFrame
     parts: DataFrame
+    present: DataFrame
 
     def encode(self, encoding: str) -> Index:
         """The same bins in another encoding; the source has to be an equality index."""
@@ -43,7 +44,7 @@ class Index:
 
     def partition(self, part_id: int) -> Index:
         own = F.col("part_id") == part_id
-        return replace(self, words=self.words.where(own), bins=self.bins.where(own), parts=self.parts.where(own))
+        return replace(self, words=self.words.where(own), bins=self.bins.where(own), parts=self.parts.where(own), present=self.present.where(own))
 
     def partition_at(self, offset: int) -> DataFrame:
         """The partition whose domain begins at an offset: one row or none."""
@@ -73,6 +74,7 @@ class Index:
         """Words by partition, sorted by region so that row groups can be skipped; ``append`` adds partitions."""
         self.words.repartition("part_id", F.floor(F.col("word_idx") / (1 << 20))).sortWithinPartitions("part_id", "region_id", "word_idx").write.mode(mode).parquet(f"{path}/words")
         self.bins.write.mode(mode).parquet(f"{path}/bins")
+        self.present.write.mode(mode).parquet(f"{path}/present")
         self.parts.withColumn("meta", F.lit(json.dumps({"var": self.var, "encoding": self.encoding}))).write.mode(mode).parquet(f"{path}/parts")
 
     def append(self, path: str) -> None:
@@ -82,7 +84,7 @@ class Index:
     def load(spark: SparkSession, path: str) -> Index:
         parts = spark.read.parquet(f"{path}/parts")
         meta = json.loads(parts.select("meta").first()[0])
-        return Index(meta["var"], meta["encoding"], spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/bins"), parts.drop("meta"))
+        return Index(meta["var"], meta["encoding"], spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/bins"), parts.drop("meta"), spark.read.parquet(f"{path}/present"))
 
 
 def build_index(df: DataFrame, var: str, rid: str, binning: Binning, part_size: int | None = None, offset: int = 0, size: int | None = None, relative: bool = True) -> Index:
@@ -106,4 +108,5 @@ def build_index(df: DataFrame, var: str, rid: str, binning: Binning, part_size:
     parts = parts.join(nbins, "part_id", "left").select("part_id", (F.lit(start) + F.col("part_id") * step).alias("domain_offset"), "domain_size", (F.coalesce("top", F.lit(-1)) + 1).cast("int").alias("nbins"))
     keyed = regions.words(filled, "local", "bin_key", PART).withColumnRenamed("region_id", "bin_key")
     words = keyed.join(bins.select("part_id", "bin_key", "bin_no"), ["part_id", "bin_key"]).select("part_id", F.col("bin_no").alias("region_id"), "word_idx", "word")
-    return Index(var, "equality", words, bins.select("part_id", "bin_no", "bin_key", "order", "n"), parts)
+    present = keyed.groupBy("part_id", "word_idx").agg(F.bit_or("word").alias("word"))
+    return Index(var, "equality", words, bins.select("part_id", "bin_no", "bin_key", "order", "n"), parts, present)

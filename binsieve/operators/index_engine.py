@@ -118,22 +118,18 @@ class IndexEngine:
         if step.lower >= step.upper:
             return regions.uniform(own, False, PART)
         if step.formula is None:
-            return regions.uniform(own, True, PART) if self._dense(index) else self._all_bins(index, step, own)
+            return regions.uniform(own, True, PART) if self._dense(index) else self._all_bins(index, step)
         ids = step.formula.regions()
         named = index.regions(ids, list(step.parts)).groupBy("part_id", "word_idx").agg(*[F.bit_or(F.when(F.col("region_id") == r, F.col("word"))).alias(f"r{r}") for r in ids])
         value = step.formula.fold(lambda r: F.coalesce(F.col(f"r{r}"), F.lit(0).cast("bigint")), _word_op)
         negates = ("NOT", 1) in step.formula.steps
         joined = own.join(named, ["part_id", "word_idx"], "left" if negates else "inner")
         out = joined.select("part_id", "word_idx", value.bitwiseAND(F.col("mask")).alias("word")).where("word <> 0")
-        return self._without_nulls(index, step, out) if negates and not self._dense(index) else out
+        return regions.intersect(out, self._all_bins(index, step), by=PART) if negates and not self._dense(index) else out
 
-    def _all_bins(self, index: Index, step: Step, own: DataFrame) -> DataFrame:
-        if index.encoding != "equality":
-            raise ValueError("columns with nulls need an equality index")
-        return index.words.where(F.col("part_id").isin(*step.parts)).groupBy("part_id", "word_idx").agg(F.bit_or("word").alias("word"))
-
-    def _without_nulls(self, index: Index, step: Step, found: DataFrame) -> DataFrame:
-        return regions.intersect(found, self._all_bins(index, step, found), by=PART)
+    @staticmethod
+    def _all_bins(index: Index, step: Step) -> DataFrame:
+        return index.present.where(F.col("part_id").isin(*step.parts)).select("part_id", "word_idx", "word")
 
     def words(self, query: Query, begin: int = 0, end: int | None = None) -> DataFrame:
         """(part_id, word_idx, word) of the answer."""

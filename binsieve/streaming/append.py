@@ -24,7 +24,7 @@ def append_index(stream: DataFrame, path: str, var: str, rid: str, binning: Binn
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/parts")
         if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             there = Index.load(spark, path).parts.select("part_id")
-            made = Index(made.var, made.encoding, *(x.join(there, "part_id", "left_anti") for x in (made.words, made.bins, made.parts)))
+            made = Index(made.var, made.encoding, *(x.join(there, "part_id", "left_anti") for x in (made.words, made.bins, made.parts, made.present)))
         made.append(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
