@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from binsieve.llm.common import written
 
 #: Terms in this share of the documents, from least to most, are the lexicon: ln(1 / share) is their inverse document frequency.
-BAND = (0.005, 0.2)
+BAND = (0.01, 0.2)
 #: (one term in so many is in the subset, how many such subsets).
 SUBSETS = ((4, 2), (16, 6), (64, 10), (256, 14))
 #: XXH64 of an empty array, by which a subset without terms is known.
@@ -22,9 +22,11 @@ _NONE = 42
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the distinct words of a text."""
-    words = F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of the distinct words of a text: what stands between white space, commas and full stops."""
+    plain = F.lower(text)
+    for mark in ("\n", "\t", "\r", ",", "."):
+        plain = F.replace(plain, F.lit(mark), F.lit(" "))
+    return F.transform(F.array_remove(F.array_distinct(F.split(plain, " ")), ""), lambda w: F.xxhash64(w))
 
 
 def subsets() -> list[tuple[int, int]]:
@@ -55,12 +57,15 @@ def with_signatures(df: DataFrame, text_column: str, to: str, words: Column) ->
     A text without a term of the lexicon is hashed with all its terms, so that texts don't become
     alike by having none. Terms are columns of their own, so that each is worked out once.
     """
-    own, band, whole = (f"{to} {x}" for x in ("terms", "band", "whole"))
+    own, band, whole, each = (f"{to} {x}" for x in ("terms", "band", "whole", "each"))
     found = df.withColumn(own, terms(F.col(text_column))).withColumn(band, F.array_intersect(words["lexicon"], F.col(own)))
-    found = found.withColumn(whole, F.when(F.size(band) == 0, F.sort_array(own)))
-    each = F.array(*[F.xxhash64(F.array_intersect(words[f"part{k}"], F.col(band))) for k, _ in subsets()])
-    other = F.array(*[F.xxhash64(F.col(whole), F.lit(k)) for k, _ in subsets()])
-    return found.withColumn(to, F.when(F.size(band) > 0, each).otherwise(other)).drop(own, band, whole)
+    hashed = F.array(*[F.xxhash64(F.array_intersect(words[f"part{k}"], F.col(band))) for k, _ in subsets()])
+    # The lambda keeps this projection out of whole-stage code, whose one method for all subsets would be too
+    # long for the JVM to compile; expression code is split into a method for each.
+    found = found.withColumns({each: hashed, whole: F.filter(own, lambda t: F.size(band) == 0)})
+    other = F.transform(F.array(*[F.lit(k) for k, _ in subsets()]), lambda k: F.xxhash64(F.col(f"{whole} sorted"), k))
+    found = found.withColumn(f"{whole} sorted", F.sort_array(whole))
+    return found.withColumn(to, F.when(F.size(band) > 0, F.col(each)).otherwise(other)).drop(own, band, whole, each, f"{whole} sorted")
 
 
 def shown(found: Column) -> Column:
