@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from binsieve.functions.bits import coordinates
 from binsieve.functions.types import column_type
 
-#: Values read by one task.
-BLOCK = 1 << 20
+#: Values in a block of a raw file.
+BLOCK = 1 << 16
 
 
 def in_memory(spark: SparkSession, values: list, dims: list[int] | None = None, kind: str = "int32", var: str = "value") -> DataFrame:
@@ -29,8 +29,9 @@ def in_memory(spark: SparkSession, values: list, dims: list[int] | None = None,
 def raw_file(spark: SparkSession, path: str, kind: str, dims: list[int], var: str = "value", big_endian: bool = False) -> DataFrame:
     """(rid, var) of a headerless binary array, read in blocks through Spark's file systems.
 
-    Each task opens the file by Spark's own binary record reader, at its own block of records, so a
-    file is never held whole. Shorter files than the grid are an error.
+    The reader of fixed-length records splits a file among tasks; a record here is a block of as many
+    values as divide the file evenly, up to ``BLOCK``, and Arrow batches turn blocks into rows.
+    Shorter files than the grid are an error.
     """
     own = column_type(kind)
     if own.numpy is None:
@@ -39,36 +40,25 @@ def raw_file(spark: SparkSession, path: str, kind: str, dims: list[int], var: st
     size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
     if size < n * width:
         raise ValueError(f"{posixpath.basename(path)} holds {size} bytes; the grid has {n * width}")
+    if size % width:
+        raise ValueError(f"{posixpath.basename(path)} ends within a value")
+    values = size // width
+    block = next(k for k in range(min(BLOCK, max(values, 1)), 0, -1) if values % k == 0)
     dtype = np.dtype((">" if big_endian else "<") + own.numpy)
-    arrow = {"u1": pa.int16(), "u2": pa.int32(), "u4": pa.int64()}.get(own.numpy)
-    # Fixed-length records are splittable: the reader seeks to each split. Records come with their order in the split only, so
-    # each split's place is had from the counts of those before it.
-    records = spark.sparkContext.binaryRecords(path, width)
-    counts = dict(records.mapPartitionsWithIndex(lambda i, it: [(i, sum(1 for _ in it))]).collect())
-    first, at = {}, 0
-    for i in range(records.getNumPartitions()):
-        first[i], at = at, at + counts.get(i, 0)
-
-    def rows(i, it):
-        at = first[i]
-        block: list[bytes] = []
-
-        def out():
-            values = np.frombuffer(b"".join(block), dtype)
-            return [(at + k, v) for k, v in enumerate(values.tolist())]
-
-        for record in it:
-            block.append(bytes(record))
-            if len(block) == BLOCK // 16:
-                yield from out()
-                at += len(block)
-                block = []
-        yield from out()
-
-    del arrow
-    convert = (lambda r: (r[0], __import__("decimal").Decimal(r[1]))) if own.numpy == "u8" else (lambda r: r)
+    plain = {"u1": "int16", "u2": "int32", "u4": "int64", "u8": "uint64"}.get(own.numpy, dtype.newbyteorder("=").str)
+
+    def rows(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                found = pa.array(np.frombuffer(data, dtype).astype(plain))
+                if own.numpy == "u8":
+                    found = found.cast(pa.decimal128(20, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number * block, number * block + len(found))), found], names=["rid", var])
+
+    records = spark.sparkContext.binaryRecords(path, width * block).zipWithIndex().map(lambda r: (r[1], bytes(r[0])))
+    blocks = spark.createDataFrame(records, "block bigint, data binary")
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField(var, own.spark)])
-    return spark.createDataFrame(records.mapPartitionsWithIndex(rows).map(convert), schema).where(F.col("rid") < n)
+    return blocks.mapInArrow(rows, schema).where(F.col("rid") < n)
 
 
 def linear_ranges(rid: Column, ranges: list[tuple[int, int]]) -> Column:
