@@ -30,6 +30,8 @@ STEMS = (4, 5, 6)
 SUPPORT, ODDS, LEAST_ROWS = 0.01, 8.0, 8
 #: Different words that an entry comes after in toxic rows, or half as many as it has rows.
 CONTEXTS = 10
+#: A word beginning has so many times the toxic rows of any longer entry.
+GENERAL = 1.5
 #: Words for which a negation stays in force.
 NEGATED_WORDS = 3
 
@@ -174,6 +176,14 @@ def _count_entries(batches):
         yield out()
 
 
+def explained(entry: str, rows_with: dict[str, int]) -> bool:
+    """Whether a word beginning owes most of its toxic rows to one longer entry, and so tells nothing of other words."""
+    if not entry.endswith("*"):
+        return False
+    longer = [n for e, n in rows_with.items() if e != entry and e.startswith(entry[:-1]) and (not e.endswith("*") or len(e) > len(entry))]
+    return max(longer, default=0) * GENERAL > rows_with[entry]
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Grammar:
     """Learn the lexicon and the pattern weights; without both kinds of label every score is the toxic share."""
     train = written(training_rows(docs, labels, rows).repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism)), "toxicity-training")
@@ -192,6 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Grammar:
     # copies of one text share always comes after the same words; an insult comes after many.
     often = (F.col("bad") >= least) & (F.col("contexts") >= F.least(F.lit(CONTEXTS), F.col("bad") / 2))
     chosen = counts.where(often).where((F.col("bad") + 0.5) / (bad + 1) >= ODDS * (F.col("good") + 0.5) / (good + 1)).collect()
+    rows_with = {r["entry"]: r["bad"] for r in chosen}
+    chosen = [r for r in chosen if not explained(r["entry"], rows_with)]
     grammar = Grammar({r["entry"]: math.log((r["bad"] + 0.5) / (bad + 1)) - math.log((r["good"] + 0.5) / (good + 1)) for r in chosen}).prepare()
 
     def rows_of(batches):

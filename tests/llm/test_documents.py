@@ -269,6 +269,11 @@ def test_grammar():
     assert found("loweient (idiot)") == {"insult": 2} and found("not at all so very much an idiot") == {"insult": 1}
 
 
+def test_word_beginnings_need_many_words():
+    rows = {"loser": 100, "lose*": 110, "loser*": 20, "vequ*": 90, "vequju": 30, "vequno": 35}
+    assert [e for e in rows if toxicity.explained(e, rows)] == ["lose*"]
+
+
 def test_toxicity(spark, odd_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
