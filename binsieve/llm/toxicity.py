@@ -180,7 +180,8 @@ def explained(entry: str, rows_with: dict[str, int]) -> bool:
     """Whether a word beginning owes most of its toxic rows to one longer entry, and so tells nothing of other words."""
     if not entry.endswith("*"):
         return False
-    longer = [n for e, n in rows_with.items() if e != entry and e.startswith(entry[:-1]) and (not e.endswith("*") or len(e) > len(entry))]
+    begin = entry[:-1]
+    longer = [n for e, n in rows_with.items() if e.startswith(begin) and len(e.rstrip("*")) > len(begin)]
     return max(longer, default=0) * GENERAL > rows_with[entry]
 
 
