@@ -91,15 +91,8 @@ def plan(histogram: dict[int, int], limit: int) -> Plan:
     while mask:
         own, room, seen = [], limit, mask
         used: dict[int, int] = {}
-        while room and (seen & ((1 << room + 1) - 1)):
-            a = (seen & ((1 << room + 1) - 1)).bit_length() - 1
-            m = min(left[a] - used.get(a, 0), room // a)
-            if own:  # the one that fits best, once at a time
-                m = min(m, 1)
-            m = 1 if m else 0
-            if not m:
-                seen &= ~(1 << a)
-                continue
+        while fits := seen & ((1 << room + 1) - 1):
+            a = fits.bit_length() - 1  # the longest that fits
             own.append(a)
             used[a] = used.get(a, 0) + 1
             room -= a
