@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from binsieve.llm.common import written
 
 #: Terms in this share of the documents, from least to most, are the lexicon: ln(1 / share) is their inverse document frequency.
-BAND = (0.01, 0.2)
+BAND = (0.005, 0.2)
 #: (one term in so many is in the subset, how many such subsets).
 SUBSETS = ((4, 2), (16, 6), (64, 10), (256, 14))
 #: XXH64 of an empty array, by which a subset without terms is known.
