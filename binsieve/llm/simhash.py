@@ -31,31 +31,49 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _AGAIN = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def simhashes(text: str, shingle: int, tables: int = 1) -> list[int]:
-    """64-bit fingerprints of one text: majority bits of XXH64 (seed 42) over word shingles.
-
-    Fingerprints after the first are of hashes made from those by a multiplication and a fold.
-    """
+def _shingle_hashes(text: str, shingle: int) -> list[np.ndarray]:
+    """XXH64 (seed 42) of the word shingles of one text in order, repeats included, by ``COUNT_ROWS``."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return [0] * tables
+        return []
     line = b" ".join(words)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.append(0, stops[:-1] + 1)
     n = max(1, len(words) - shingle + 1)
     ends = stops[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    count = np.zeros((tables, 64), np.int64)
+    parts = []
     for at in range(0, n, COUNT_ROWS):
         some = [digest(line[a:b], 42) for a, b in zip(starts[at : min(n, at + COUNT_ROWS)].tolist(), ends[at : at + COUNT_ROWS].tolist())]
-        hashes = np.array(some, "<u8")
+        parts.append(np.array(some, "<u8"))
+    return parts
+
+
+def _majority(parts: list[np.ndarray], tables: int) -> list[int]:
+    """Fingerprints of the hashes in all ``parts``; those after the first are of hashes made from these by a multiplication and a fold."""
+    count = np.zeros((tables, 64), np.int64)
+    for hashes in parts:
         for k in range(tables):
             if k:
                 hashes = hashes * np.uint64(_AGAIN[(k - 1) % 2])
                 hashes ^= hashes >> np.uint64(29)
             bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             count[k] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * count > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+    return np.packbits(2 * count > sum(map(len, parts)), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def simhashes(text: str, shingle: int, tables: int = 1) -> list[int]:
+    """64-bit fingerprints of one text: majority bits of XXH64 (seed 42) over word shingles, repeats counted."""
+    return _majority(_shingle_hashes(text, shingle), tables)
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *parts]))
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The 64-bit hashes of all distinct shingles of one text, in order."""
+    return _distinct(_shingle_hashes(text, shingle))
 
 
 def simhash(text: str, shingle: int) -> int:
@@ -120,17 +138,10 @@ def chains(radius: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each run of equal ``groups``, as pairs of fingerprints.
-
-    Runs of at most ``every`` rows give all their links instead.
-    """
+def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each run of equal ``groups``, as pairs of fingerprints."""
     n = len(fps)
     parent = np.arange(n)
-    change = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-    short = np.repeat(np.diff(np.append(change, n)) <= every, np.diff(np.append(change, n)))
-    more: list[np.ndarray] = [np.zeros(0, fps.dtype)]
-    other: list[np.ndarray] = [np.zeros(0, fps.dtype)]
     begin, d = np.arange(n - 1), 1
 
     def find(i):
@@ -142,17 +153,13 @@ def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests,
     while len(begin):
         begin = begin[begin + d < n]
         begin = begin[groups[begin] == groups[begin + d]]
-        pairs = begin[short[begin] | (parent[begin] != parent[begin + d])]
+        pairs = begin[parent[begin] != parent[begin + d]]
         differ = fps[pairs] ^ fps[pairs + d]
         keep = np.ones(len(pairs), bool)
         for masks, budget in tests:
             keep[keep] = np.bitwise_count(differ[keep] & masks[starts[pairs[keep]]]) <= budget
         joined = False
-        pairs = pairs[keep]
-        all_of = pairs[short[pairs]]
-        more.append(fps[all_of])
-        other.append(fps[all_of + d])
-        for i in pairs[~short[pairs]].tolist():
+        for i in pairs[keep].tolist():
             a, b = find(i), find(i + d)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -163,10 +170,10 @@ def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests,
             parent = flat
         d += 1
     off = np.flatnonzero(parent != np.arange(n))
-    return np.concatenate([*more, fps[off]]), np.concatenate([*other, fps[parent[off]]])
+    return fps[off], fps[parent[off]]
 
 
-def links(distinct: DataFrame, radius: int, every: int = 0) -> DataFrame:
+def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that connect exactly what links connect.
 
     Within a bucket of fingerprints that share a key, a spanning forest of its links stands for all
@@ -210,7 +217,7 @@ def links(distinct: DataFrame, radius: int, every: int = 0) -> DataFrame:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def found(keys, fps):
-            a, b = _linked_rows(keys, fps.view(np.uint64), (keys & 7).astype(np.int64), tests, every)
+            a, b = _linked_rows(keys, fps.view(np.uint64), (keys & 7).astype(np.int64), tests)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
@@ -252,53 +259,152 @@ def simhash_components(df: DataFrame, shingle: int = 5, radius: int = 4, id_colu
     return held.join(labels, "fp").select(F.col("id").alias(id_column), shown.alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-#: Shingle hashes in a sketch, the largest bucket whose links are all tested, and fingerprints of a text.
-SKETCH, TESTED, TABLES = 256, 32, 2
+#: Fingerprints of a text, the texts of one block of a large group, and those that all its blocks hold.
+TABLES, GROUP, PIVOTS = 2, 512, 8
+
+
+def _confirmed(nodes: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of nodes of similarity or more that connect what all such pairs connect.
+
+    Every pair is tested on its whole sets, but for those already in one component: equal ``labels``
+    say so at the start, and found links from then on.
+    """
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    sizes = np.array([len(x) for x in sets])
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    part = np.unique(np.array(labels), return_inverse=True)[1]
+    mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    out = []
+    for i in range(len(nodes) - 1):
+        rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
+        rest = rest[np.minimum(sizes[rest], sizes[i]) / np.maximum(1, np.maximum(sizes[rest], sizes[i])) >= similarity]
+        if not len(rest):
+            continue
+        mark[own[i]] = True
+        shared = np.append(0, np.cumsum(mark[np.concatenate([own[j] for j in rest.tolist()])]))
+        mark[own[i]] = False
+        shared = np.diff(shared[np.append(0, np.cumsum(sizes[rest]))])
+        alike = rest[shared / (sizes[i] + sizes[rest] - shared) >= similarity]
+        joined, one_of = np.unique(part[alike], return_index=True)
+        out += [(nodes[i], nodes[j]) for j in alike[one_of].tolist()]
+        part[np.isin(part, joined)] = part[i]
+    return out
+
+
+def _near_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that stand among the rows (chunk, node, label, shingles) of each chunk."""
+
+    def run(batches):
+        at, held = None, {}
+
+        def found():
+            nodes = sorted(held)
+            return _confirmed(nodes, [held[x][0] for x in nodes], [np.frombuffer(held[x][1], "<u8") for x in nodes], similarity) if len(nodes) > 1 else []
+
+        def shown(pairs):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            pairs = []
+            for chunk, node, label, shingles in zip(*(batch.column(c).to_pylist() for c in ("chunk", "node", "label", "shingles"))):
+                if chunk != at:
+                    pairs += found()
+                    at, held = chunk, {}
+                held[node] = (label, shingles)
+            yield shown(pairs)
+        yield shown(found())
+
+    return rows.select("chunk", "node", "label", "shingles").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "u bigint, v bigint")
+
+
+def _group_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect what all pairs of ``similarity`` or more inside each candidate group connect.
+
+    ``sets`` holds (node, root, blocks, shingles), where ``blocks`` is more than one for a group of over
+    ``GROUP`` nodes. Such a group is tested block by block, with a few of its nodes, the pivots, in every
+    block, so that a dense group becomes one component at once. Then what isn't in its largest
+    component is tested against all of it, by pairs of blocks: no pair that could join two components is left out.
+    """
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - F.lit(1).cast("bigint"))
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))
+    large = sets.where("blocks > 1")
+    pivots = large.groupBy("root", F.pmod(F.xxhash64(F.lit(6), "node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("node")).select("node")
+    everywhere = large.join(pivots, "node").select("node", "root", F.explode(upto("blocks")).alias("block"), "shingles")
+    first = sets.select("node", "root", own.alias("block"), "shingles").union(everywhere)
+    found = written(_near_links(first.select(F.xxhash64("root", "block").alias("chunk"), "node", F.col("node").alias("label"), "shingles"), similarity), "near-links")
+    members = written(large.select("node", "root"), "large-groups")
+    if members.isEmpty():
+        return found
+    inside = found.join(members.select(F.col("node").alias("u")), "u", "left_semi")
+    known = components(inside).select("node", F.col("root").alias("known"))
+    labels = written(members.join(known, "node", "left").select("node", "root", F.coalesce("known", "node").alias("label")), "large-labels")
+    counts = labels.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("root").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total")).where("total > most.n")
+    blocks = lambda n: F.ceil(n / GROUP).cast("int")
+    most = written(most.select("root", F.col("most.label").alias("main"), blocks(F.col("most.n")).alias("mains"), blocks(F.col("total") - F.col("most.n")).alias("others")), "open-groups")
+    pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    of = lambda n: F.pmod(F.xxhash64(F.lit(7), "node"), F.col(n))
+    main = F.transform(upto("others"), lambda x: pair(1, of("mains"), x))
+    other = F.concat(F.transform(upto("mains"), lambda x: pair(1, x, of("others"))), F.transform(upto("others"), lambda x: pair(0, F.least(of("others"), x), F.greatest(of("others"), x))))
+    dealt = labels.join(most, "root").select("node", "root", "label", F.explode(F.when(F.col("label") == F.col("main"), main).otherwise(other)).alias("p"))
+    dealt = written(dealt.select("node", "label", F.xxhash64("root", "p.kind", "p.a", "p.b").alias("chunk")), "open-blocks")
+    return found.union(written(_near_links(dealt.join(sets.select("node", "shingles"), "node"), similarity), "more-near-links"))
 
 
 def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "text", shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """(key, name) of every row: ``name`` is the smallest key of its group of near copies.
 
-    A text has ``TABLES`` fingerprints; two texts are candidates if one of them is within ``radius``
-    bits of the other's, by the links of ``simhash_components``. A candidate stands if the two texts'
-    shingle sets are alike by ``similarity`` or more, which is exact for texts of up to ``SKETCH``
-    distinct shingles and estimated from that many hashes beyond. Texts of equal sketches are copies.
-    Groups are closed under links. Keys may be of any type that has an order, structs included.
+    Texts of equal shingle sets are copies. A text has ``TABLES`` fingerprints; those within ``radius``
+    bits of each other's put texts into one candidate group, by the links of ``simhash_components``.
+    Inside a candidate group two texts are near copies if their whole shingle sets are alike by
+    ``similarity`` or more, and groups are closed under that. Sets are made of texts in candidate groups only,
+    one for each distinct set. Keys may be of any type that has an order, structs included.
     """
-    source = df.select(F.col(key_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+    text = F.col(text_column).cast("string")
+    source = df.select(F.col(key_column).alias("id"), text.alias("text"), F.xxhash64(F.col(key_column), text).alias("row"))
     names = [f"fp{k}" for k in range(TABLES)]
 
+    def class_of(found):
+        return xxhash.xxh64_intdigest(found.tobytes(), 3)
+
     def run(batches):
         for batch in batches:
-            texts = texts_of(batch, "text")
-            found = np.array([simhashes(t, shingle, TABLES) for t in texts], np.uint64).reshape(-1, TABLES).view(np.int64)
-            sketches = [shingle_sketch(t, shingle, SKETCH) for t in texts]
-            classes = np.array([xxhash.xxh64_intdigest(x, 3) for x in sketches], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(classes), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(TABLES)), pa.array(sketches, pa.binary())], names=["id", "fp", *names, "sketch"])
+            parts = [_shingle_hashes(t, shingle) for t in texts_of(batch, "text")]
+            found = np.array([_majority(x, TABLES) for x in parts], np.uint64).reshape(-1, TABLES).view(np.int64)
+            classes = np.array([class_of(_distinct(x)) for x in parts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(classes), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(TABLES))], names=["id", "row", "fp", *names])
 
     columns = ", ".join(f"{n} bigint" for n in names)
-    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp bigint, {columns}, sketch binary"), "sketches")
-    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), *(F.min(n).alias(n) for n in names), F.min("sketch").alias("sketch")), "distinct-sketches")
+    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp bigint, {columns}"), "set-fingerprints")
+    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), F.min("row").alias("row"), *(F.min(n).alias(n) for n in names)), "distinct-sets")
     near = None
     for n in names:
-        # One class stands for those of an equal fingerprint; the others are its candidates.
+        # One class names those of an equal fingerprint; all of them are in its candidate group.
         stands = written(firsts.groupBy(n).agg(F.min("fp").alias("rep")), "representatives")
         same = firsts.join(stands, n).where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
-        linked = written(links(stands.select(F.col(n).alias("fp")), radius, every=TESTED).distinct(), "candidates")
+        linked = written(links(stands.select(F.col(n).alias("fp")), radius).distinct(), "candidates")
         side = lambda x: stands.select(F.col(n).alias(x), F.col("rep").alias(f"{x}_rep"))  # noqa: B023, E731
         both = same.union(linked.join(side("u"), "u").join(side("v"), "v").select("u_rep", "v_rep"))
         near = both if near is None else near.union(both)
-    near = written(near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "candidate-pairs")
-    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("sketch").alias(f"{x}_sketch"))
-    pairs = near.join(of("u"), "u").join(of("v"), "v")
+    groups = written(components(near), "candidate-groups")
+    sizes = written(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")), "candidate-sizes")
+    members = written(groups.join(sizes, "root").join(firsts.select(F.col("fp").alias("node"), "row"), "node").select("row", "node", "root", "blocks"), "candidate-members")
 
-    def test(batches):
+    def whole(batches):
+        seen = set()
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("u_sketch", "v_sketch"))
-            keep = pa.array([resemblance(x, y, SKETCH) >= similarity for x, y in zip(a, b)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(keep)
-
-    labels = _named(firsts, written(pairs.mapInArrow(test, "u bigint, v bigint"), "near-links"))
+            rows = []
+            for i, (text, node) in enumerate(zip(texts_of(batch, "text"), batch.column("node").to_pylist())):
+                # Rows of equal id and text come more than once; a class is named by its own set only.
+                if node not in seen and class_of(found := shingle_set(text, shingle)) == node % (1 << 64):
+                    seen.add(node)
+                    rows.append((i, found.tobytes()))
+            own = batch.select(["node", "root", "blocks"]).take(pa.array([i for i, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x for _, x in rows], pa.binary())], names=["node", "root", "blocks", "shingles"])
+
+    texts = source.select("row", "text").join(members, "row").select("node", "root", "blocks", "text")
+    sets = written(texts.mapInArrow(whole, "node bigint, root bigint, blocks int, shingles binary"), "shingle-sets")
+    labels = _named(firsts, _group_links(sets, similarity))
     return held.select("id", "fp").join(labels, "fp").select(F.col("id").alias(key_column), "name")
 
 

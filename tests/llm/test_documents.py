@@ -153,6 +153,48 @@ def test_near_duplicates_are_dropped(spark, odd_docs):
     assert sorted(num(r.doc_id) for r in odd.collect()) == [-1, 1, 2, 4, 8, 9]
 
 
+def near_groups(texts, k=5, similarity=0.8):
+    """For each text the first of its group, by shingle sets of all pairs."""
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in map(str.split, texts)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity]
+    return brute_components(pairs, range(len(texts)))
+
+
+def found_groups(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return {r.doc_id: r.name for r in simhash.near_duplicate_groups(df, "doc_id").select("doc_id", F.col("name").alias("name")).collect()}
+
+
+def test_near_copies_in_full_buckets(spark):
+    """Fingerprints ruled by one line are all near each other; the endings tell which texts are copies."""
+    rng = random.Random(12)
+    line, texts = [f"l{i}" for i in range(12)], []
+    for g in range(250):
+        tail = [f"t{g}w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join(line * 12 + tail[:-1] + [f"end{k}"]) for k in range(5)]
+    expected = near_groups(texts)
+    assert len(set(expected.values())) == 250
+    assert found_groups(spark, texts) == expected
+
+
+@pytest.mark.parametrize("group", [512, 8])
+def test_chains_of_near_copies(spark, monkeypatch, group):
+    """Three steps of forty texts, of which only next ones are alike: no single text stands for all."""
+    monkeypatch.setattr(simhash, "GROUP", group, raising=False)
+    rng = random.Random(31)
+    texts = []
+    for g in range(5):
+        words = [f"c{g}w{rng.randrange(10**6)}" for _ in range(300)]
+        for step in range(3):
+            for k in range(4 if step else 0):
+                words[20 * (4 * step + k)] = f"edit{g}x{step}x{k}"
+            texts += [" ".join([*words[:-1], f"end{step}x{k}"]) for k in range(40)]
+    rng.shuffle(texts)
+    expected = near_groups(texts)
+    assert len(set(expected.values())) == 5
+    assert found_groups(spark, texts) == expected
+
+
 def test_imatch(spark, odd_docs, documents):
     for df in (odd_docs, documents):
         rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
