@@ -195,6 +195,19 @@ def test_chains_of_near_copies(spark, monkeypatch, group):
     assert found_groups(spark, texts) == expected
 
 
+def test_near_copies_of_equal_fingerprints(spark):
+    """One word, said over and over, rules the fingerprints of all; the endings tell which are copies."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(6):
+        tail = [f"t{g}w{rng.randrange(10**6)}" for _ in range(100)]
+        texts += [" ".join(["again"] * 3000 + tail), " ".join(["again"] * 3000 + tail[:-1] + ["other"])]
+    assert len({tuple(simhash.simhashes(t, 5, 2)) for t in texts}) == 1
+    expected = near_groups(texts)
+    assert len(set(expected.values())) == 6
+    assert found_groups(spark, texts) == expected
+
+
 def test_imatch(spark, odd_docs, documents):
     for df in (odd_docs, documents):
         rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
