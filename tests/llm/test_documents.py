@@ -208,6 +208,28 @@ def test_near_copies_of_equal_fingerprints(spark):
     assert found_groups(spark, texts) == expected
 
 
+def test_similarity_is_of_whole_texts(spark):
+    """Pairs near 0.8 on either side, whose smallest 256 hashes say otherwise."""
+    wrong = {True: [], False: []}
+    for seed in range(4000):
+        rng = random.Random(seed)
+        a = [f"s{seed}w{rng.randrange(10**6)}" for _ in range(604)]
+        b = list(a)
+        edits = (13, 14)[seed % 2]
+        for k in range(edits):
+            b[20 + 40 * k] = f"edit{k}"
+        a, b = " ".join(a), " ".join(b)
+        alike = (600 - 5 * edits) / (600 + 5 * edits) >= 0.8
+        said = simhash.resemblance(simhash.shingle_sketch(a, 5, 256), simhash.shingle_sketch(b, 5, 256), 256) >= 0.8
+        if alike != said and len(wrong[alike]) < 3 and any((x ^ y).bit_count() <= 7 for x, y in zip(simhash.simhashes(a, 5, 2), simhash.simhashes(b, 5, 2))):
+            wrong[alike] += [(a, b)]
+        if all(len(x) == 3 for x in wrong.values()):
+            break
+    texts = [t for pairs in wrong.values() for p in pairs for t in p]
+    assert len(texts) == 12 and len(set(near_groups(texts).values())) == 9
+    assert found_groups(spark, texts) == near_groups(texts)
+
+
 def test_imatch(spark, odd_docs, documents):
     for df in (odd_docs, documents):
         rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
