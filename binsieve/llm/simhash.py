@@ -71,6 +71,10 @@ def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, "<u8"), *parts]))
 
 
+def _pieces(hashes: np.ndarray) -> list[np.ndarray]:
+    return [hashes[at : at + COUNT_ROWS] for at in range(0, len(hashes), COUNT_ROWS)]
+
+
 def shingle_set(text: str, shingle: int) -> np.ndarray:
     """The 64-bit hashes of all distinct shingles of one text, in order."""
     return _distinct(_shingle_hashes(text, shingle))
@@ -354,7 +358,7 @@ def _group_links(sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "text", shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """(key, name) of every row: ``name`` is the smallest key of its group of near copies.
 
-    Texts of equal shingle sets are copies. A text has ``TABLES`` fingerprints; those within ``radius``
+    Texts of equal shingle sets are copies. A text has ``TABLES`` fingerprints of its distinct shingles; those within ``radius``
     bits of each other's put texts into one candidate group, by the links of ``simhash_components``.
     Inside a candidate group two texts are near copies if their whole shingle sets are alike by
     ``similarity`` or more, and groups are closed under that. Sets are made of texts in candidate groups only,
@@ -370,8 +374,10 @@ def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "te
     def run(batches):
         for batch in batches:
             parts = [_shingle_hashes(t, shingle) for t in texts_of(batch, "text")]
-            found = np.array([_majority(x, TABLES) for x in parts], np.uint64).reshape(-1, TABLES).view(np.int64)
-            classes = np.array([class_of(_distinct(x)) for x in parts], np.uint64).view(np.int64)
+            # Over distinct shingles, as similarity is: a line said often has no more say than one said once.
+            sets = [_distinct(x) for x in parts]
+            found = np.array([_majority(_pieces(x), TABLES) for x in sets], np.uint64).reshape(-1, TABLES).view(np.int64)
+            classes = np.array([class_of(x) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(classes), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(TABLES))], names=["id", "row", "fp", *names])
 
     columns = ", ".join(f"{n} bigint" for n in names)

@@ -230,6 +230,17 @@ def test_similarity_is_of_whole_texts(spark):
     assert found_groups(spark, texts) == near_groups(texts)
 
 
+def test_repeated_lines_hide_no_near_copy(spark):
+    rng = random.Random(6)
+    texts = []
+    for g in range(6):
+        words, line = ([f"{k}{g}w{rng.randrange(10**6)}" for _ in range(n)] for k, n in (("r", 300), ("l", 12)))
+        texts += [" ".join(words + line * 2), " ".join([*words[:-1], "other"] + line * 200)]
+    expected = near_groups(texts)
+    assert len(set(expected.values())) == 6
+    assert found_groups(spark, texts) == expected
+
+
 def test_imatch(spark, odd_docs, documents):
     for df in (odd_docs, documents):
         rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
