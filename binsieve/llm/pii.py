@@ -130,16 +130,17 @@ _WORD_AT = r"(?<=[A-Za-z0-9])\x20at\x20(?=[A-Za-z0-9-]+(?:\x20dot\x20|\x20?[\[({
 _WORD_DOT = r"(?<=[A-Za-z0-9])\x20dot\x20(?=[A-Za-z0-9-])"
 _POINT = rf"(?<=[0-9])\x20(?:dot|point)\x20(?=[0-9]|{_DIGIT}\b)"
 _SECOND = re.compile(rf"(?P<at>{_BRACKET_AT}|{_WORD_AT})|(?P<spelled>\b(?:plus\x20)?{_DIGIT}(?:(?:{_GAP}|\x20(?:dot|point)\x20)(?:{_DIGIT}\b|[0-9]))+\b)|(?P<dot>{_BRACKET_DOT}|{_POINT}|{_WORD_DOT})", re.I)
-_HINTS = frozenset(DIGIT_WORDS) - {"oh"} | {"dot"}
+#: Every rewriting but that of a bracketed sign has one of these, as a word.
+_HINTS = frozenset(DIGIT_WORDS) | {"dot", "point"}
 _BRACKETED = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]", re.I)
 _UNIT = re.compile(rf"{_DIGIT}\b|[0-9]|dot|point|plus", re.I)
 
 
 def _may_spell(text: str) -> bool:
-    """Whether the second transducer can rewrite anything: a spelled digit, a dot, or a bracketed sign."""
+    """Whether the second transducer can rewrite anything: a spelled digit, a dot or point, or a bracketed sign."""
     if any(x in text for x in "[({<") and _BRACKETED.search(text):
         return True
-    low = text.lower()
+    low = text.replace("İ", "i").lower()
     for word in _HINTS:
         at = low.find(word)
         while at >= 0:

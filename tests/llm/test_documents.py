@@ -328,6 +328,17 @@ def test_disguises():
         assert pii.find(plain)[1] == []
 
 
+def test_shortcut_skips_nothing(monkeypatch):
+    rng = random.Random(10)
+    words = ["192", "168", "0", "4", "1", "2 2", "point", "dot", "Point", "oh", "nine", "plus", "at", "joe", "mail", "com", "[at]", "(dot", "{.}", "+49", "-", ",", "pointed", "f\u0130ve"]
+    texts = ["ip 192 point 168 point 0 point 12 ok", "card oh " + " ".join("4018949746087950"), "call plus 4 oh 1 2 3 4 5 6 7 8 9"]
+    texts += [" ".join(rng.choice(words[:24 if i % 2 else 10]) for _ in range(rng.randint(2, 14))) for i in range(40_000)]
+    gated = [pii.find(t) for t in texts]
+    assert [(k, texts[0][a:b]) for k, a, b in gated[0][1]] == [("ip", "192 point 168 point 0 point 12")]
+    monkeypatch.setattr(pii, "_may_spell", lambda text: True)
+    assert gated == [pii.find(t) for t in texts]
+
+
 def test_pii_rows(odd_docs):
     rows = {r.doc_id: r for r in pii.find_pii(odd_docs).collect()}
     text = odd_docs.where("doc_id = 9").first().text
