@@ -159,9 +159,10 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 2,
     dealt.mapInArrow(blocks, "shard int, block int, first bigint, n_ids bigint, data binary").write.option("compression", "zstd").parquet(path)
 
 
-def read_token_files(spark, path: str, id_column: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+def read_token_files(spark, path: str, id_column: str = "doc_id", keep_ids: bool = False, only: list[int] | None = None) -> DataFrame:
     """Each document of the files: id, ``start`` among all ids, ``n_tokens``, ``ids_crc32``, optionally ``ids``.
 
+    With ``only``, those of the ids in it: their boundaries are selected one by one, others aren't decoded.
     The files' manifest is the number of ids of each shard, which is as many numbers as there are shards.
     """
     files = spark.read.schema("shard int, block int, first bigint, n_ids bigint, data binary").parquet(path)
@@ -171,14 +172,23 @@ def read_token_files(spark, path: str, id_column: str = "doc_id", keep_ids: bool
         before[shard] = total
         total += sizes[shard]
 
+    wanted = None if only is None else np.unique(np.array(only, np.int64))
+
     def run(batches):
         for batch in batches:
             for shard, first, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "data"))):
                 doc_ids, known, code, tokens = read_block(data)
-                ends = code.values()
-                starts = np.append(0, ends[:-1])
-                wide = tokens.astype("<u4")
-                crc = np.array([zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+                if wanted is None:
+                    ends = code.values()
+                    starts = np.append(0, ends[:-1])
+                else:
+                    own = np.flatnonzero(known & np.isin(doc_ids, wanted))
+                    ends = np.array([code.select(i) for i in own.tolist()], np.int64)
+                    starts = np.array([code.select(i - 1) if i else 0 for i in own.tolist()], np.int64)
+                    doc_ids, known = doc_ids[own], known[own]
+                # Whole blocks are widened at once, single documents alone.
+                wide = tokens.astype("<u4") if wanted is None else tokens
+                crc = np.array([zlib.crc32(wide[a:b].astype("<u4", copy=False)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
                 columns = [pa.array(doc_ids, mask=~known), pa.array(starts + first + before[shard]), pa.array(ends - starts), pa.array(crc)]
                 if keep_ids:
                     columns.append(pa.array([wide[a:b].astype(np.int32) for a, b in zip(starts, ends)], pa.list_(pa.int32())))

@@ -199,3 +199,14 @@ def test_token_files(spark, odd_docs, tmp_path):
     write_token_files(odd_docs.where("doc_id = 1"), path, WORD, wide=True, shards=2)
     assert read_token_files(spark, path, keep_ids=True).first().ids == [*library(WORD, odd_docs.where("doc_id = 1").first().text).tolist(), 2]
     assert token_files_round_trip(odd_docs.where("false"), WORD).count() == 0
+
+
+def test_single_documents_are_selected(spark, odd_docs, documents, tmp_path):
+    """A lookup gives the rows that reading everything gives for these ids, the first and last of a block included."""
+    both = odd_docs.select("doc_id", "text").union(documents.select(documents.doc_id + 100, "text"))
+    path = str(tmp_path / "files")
+    write_token_files(both, path, WORD, shards=3)
+    every = read_token_files(spark, path, keep_ids=True).collect()
+    for ids in ([1, 5, 8], [r.doc_id for r in every if r.doc_id is not None], [10**9], []):
+        got = read_token_files(spark, path, keep_ids=True, only=ids).collect()
+        assert sorted(got, key=lambda r: r.start) == sorted((r for r in every if r.doc_id in ids), key=lambda r: r.start)
