@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from binsieve.sources.scratch import scratch_path
 
 #: Characters of text that one vectorised step works on; longer single texts form a step of their own.
 STEP_CHARS = 1 << 20
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, as the cluster names it.
-
-    Only where that is unset is one chosen here: under the warehouse, or, with a local master, a
-    temporary folder.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        root = tempfile.mkdtemp(prefix="binsieve-")
-    else:
-        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+#: Bytes of text that become Python objects at once.
+SLICE_BYTES = 1 << 22
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -46,7 +23,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     Cuts the lineage: what follows re-reads the table after an executor is lost.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,20 +45,29 @@ def steps(texts: list[str], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow of a function of one batch."""
+def sliced(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, in slices of about ``most`` bytes of a text or binary column, at least one row.
+
+    Arrow batches hold so many rows, however long their texts are; Python objects are made of one slice at a time.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(lengths)
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+def unused_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names with underscores before them, as many as it takes to differ from all taken ones."""
+    prefix, lower = "_", {x.lower() for x in taken}
+    while any(prefix + x in lower for x in names):
+        prefix += "_"
+    return [prefix + x for x in names]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def empty_for_null(column: str = "text"):
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -74,7 +74,7 @@ class WordEncoder:
         out: list[bytes] = []
         for a, b in steps(texts):
             some = texts[a:b]
-            if any("<|" in t for t in some) and any(s in t for t in some for s in self.special):
+            if any(s in t for t in some for s in self.special):
                 for text in some:
                     out.append(b"".join(x.to_bytes(4, "little") if isinstance(x, int) else self._plain([x])[0] for x in self._parts(text)))
             else:
@@ -97,9 +97,15 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def _special(path: str) -> dict[str, int]:
+def special_tokens(path: str) -> dict[str, int]:
+    """Ids of a file's added tokens, which are looked for in the text as it is, before all else."""
     with open(path, encoding="utf-8") as f:
-        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"] if not x["normalized"]}
+        file = json.load(f)
+    for x in file["added_tokens"]:
+        if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] and file["normalizer"]:
+            raise ValueError(f"added token {x['content']!r} is matched in a way that isn't supported")
+    # Of two that begin at one place the longer is taken first, as it can hold the other.
+    return {x["content"]: x["id"] for x in sorted(file["added_tokens"], key=lambda x: -len(x["content"]))}
 
 
 def _asker(path: str, end: str = ""):
@@ -139,9 +145,9 @@ def shared_classes(spark):
 
 def byte_encoder(path: str, table: np.ndarray) -> WordEncoder:
     """Ids as the library gives for a byte-level BPE file."""
-    return kept(("byte", path), lambda: WordEncoder(_asker(path), table, "byte", _special(path)))
+    return kept(("byte", path), lambda: WordEncoder(_asker(path), table, "byte", special_tokens(path)))
 
 
 def word_encoder(path: str, table: np.ndarray) -> WordEncoder:
     """Ids as the library gives for a lower-casing BPE file with word ends."""
-    return kept(("word", path), lambda: WordEncoder(_asker(path), table, "word", _special(path), lowered))
+    return kept(("word", path), lambda: WordEncoder(_asker(path), table, "word", special_tokens(path), lowered))
