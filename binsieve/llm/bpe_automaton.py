@@ -3,13 +3,14 @@
 The merges are compiled into a deterministic automaton over tokens that accepts exactly the token
 sequences BPE produces. It starts as one state with a loop for every byte; each merge (u, v) -> w, in
 order of rank, is one gadget: the state that u leads to is copied without its v arc and u is led to
-the copy, and every state with a u arc gets a w arc to where u, v led. After all merges a state is
-known by the token that led to it, so the gadgets are kept as four arrays by token (left and right
-part, rank, byte label) and a table of withdrawn arcs, a few megabytes however many arcs they stand
-for; ``arc`` tells if a state has an arc, and answers are kept in a bounded transition table.
-
-Words are encoded by following arcs whose labels spell the word, longest first; exactly one path does,
-and places from which none leads on are remembered, so each is tried once. Decoding emits arc labels.
+the copy, and every state with a u arc gets a w arc to where u, v led. A token leads to one state
+from everywhere, so the transition table says which tokens each state has an arc for, one bit an arc.
+States that no token leads to any more are used again, and tokens that the same states have arcs for share a column:
+a vocabulary of 50,257 tokens has 14,639 states, 10,482 columns and 7.1e8 arcs in 19 MB.
+
+Words are encoded by table-driven transitions: as a part of an accepted path is accepted too, each place in a
+word is reached by one token, the one whose arc leaves the state reached where the token begins.
+Decoding emits arc labels.
 """
 
 from __future__ import annotations
@@ -22,91 +23,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsieve.llm.common import texts_of
-from binsieve.llm.encoding import WordEncoder, byte_letters, kept, packed, shared_classes
-
-#: Transitions kept; the table is emptied when it is full.
-TABLE_ARCS = 1 << 20
-
+from binsieve.llm.common import sliced, texts_of
+from binsieve.llm.encoding import WordEncoder, byte_letters, kept, packed, shared_classes, special_tokens
 
 class MergeAutomaton:
-    """The automaton of a byte-level BPE vocabulary: ``labels[id]`` bytes and (left, right) id merges."""
+    """The automaton of a byte-level BPE vocabulary: ``labels[id]`` bytes and (left, right) id merges.
+
+    ``state[id]`` is where a token leads, -1 for a token that is never made; ``table`` has a column of ``stride``
+    bytes for each ``column[id]``, with one bit for each state that has an arc for the token.
+    """
 
     def __init__(self, labels: list[bytes], merges: list[tuple[int, int, int]]):
-        n = len(labels)
         self.labels = labels
-        self.left, self.right, self.rank = [-1] * n, [-1] * n, [-1] * n
-        self.withdrawn: dict[int, int] = {}
-        self.by_label: dict[bytes, int] = {}
-        for number, label in enumerate(labels):
+        self._compile(merges)
+        self.by_label = {label: t for t, label in enumerate(labels) if self.state[t] >= 0 and label}
+        lengths: dict[int, set[int]] = {}
+        for label in self.by_label:
+            lengths.setdefault(label[-1], set()).add(len(label))
+        #: Lengths of the labels that end with each byte, longest first.
+        self.lengths = [sorted(lengths.get(b, ()), reverse=True) for b in range(256)]
+
+    def _compile(self, merges: list[tuple[int, int, int]]) -> None:
+        """Build the table gadget by gadget: ``bits[t >> 3, s]`` has bit ``t & 7`` if state s has an arc for token t."""
+        n, made = len(self.labels), set()
+        bits = np.zeros(((n + 7) // 8, 1 << 10), np.uint8)
+        state, led = np.full(n, -1, np.int64), np.zeros(1 << 10, np.int64)
+        for token, label in enumerate(self.labels):
             if len(label) == 1:
-                self.by_label[label] = number
-        self.table: dict[int, bool] = {}
-        for rank, (u, v, w) in enumerate(merges):
-            self.gadget(rank, u, v, w)
-        self.table.clear()
-        self.longest = max(map(len, self.by_label), default=0)
-
-    def gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        """Add one merge. Where a part is never made, or the parts never meet any more, there is no arc to withdraw."""
-        if self.rank[w] >= 0:
-            raise ValueError(f"two merges make token {w}")
-        if any(len(self.labels[x]) > 1 and self.rank[x] < 0 for x in (u, v)) or not self.arc(u, v, rank):
-            return
-        self.withdrawn.setdefault(u << 32 | v, rank)
-        self.left[w], self.right[w], self.rank[w] = u, v, rank
-        self.by_label[self.labels[w]] = w
-
-    def arc(self, state: int, token: int, before: int) -> bool:
-        """Does the state that token ``state`` leads to have an arc ``token``, after the gadgets of rank < before?"""
-        left, right, rank, withdrawn = self.left, self.right, self.rank, self.withdrawn
-        while True:
-            gone = withdrawn.get(state << 32 | token)
-            if gone is not None and gone < before:
-                return False
-            r, s = rank[token], rank[state]
-            if r < 0 and s < 0:
-                return True
-            if r >= s:  # the arc came with the token's gadget, where the state had an arc for its left part
-                token, before = left[token], r + 1
-            else:  # the state is a copy of the one its right part led to
-                state, before = right[state], s
-
-    def step(self, state: int, token: int) -> bool:
-        key = state << 32 | token
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) >= TABLE_ARCS:
-                self.table.clear()
-            known = self.table[key] = self.arc(state, token, 1 << 62)
-        return known
+                bits[token >> 3, 0] |= 1 << (token & 7)
+                state[token] = 0
+                led[0] += 1
+        free = list(range(len(led) - 1, 0, -1))
+        led[0] += 1  # a word begins there
+        for u, v, w in merges:
+            if w in made:
+                raise ValueError(f"two merges make token {w}")
+            made.add(w)
+            own, target = state[u], state[v]
+            # Where a part is never made, or the parts never meet any more, there is no arc to withdraw.
+            if own < 0 or target < 0 or not bits[v >> 3, own] >> (v & 7) & 1:
+                continue
+            if led[own] > 1 or u == v:
+                if not free:
+                    more = len(led) // 2
+                    free = list(range(len(led) + more - 1, len(led) - 1, -1))
+                    bits, led = np.pad(bits, ((0, 0), (0, more))), np.pad(led, (0, more))
+                copy = free.pop()
+                bits[:, copy] = bits[:, own]
+                led[own] -= 1
+                led[copy] = 1
+                state[u] = own = copy
+            bits[v >> 3, own] &= 0xFF ^ (1 << (v & 7))
+            bits[w >> 3] |= (bits[u >> 3] >> np.uint8(u & 7) & np.uint8(1)) << np.uint8(w & 7)
+            state[w] = target
+            led[target] += 1
+        live, numbers = np.unique(state[state >= 0], return_inverse=True)
+        state[state >= 0] = numbers
+        bits = np.ascontiguousarray(bits[:, live])
+        columns: dict[bytes, int] = {}
+        self.column = [columns.setdefault(np.packbits(bits[t >> 3] >> np.uint8(t & 7) & np.uint8(1), bitorder="little").tobytes(), len(columns)) for t in range(n)]
+        self.state, self.stride, self.states = state.tolist(), (len(live) + 7) // 8, len(live)
+        self.table = b"".join(columns)
+
+    def arcs(self) -> int:
+        """How many arcs the table stands for."""
+        of_column = [int.from_bytes(self.table[k : k + self.stride], "little").bit_count() for k in range(0, len(self.table), self.stride)] if self.stride else []
+        return sum(of_column[c] for c, s in zip(self.column, self.state) if s >= 0)
+
+    def step(self, state: int, token: int) -> int:
+        """Where the arc for a token leads from a state, -1 if there is none."""
+        if self.state[token] < 0 or not self.table[self.column[token] * self.stride + (state >> 3)] >> (state & 7) & 1:
+            return -1
+        return self.state[token]
 
     def encode(self, word: bytes) -> list[int]:
-        """The one accepted path whose labels spell the word."""
+        """The one accepted path whose labels spell the word; one step for each place and label that can end there."""
         whole = self.by_label.get(word)
         if whole is not None:
             return [whole]
-        n, longest, get, step, table = len(word), self.longest, self.by_label.get, self.step, self.table
-        path: list[int] = []
-        places: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, state, length = 0, -1, min(longest, n)
-        while at < n:
-            while length:
-                token = get(word[at : at + length])
-                if token is not None and (state < 0 or table.get(state << 32 | token) or step(state, token)) and not (dead and (at + length, token) in dead):
+        get, state, column, table, stride, lengths = self.by_label.get, self.state, self.column, self.table, self.stride, self.lengths
+        into: list[int] = [0]
+        for at in range(1, len(word) + 1):
+            for length in lengths[word[at - 1]]:
+                if length < at:
+                    token = get(word[at - length : at])
+                    if token is None:
+                        continue
+                    before = state[into[at - length]]
+                    if table[column[token] * stride + (before >> 3)] >> (before & 7) & 1:
+                        break
+                elif length == at and (token := get(word[:at])) is not None:
                     break
-                length -= 1
-            if length:
-                path.append(token)
-                places.append(at)
-                at, state = at + length, token
-                length = min(longest, n - at)
-            else:  # no arc leads on: take the last one back
-                dead.add((at, state))
-                length, at = len(self.labels[path.pop()]) - 1, places.pop()
-                state = path[-1] if path else -1
-        return path
+            else:
+                raise ValueError(f"no token for byte {word[at - 1]}")
+            into.append(token)
+        path, at = [], len(word)
+        while at:
+            path.append(into[at])
+            at -= len(self.labels[into[at]])
+        return path[::-1]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The labels of the arcs, in order."""
@@ -118,10 +133,11 @@ def compile_file(path: str) -> tuple[MergeAutomaton, dict[str, int]]:
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     letters = {c: b for b, c in byte_letters().items()}
-    vocab, special = file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
+    vocab, special = file["model"]["vocab"], special_tokens(path)
     labels = [b""] * (1 + max([*vocab.values(), *special.values()]))
     for shown, number in vocab.items():
-        labels[number] = bytes(letters[c] for c in shown)
+        if shown not in special:
+            labels[number] = bytes(letters[c] for c in shown)
     merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in file["model"]["merges"]]
     made = MergeAutomaton(labels, merges)
     for name, number in special.items():
@@ -145,7 +161,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
     integers), ``decoded_sha256`` (the decoded text in UTF-8), and with ``keep_ids`` also ``ids`` and
     ``decoded``. One row out for each row in, in no order; a null or empty text has no tokens; other
     columns are dropped, whatever their names. No shuffle; the automaton is compiled by the driver
-    and its tables, fixed by the vocabulary, are sent to the executors.
+    and its table, of a size that the vocabulary alone fixes, is sent to the executors.
     """
     spark = df.sparkSession
     compiled = spark.sparkContext.broadcast(kept(("compiled", tokenizer), lambda: compile_file(tokenizer)))
@@ -155,7 +171,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, id_column: str = "doc_id", tex
 
     def run(batches):
         words, automaton = encoder(tokenizer, classes.value, compiled.value)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows: dict[str, list] = {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for ids in words.encode(texts_of(batch, "text")):
                 numbers = np.frombuffer(ids, "<u4")
