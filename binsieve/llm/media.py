@@ -9,8 +9,10 @@ exact offset and length. ``encode_wav`` and ``read_wav`` store bytes losslessly
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import ahocorasick
@@ -19,13 +21,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsieve.llm.common import STEP_CHARS, texts_of, written
+from binsieve.llm.common import STEP_CHARS, sliced, texts_of, written
 from binsieve.llm.encoding import kept
 
 RATE = 8000
+_STARTXREF = re.compile(rb"startxref\s+(\d{1,10})\s+$")
+_XREF = re.compile(rb"xref\b|\d+\s+\d+\s+obj\b")
 
 
-def _wav(b: memoryview, at: int) -> int:
+class Marks:
+    """What validators look up: found in the one pass over a value, so that none of them searches it again.
+
+    ``zips`` has the length of an archive by its start, as its end record tells both; ``starts`` and
+    ``ends`` are the places of PDF headers and end marks, in order.
+    """
+
+    def __init__(self, b: memoryview, hits: list[tuple[int, bytes]]):
+        self.zips: dict[int, int] = {}
+        self.starts = [at for at, magic in hits if magic == b"%PDF-"]
+        self.ends = [at for at, magic in hits if magic == b"%%EOF"]
+        for at, magic in hits:
+            if magic == b"PK\5\6" and at + 22 <= len(b):
+                size, offset, comment = struct.unpack_from("<IIH", b, at + 12)
+                start = at - size - offset
+                if start >= 0 and (not size or bytes(b[start + offset : start + offset + 4]) == b"PK\1\2") and at + 22 + comment <= len(b):
+                    self.zips.setdefault(start, at + 22 + comment - start)
+
+
+def _wav(b: memoryview, at: int, _: Marks) -> int:
     """RIFF/WAVE: chunks fill the declared size exactly, format before data."""
     if len(b) < at + 12 or bytes(b[at + 8 : at + 12]) != b"WAVE":
         return 0
@@ -40,14 +63,18 @@ def _wav(b: memoryview, at: int) -> int:
     return end - at if here == end and b"d" in seen else 0
 
 
-def _webp(b: memoryview, at: int) -> int:
-    if len(b) < at + 16 or bytes(b[at + 8 : at + 12]) != b"WEBP" or bytes(b[at + 12 : at + 16]) not in (b"VP8 ", b"VP8L", b"VP8X"):
+def _webp(b: memoryview, at: int, _: Marks) -> int:
+    """RIFF/WEBP: chunks fill the declared size exactly, an image chunk first."""
+    if len(b) < at + 20 or bytes(b[at + 8 : at + 12]) != b"WEBP" or bytes(b[at + 12 : at + 16]) not in (b"VP8 ", b"VP8L", b"VP8X"):
         return 0
-    size = 8 + struct.unpack_from("<I", b, at + 4)[0]
-    return size if at + size <= len(b) else 0
+    end, here = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12
+    while end <= len(b) and here + 8 <= end:
+        size = struct.unpack_from("<I", b, here + 4)[0]
+        here += 8 + size + size % 2
+    return end - at if here == end else 0
 
 
-def _png(b: memoryview, at: int) -> int:
+def _png(b: memoryview, at: int, _: Marks) -> int:
     """Chunks with right checksums from IHDR to IEND."""
     here, first = at + 8, True
     while here + 12 <= len(b):
@@ -61,7 +88,7 @@ def _png(b: memoryview, at: int) -> int:
     return 0
 
 
-def _gif(b: memoryview, at: int) -> int:
+def _gif(b: memoryview, at: int, _: Marks) -> int:
     """Blocks of known kinds up to the trailer."""
     if len(b) < at + 13 or bytes(b[at : at + 6]) not in (b"GIF87a", b"GIF89a"):
         return 0
@@ -87,7 +114,7 @@ def _gif(b: memoryview, at: int) -> int:
     return 0
 
 
-def _jpeg(b: memoryview, at: int) -> int:
+def _jpeg(b: memoryview, at: int, _: Marks) -> int:
     """Segments by their lengths; entropy-coded data up to a marker; ends at EOI."""
     here, frame = at + 2, False
     while here + 4 <= len(b) and b[here] == 0xFF:
@@ -107,52 +134,55 @@ def _jpeg(b: memoryview, at: int) -> int:
     return here + 2 - at if frame and here + 2 <= len(b) and bytes(b[here : here + 2]) == b"\xff\xd9" else 0
 
 
-def _bmp(b: memoryview, at: int) -> int:
-    if len(b) < at + 30:
+def _bmp(b: memoryview, at: int, _: Marks) -> int:
+    """A header whose sizes agree: uncompressed rows, each padded to four bytes, fit between offset and end."""
+    if len(b) < at + 34:
         return 0
-    size, zero, offset, header = struct.unpack_from("<IIII", b, at + 2)
-    planes, depth = struct.unpack_from("<HH", b, at + 26)
-    good = not zero and header in (40, 52, 56, 108, 124) and 14 + header <= offset <= size and planes == 1 and depth in (1, 4, 8, 16, 24, 32)
-    return size if good and at + size <= len(b) else 0
+    size, zero, offset, header, width, height = struct.unpack_from("<IIIIii", b, at + 2)
+    planes, depth, packing = struct.unpack_from("<HHI", b, at + 26)
+    good = not zero and header in (40, 52, 56, 108, 124) and 14 + header <= offset <= size and planes == 1 and depth in (1, 4, 8, 16, 24, 32) and width > 0 and height
+    rows = (width * depth + 31) // 32 * 4 * abs(height) if packing in (0, 3) else 1
+    return size if good and offset + rows <= size and at + size <= len(b) else 0
 
 
-def _gzip(b: memoryview, at: int) -> int:
-    """One member that inflates, with right checksum and length."""
+def _gzip(b: memoryview, at: int, _: Marks) -> int:
+    """One member that inflates, with right checksum and length; read by pieces, so that nothing is copied twice."""
     if len(b) < at + 18 or b[at + 3] & 0xE0:
         return 0
-    inflater = zlib.decompressobj(31)
+    inflater, here, piece = zlib.decompressobj(31), at, 1 << 14
     try:
-        rest = b[at:]
         while not inflater.eof:
-            if not rest:
+            some = inflater.unconsumed_tail or b[here : here + piece]
+            if not inflater.unconsumed_tail:
+                here += len(some)
+            if not some:
                 return 0
-            inflater.decompress(rest, 1 << 20)
-            rest = inflater.unconsumed_tail
+            inflater.decompress(some, 1 << 20)
     except zlib.error:
         return 0
-    return len(b) - at - len(inflater.unused_data)
+    return here - at - len(inflater.unused_data)
 
 
-def _zip(b: memoryview, at: int) -> int:
+def _zip(b: memoryview, at: int, marks: Marks) -> int:
     """An end record whose directory lies right before it and whose first file is here."""
-    data = bytes(b[at:])
-    end = data.find(b"PK\5\6")
-    while end >= 0 and end + 22 <= len(data):
-        size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
-        if offset + size == end and (data[offset : offset + 4] == b"PK\1\2" or not size) and end + 22 + comment <= len(data):
-            return end + 22 + comment
-        end = data.find(b"PK\5\6", end + 4)
+    return marks.zips.get(at, 0)
+
+
+def _pdf(b: memoryview, at: int, marks: Marks) -> int:
+    """Up to the last end mark before the next file's header where the number after startxref leads to a table or an object."""
+    after = bisect_right(marks.starts, at)
+    stop = marks.starts[after] if after < len(marks.starts) else len(b)
+    for k in range(bisect_left(marks.ends, stop) - 1, bisect_right(marks.ends, at) - 1, -1):
+        end = marks.ends[k]
+        told = _STARTXREF.search(b[max(at, end - 48) : end])
+        place = at + int(told[1]) if told else end
+        if place < end and _XREF.match(b[place : place + 32]):
+            return end + 5 - at
     return 0
 
 
-def _pdf(b: memoryview, at: int) -> int:
-    data = bytes(b[at:])
-    end = data.rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in data[:end] else 0
-
-
-def _flac(b: memoryview, at: int) -> int:
-    """Metadata blocks from STREAMINFO on, then a frame's sync code; frames run to the end."""
+def _flac(b: memoryview, at: int, _: Marks) -> int:
+    """Metadata blocks from STREAMINFO on, then a frame's sync code; frames carry no length and run to the end."""
     here, first = at + 4, True
     while here + 4 <= len(b):
         kind, size = b[here], int.from_bytes(b[here + 1 : here + 4], "big")
@@ -164,7 +194,7 @@ def _flac(b: memoryview, at: int) -> int:
     return 0
 
 
-def _ogg(b: memoryview, at: int) -> int:
+def _ogg(b: memoryview, at: int, _: Marks) -> int:
     """Pages by their segment tables, from a first to a last one."""
     here, last = at, False
     while not last and here + 27 <= len(b) and bytes(b[here : here + 5]) == b"OggS\0":
@@ -176,7 +206,7 @@ def _ogg(b: memoryview, at: int) -> int:
     return here - at if last and here <= len(b) else 0
 
 
-def _mp4(b: memoryview, at: int) -> int:
+def _mp4(b: memoryview, at: int, _: Marks) -> int:
     """Boxes of sane length from ftyp on."""
     here, boxes = at, set()
     while here + 8 <= len(b):
@@ -189,24 +219,25 @@ def _mp4(b: memoryview, at: int) -> int:
 
 
 # Name, MIME type, magic bytes and where in the format they stand.
-FORMATS: list[tuple[str, str, bytes, int, Callable[[memoryview, int], int]]] = [
+FORMATS: list[tuple[str, str, bytes, int, Callable[[memoryview, int, Marks], int]]] = [
     ("wav", "audio/wav", b"RIFF", 0, _wav), ("webp", "image/webp", b"RIFF", 0, _webp), ("png", "image/png", b"\x89PNG\r\n\x1a\n", 0, _png),
     ("gif", "image/gif", b"GIF87a", 0, _gif), ("gif", "image/gif", b"GIF89a", 0, _gif), ("jpeg", "image/jpeg", b"\xff\xd8\xff", 0, _jpeg), ("bmp", "image/bmp", b"BM", 0, _bmp),
     ("gzip", "application/gzip", b"\x1f\x8b\x08", 0, _gzip), ("zip", "application/zip", b"PK\x03\x04", 0, _zip), ("pdf", "application/pdf", b"%PDF-", 0, _pdf), ("flac", "audio/flac", b"fLaC", 0, _flac),
     ("ogg", "audio/ogg", b"OggS", 0, _ogg), ("mp4", "video/mp4", b"ftyp", 4, _mp4),
 ]
+ENDINGS = (b"PK\x05\x06", b"%%EOF")
 # End of fixed values.
 MIME = {name: mime for name, mime, *_ in FORMATS}
 
 
 def _automaton():
-    """The magic strings; bytes are given to the automaton as the characters of the same number."""
+    """The magic strings and endings; bytes are given to the automaton as the characters of the same number."""
     made = ahocorasick.Automaton()
-    by_magic: dict[bytes, list] = {}
+    by_magic: dict[bytes, list] = {magic: [] for magic in ENDINGS}
     for entry in FORMATS:
         by_magic.setdefault(entry[2], []).append(entry)
     for magic, entries in by_magic.items():
-        made.add_word(magic.decode("latin-1"), (len(magic), entries))
+        made.add_word(magic.decode("latin-1"), (magic, entries))
     made.make_automaton()
     return made
 
@@ -217,12 +248,14 @@ def sniff(data: bytes) -> list[tuple[str, int, int]]:
     A medium that starts at the first byte may hold others, which are listed after it.
     """
     view, found, free = memoryview(data), [], 0
-    for last, (size, entries) in kept("magic", _automaton).iter(data.decode("latin-1")):
+    hits = [(last + 1 - len(magic), magic, entries) for last, (magic, entries) in kept("magic", _automaton).iter(data.decode("latin-1"))]
+    marks = Marks(view, [(at, magic) for at, magic, _ in hits])
+    for start, _, entries in hits:
         for name, _, _, inside, validate in entries:
-            at = last + 1 - size - inside
+            at = start - inside
             if at < free:
                 continue
-            if length := validate(view, at):
+            if length := validate(view, at, marks):
                 found.append((name, at, length))
                 free = 1 if not at else at + length
                 break
@@ -269,7 +302,7 @@ def texts_as_media(df: DataFrame, id_column: str = "doc_id", text_column: str =
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             kind = batch.schema.field("id").type
             texts = (t.encode() for t in texts_of(batch, "text"))
             yield from _batches(((i, len(t), encode_wav(padded(t))) for i, t in zip(batch.column("id").to_pylist(), texts)), ["id", "n_bytes", "media"], [kind, pa.int64(), pa.binary()])
@@ -290,7 +323,7 @@ def sniff_media(df: DataFrame, id_column: str, media_column: str, declared_colum
     carved = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("bytes", pa.binary())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "media"):
             types, differ, inside = [], [], []
             for told, data in zip(batch.column("declared").to_pylist(), batch.column("media").to_pylist()):
                 found = sniff(data or b"")
@@ -324,7 +357,7 @@ def media_round_trip(df: DataFrame, id_column: str = "doc_id", text_column: str
     stored = written(texts_as_media(df, id_column, text_column), "media")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "media"):
             rows = []
             for n, media in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist()):
                 told = feature(media, payload := read_wav(media))
