@@ -11,13 +11,13 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsieve.llm.common import texts_of
+from binsieve.llm.common import sliced, texts_of
 from binsieve.llm.encoding import kept
 
 KINDS = ("email", "ip", "card", "phone")
@@ -220,11 +220,13 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), by kind as listed and start. Added spans never overlap one of their kind."""
     base = detect(text)
-    every = {k: list(v) for k, v in base.items()}
-    for kind, a, b in disguised(text):
-        if all(b <= c or d <= a for c, d in every[kind]):
-            every[kind].append((a, b))
-    return [(k, a, b) for k in KINDS for a, b in base[k]], [(k, a, b) for k in KINDS for a, b in sorted(every[k])]
+    added: dict[str, list] = {k: [] for k in KINDS}
+    # Both lists are in order and without overlaps of their own, so only neighbours can overlap.
+    for kind, a, b in sorted(disguised(text), key=lambda s: s[1]):
+        own, at = base[kind], bisect_left(base[kind], (a,))
+        if (not at or own[at - 1][1] <= a) and (at == len(own) or b <= own[at][0]) and (not added[kind] or added[kind][-1][1] <= a):
+            added[kind].append((a, b))
+    return [(k, a, b) for k in KINDS for a, b in base[k]], [(k, a, b) for k in KINDS for a, b in sorted(base[k] + added[k])]
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -253,7 +255,7 @@ def find_pii(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             for text in texts_of(batch, "text"):
                 base, every = find(text)
@@ -271,7 +273,7 @@ def redact_pii(df: DataFrame, text_column: str = "text", length_column: str | No
     """The rows with personal data in the text replaced by its kind, and the text's length made right; null stays null."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, text_column):
             texts = [t if t is None else redact(t, find(t)[1]) for t in batch.column(text_column).to_pylist()]
             own = {text_column: pa.array(texts, batch.schema.field(text_column).type)}
             if length_column in batch.schema.names:
