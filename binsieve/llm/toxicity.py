@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is cut into clauses. Five transducers read a clause's words and write marks: insult (a learned
-lexicon of words and word beginnings with weights), threat, target, negation and reported speech. The
-composed grammar is one automaton over those marks whose state says what is in force - a negation for
-its next few words, reported speech to the clause's end, a target anywhere in the clause - and whose
-arcs carry the weight to the pattern matched: a plain, targeted, negated or reported insult, or a
-threat. What a text scores is a learned sum over its matched clauses.
+A text is cut into clauses, and each word is read as a symbol: the kinds of the closed word lists it is in,
+and whether a learned lexicon of words and word beginnings has it. Four transducers rewrite symbols:
+negation marks an insult or threat for some words after it, reported speech to the clause's end, a
+target anywhere in the clause, which is guessed at its begin and accepted only if it comes true, and
+the last one names the pattern that a marked symbol is: a plain, targeted, negated or reported insult, or a
+threat. They are composed into one, whose arcs carry the weights; a match weighs its arcs and its word's
+entry in the lexicon. What a text scores is a learned sum over its matched clauses.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsieve.llm.common import texts_of, written
+from binsieve.llm.common import sliced, texts_of, written
 
 #: Labelled rows the grammar is fitted on: those of smallest hash, so the same ones every time.
 LABEL_ROWS = 20_000
@@ -64,6 +65,113 @@ def entries(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
 
 
+@dataclass
+class Transducer:
+    """A weighted finite-state transducer: ``arcs[state][symbol]`` lists (output, next state, weight).
+
+    More arcs than one for a symbol are alternatives; a path counts only if it ends in a final state.
+    """
+
+    starts: list
+    finals: set
+    arcs: dict
+
+    def __matmul__(self, other: Transducer) -> Transducer:
+        """The composition: what the other one makes of this one's output; weights add up. States that can't be reached are left out."""
+        starts = [(p, q) for p in self.starts for q in other.starts]
+        arcs: dict = {}
+        open_states = list(starts)
+        while open_states:
+            if (state := open_states.pop()) in arcs:
+                continue
+            own = arcs[state] = {}
+            p, q = state
+            for symbol, firsts in self.arcs[p].items():
+                found = [(out, (p2, q2), w + w2) for mid, p2, w in firsts for out, q2, w2 in other.arcs[q].get(mid, ())]
+                if found:
+                    own[symbol] = found
+                    open_states += [to for _, to, _ in found]
+        return Transducer(starts, {(p, q) for p, q in arcs if p in self.finals and q in other.finals}, arcs)
+
+    def numbered(self) -> Transducer:
+        """The same with states numbered, for speed."""
+        number = {state: k for k, state in enumerate(self.arcs)}
+        return Transducer([number[s] for s in self.starts], {number[s] for s in self.finals}, {number[s]: {x: [(o, number[t], w) for o, t, w in found] for x, found in own.items()} for s, own in self.arcs.items()})
+
+    def read(self, symbols: list) -> list[tuple[list, float]]:
+        """(outputs, weight) of every path that reads all symbols to a final state."""
+        paths = [(s, [], 0.0) for s in self.starts]
+        for x in symbols:
+            paths = [(to, [*outs, out], weight + w) for state, outs, weight in paths for out, to, w in self.arcs[state].get(x, ())]
+        return [(outs, weight) for state, outs, weight in paths if state in self.finals]
+
+
+#: A symbol is (kind, is it a target too, marks so far). ``both`` is a threat that the lexicon has as well.
+KINDS = ("other", "negation", "report", "threat", "insult", "both")
+SYMBOLS = tuple((kind, target) for kind in KINDS for target in (False, True))
+_STRONG = ("threat", "insult", "both")
+
+
+def negation() -> Transducer:
+    """Marks what stands within ``NEGATED_WORDS`` words after a negation; the state counts the words left."""
+    arcs: dict = {}
+    for left in range(NEGATED_WORDS + 1):
+        arcs[left] = {}
+        for kind, target in SYMBOLS:
+            marks = frozenset({"negated"}) if left and kind in _STRONG else frozenset()
+            arcs[left][kind, target] = [((kind, target, marks), NEGATED_WORDS if kind == "negation" else max(0, left - 1), 0.0)]
+    return Transducer([0], set(arcs), arcs)
+
+
+def _marked(*names: str) -> list:
+    """Symbols with every choice of these marks."""
+    sets = [frozenset(n for k, n in enumerate(names) if chosen >> k & 1) for chosen in range(1 << len(names))]
+    return [(kind, target, marks) for kind, target in SYMBOLS for marks in sets]
+
+
+def reported_speech() -> Transducer:
+    """Marks what comes after a word of reported speech."""
+    arcs: dict = {False: {}, True: {}}
+    for told in arcs:
+        for kind, target, marks in _marked("negated"):
+            more = marks | {"reported"} if told and kind in _STRONG else marks
+            arcs[told][kind, target, marks] = [((kind, target, more), told or kind == "report", 0.0)]
+    return Transducer([False], {False, True}, arcs)
+
+
+def target_in_clause() -> Transducer:
+    """Marks everything strong in a clause with a target: ``none`` reads none, ``awaited`` has to come to ``met``."""
+    arcs: dict = {"none": {}, "awaited": {}, "met": {}}
+    for state in arcs:
+        for kind, target, marks in _marked("negated", "reported"):
+            if state == "none" and target:
+                continue
+            more = marks if state == "none" or kind not in _STRONG else marks | {"targeted"}
+            arcs[state][kind, target, marks] = [((kind, more), "met" if target else state, 0.0)]
+    return Transducer(["none", "awaited"], {"none", "met"}, arcs)
+
+
+def pattern_names() -> Transducer:
+    """Names the pattern: a threat needs a target, and is an insult without one if the lexicon has it; a negation goes before reported speech.
+
+    Outputs are (pattern, does the lexicon's weight count) or None; a threat's arc weighs one by itself.
+    """
+    arcs: dict = {}
+    for kind, _, marks in _marked("negated", "reported"):
+        for seen in (marks, marks | {"targeted"}):
+            aimed = "targeted" in seen
+            threat = kind in ("threat", "both") and aimed
+            plain = "threat" if threat else "targeted" if aimed else "insult"
+            name = "negated" if "negated" in seen else "reported" if "reported" in seen else plain
+            out = (name, not threat) if threat or kind in ("insult", "both") else None
+            arcs[kind, seen] = [(out, 0, 1.0 if threat else 0.0)]
+    return Transducer([0], {0}, {0: arcs})
+
+
+#: The composed grammar: each word of a clause to the pattern it matches.
+COMPOSED = (negation() @ reported_speech() @ target_in_clause() @ pattern_names()).numbered()
+
+
 @dataclass
 class Grammar:
     """Weights of the insult lexicon, and of the matched patterns in a text's score."""
@@ -81,21 +189,33 @@ class Grammar:
         get = self.lexicon.get
         return max((get(x, 0.0) for x in entries(word)), default=0.0)
 
+    def symbol(self, word: str) -> tuple[tuple[str, bool], float]:
+        """A word's symbol, and its weight in the lexicon."""
+        target = word in TARGETS
+        if word in NEGATIONS:
+            return ("negation", target), 0.0
+        if word in REPORTS:
+            return ("report", target), 0.0
+        weight = self.insult(word)
+        return ("both" if weight and word in THREATS else "threat" if word in THREATS else "insult" if weight else "other", target), weight
+
     def clause(self, clause: str, found: dict[str, list[float]]) -> None:
-        """Run the composed transducers over one clause; matched patterns and weights go to found."""
-        marks = split_words(clause)
-        target = not TARGETS.isdisjoint(marks)
-        negated, reported = 0, False
-        for word in marks:
-            if word in NEGATIONS:
-                negated = NEGATED_WORDS + 1
-            elif word in REPORTS:
-                reported = True
-            elif word in THREATS and target:
-                found["negated" if negated else "reported" if reported else "threat"].append(1.0)
-            elif weight := self.insult(word):
-                found["negated" if negated else "reported" if reported else "targeted" if target else "insult"].append(weight)
-            negated -= negated > 0
+        """Run the composed transducer over one clause; matched patterns and weights go to found."""
+        read = [self.symbol(word) for word in split_words(clause)]
+        arcs = COMPOSED.arcs
+        for start in COMPOSED.starts:
+            state, matches = start, []
+            for symbol, weight in read:
+                # From each start there is one path: only the choice of the start is a guess.
+                if (arc := arcs[state].get(symbol)) is None:
+                    break
+                (out, state, own) = arc[0]
+                if out is not None:
+                    matches.append((out[0], own + (weight if out[1] else 0.0)))
+            else:
+                if state in COMPOSED.finals:
+                    for name, weight in matches:
+                        found[name].append(weight)
 
     def features(self, text: str) -> np.ndarray:
         """For each pattern, how many matches and their weight, damped, and an intercept."""
@@ -230,7 +350,7 @@ def score_toxicity(df: DataFrame, grammar: Grammar, id_column: str = "doc_id", t
 
     def run(batches):
         own = model.value
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             score = np.array([own.score(t) for t in texts_of(batch, "text")])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[id_column, "held_out", "score", "predicted"])
 
@@ -243,7 +363,7 @@ def reject_toxic(df: DataFrame, grammar: Grammar, text_column: str = "text") ->
 
     def run(batches):
         own = model.value
-        for batch in batches:
+        for batch in sliced(batches, text_column):
             yield batch.filter(pa.array([own.score(t) < 0.5 for t in texts_of(batch, text_column)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
