@@ -11,13 +11,15 @@ what stays within every budget is checked in full.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binsieve.llm.common import texts_of, written
+from binsieve.llm.common import sliced, texts_of, unused_names, written
 from binsieve.llm.components import components
 
 #: Fingerprints compared with each other in one block of a bucket; larger buckets are dealt out by pairs of blocks.
@@ -110,7 +112,7 @@ def fingerprints(df: DataFrame, shingle: int, id_column: str = "doc_id", text_co
     source = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             found = np.array([simhash(t, shingle) for t in texts_of(batch, "text")], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
 
@@ -142,9 +144,12 @@ def chains(radius: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each run of equal ``groups``, as pairs of fingerprints."""
-    n = len(fps)
+def _linked_rows(groups: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside each run of equal ``groups``, as pairs of row numbers.
+
+    ``near(i, j)`` tells for two arrays of rows which pairs are links.
+    """
+    n = len(groups)
     parent = np.arange(n)
     begin, d = np.arange(n - 1), 1
 
@@ -158,12 +163,8 @@ def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests)
         begin = begin[begin + d < n]
         begin = begin[groups[begin] == groups[begin + d]]
         pairs = begin[parent[begin] != parent[begin + d]]
-        differ = fps[pairs] ^ fps[pairs + d]
-        keep = np.ones(len(pairs), bool)
-        for masks, budget in tests:
-            keep[keep] = np.bitwise_count(differ[keep] & masks[starts[pairs[keep]]]) <= budget
         joined = False
-        for i in pairs[keep].tolist():
+        for i in pairs[near(pairs, pairs + d)].tolist():
             a, b = find(i), find(i + d)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -174,7 +175,50 @@ def _linked_rows(groups: np.ndarray, fps: np.ndarray, starts: np.ndarray, tests)
             parent = flat
         d += 1
     off = np.flatnonzero(parent != np.arange(n))
-    return fps[off], fps[parent[off]]
+    return off, parent[off]
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, node: str, tag: int) -> DataFrame:
+    """Rows with the keys of hot buckets (key, blocks) replaced by one for each pair of blocks that a row takes part in.
+
+    The lowest ``tag`` bits of a key tell its first segment, and stay.
+    """
+    zero = F.lit(0).cast("bigint")
+    own = F.pmod(F.xxhash64(F.lit(7), node), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("a"), F.greatest(own, x).alias("b")))
+    dealt = F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array(F.struct(zero.alias("a"), zero.alias("b")))))
+    names = [c for c in rows.columns if c != "key"]
+    rows = rows.join(hot, "key", "left").select(*names, "key", F.coalesce("blocks", F.lit(1)).alias("blocks")).select(*names, "key", "blocks", dealt.alias("p"))
+    salted = F.shiftleft(F.shiftright(F.xxhash64("key", "p.a", "p.b"), tag), tag).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << tag) - 1).cast("bigint")))
+    return rows.select(*names, F.when(F.col("blocks") > 1, salted).otherwise(F.col("key")).alias("key"))
+
+
+def _bucket_links(rows: DataFrame, columns: list[str], found) -> DataFrame:
+    """Edges (u, v) that ``found(keys, *columns)`` gives, called with whole buckets of equal keys at a time."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64) for _ in ["key", *columns]]
+
+        def shown(part):
+            u, v = found(*part)
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ["key", *columns])]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if whole >= 1 << 16:
+                yield shown([x[:whole] for x in held])
+                held = [x[whole:] for x in held]
+        if len(held[0]):
+            yield shown(held)
+
+    dealt = rows.select("key", *columns).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
+def _spread(df: DataFrame, column: str) -> DataFrame:
+    """Few and small rows over all shuffle partitions, before each becomes many."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -208,34 +252,25 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         by_start = F.when(F.col("i") == i, F.array(*left_out(i, F.col("x")))).otherwise(by_start) if i else F.when(F.col("i") == 0, F.array(*left_out(0, F.col("x"))))
     hot = large.select("count", F.explode(by_start).alias("key")).groupBy("key").agg(F.ceil((F.sum("count") + BLOCK // 2) / BLOCK).cast("int").alias("blocks"))
     hot = written(hot, "hot-buckets")
-    rows = distinct.select("fp", F.explode(F.array(*[k for i in range(m) for k in left_out(i, fp)])).alias("key"))
+    rows = _spread(distinct, "fp").select("fp", F.explode(F.array(*[k for i in range(m) for k in left_out(i, fp)])).alias("key"))
     if not hot.isEmpty():
-        own = F.pmod(F.xxhash64(F.lit(7), fp), F.col("blocks"))
-        dealt = F.explode(F.when(F.col("blocks") > 1, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("a"), F.greatest(own, x).alias("b")))).otherwise(F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")))))
-        rows = rows.join(hot, "key", "left").select("fp", "key", F.coalesce("blocks", F.lit(1)).alias("blocks")).select("fp", "key", "blocks", dealt.alias("p"))
-        salted = F.shiftleft(F.shiftright(F.xxhash64("key", "p.a", "p.b"), 3), 3).bitwiseOR(F.col("key").bitwiseAND(F.lit(7).cast("bigint")))
-        rows = rows.select("fp", F.when(F.col("blocks") > 1, salted).otherwise(F.col("key")).alias("key"))
+        rows = _dealt(rows, hot, "fp", 3)
     tests = [(np.array([own[k][0] for own in chains(radius)] + [0] * (8 - m), np.uint64), (k + 1) * radius // m) for k in range(m)]
 
-    def run(batches):
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def found(keys, fps):
+        bits, starts = fps.view(np.uint64), (keys & 7).astype(np.int64)
 
-        def found(keys, fps):
-            a, b = _linked_rows(keys, fps.view(np.uint64), (keys & 7).astype(np.int64), tests)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+        def near(i, j):
+            differ = bits[i] ^ bits[j]
+            keep = np.ones(len(i), bool)
+            for masks, budget in tests:
+                keep[keep] = np.bitwise_count(differ[keep] & masks[starts[i[keep]]]) <= budget
+            return keep
 
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy()])
-            whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if whole >= 1 << 16:
-                yield found(keys[:whole], fps[:whole])
-                keys, fps = keys[whole:], fps[whole:]
-        if len(keys):
-            yield found(keys, fps)
+        a, b = _linked_rows(keys, near)
+        return fps[a], fps[b]
 
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return _bucket_links(rows, ["fp"], found)
 
 
 def _named(firsts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -263,8 +298,91 @@ def simhash_components(df: DataFrame, shingle: int = 5, radius: int = 4, id_colu
     return held.join(labels, "fp").select(F.col("id").alias(id_column), shown.alias("fingerprint"), F.col("name").alias("component_id"))
 
 
-#: Fingerprints of a text, the texts of one block of a large group, and those that all its blocks hold.
-TABLES, GROUP, PIVOTS = 2, 512, 8
+#: Segments of a ring, the shingles that each is the SimHash of, and the bits of a segment that chains compare.
+SEGMENTS, DRAWN, BOX = 16, 5, 16
+#: Standard deviations by which the radius exceeds the mean distance of two texts that are just similar enough.
+MARGIN = 3.3
+#: The texts of one block of a large group, and those that all its blocks hold.
+GROUP, PIVOTS = 512, 8
+_DRAWS = np.array([xxhash.xxh64_intdigest(bytes([k]), 11) | 1 for k in range(SEGMENTS * DRAWN)], np.uint64)
+
+
+def drawn(parts: list[np.ndarray]) -> np.ndarray:
+    """For each of ``SEGMENTS`` x ``DRAWN`` permutations, the least hash that a text's shingles have under it.
+
+    Two texts agree on a draw with a probability that is the similarity of their shingle sets.
+    """
+    least = np.full(len(_DRAWS), np.iinfo(np.uint64).max, np.uint64)
+    for hashes in parts:
+        for at in range(0, len(hashes), 4096):
+            np.minimum(least, np.multiply.outer(_DRAWS, hashes[at : at + 4096]).min(axis=1), out=least)
+    return least
+
+
+def rings(draws: np.ndarray) -> np.ndarray:
+    """The segments of each row of draws: the SimHash, or bitwise majority, of every ``DRAWN`` of them, hashed again as least hashes have few high bits."""
+    mixed = draws * np.uint64(_AGAIN[0])
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(_AGAIN[1])
+    mixed ^= mixed >> np.uint64(32)
+    a, b, c, d, e = np.moveaxis(mixed.reshape(-1, SEGMENTS, DRAWN), 2, 0)
+    sum1, carry1 = a ^ b ^ c, a & b | c & (a | b)
+    sum2, carry2 = sum1 ^ d ^ e, sum1 & d | e & (sum1 | d)
+    return carry1 & carry2 | (carry1 | carry2) & sum2
+
+
+def ring_radius(similarity: float) -> int:
+    """The bits, of ``SEGMENTS`` x ``BOX``, by which rings of texts of this similarity differ at most, but for one pair in some hundreds."""
+
+    def odds(n, k, p):
+        return math.comb(n, k) * p**k * (1 - p) ** (n - k)
+
+    def differs(common):
+        """A majority bit's odds to differ where so many draws agree."""
+        wins = [(odds(common, x, 0.5), sum(odds(DRAWN - common, y, 0.5) for y in range(DRAWN - common + 1) if 2 * (x + y) > DRAWN)) for x in range(common + 1)]
+        return sum(p * 2 * q * (1 - q) for p, q in wins)
+
+    by_common = [(odds(DRAWN, c, similarity), differs(c)) for c in range(DRAWN + 1)]
+    mean = sum(p * f for p, f in by_common)
+    variance = sum(p * (BOX * f * (1 - f) + (BOX * (f - mean)) ** 2) for p, f in by_common)
+    return math.ceil(SEGMENTS * BOX * mean + MARGIN * math.sqrt(SEGMENTS * variance))
+
+
+def ring_links(distinct: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) between rows (node, ring): rings within ``radius`` bits, found where a segment is equal.
+
+    An equal segment is an exact key of 64 bits, so buckets hold texts that are alike, and not texts
+    that share a few bits by chance however many there are. From that segment on, every chain of 1, 2, ...
+    segments has to stay within its share of the radius, and so the whole ring within all of it. As in
+    ``links`` a forest stands for a bucket's links, and large buckets are dealt out by pairs of blocks.
+    """
+    tag = 4
+    segment = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.shiftleft(F.shiftright(F.xxhash64(i, F.get("ring", i)), tag), tag).bitwiseOR(i.cast("bigint")))
+    box = (1 << BOX) - 1
+    words = 64 // BOX
+    boxes = [F.expr("|".join(f"shiftleft(ring[{i}] & {box}, {BOX * k})" for k, i in enumerate(range(at, at + words)))).alias(f"w{at // words}") for at in range(0, SEGMENTS, words)]
+    names = [f"w{k}" for k in range(SEGMENTS // words)]
+    spread = _spread(distinct, "node")
+    hot = spread.select(F.explode(segment).alias("key")).groupBy("key").count().where(F.col("count") > BLOCK)
+    hot = written(hot.select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "hot-segments")
+    rows = spread.select("node", *boxes, F.explode(segment).alias("key"))
+    if not hot.isEmpty():
+        rows = _dealt(rows, hot, "node", tag)
+    budgets = np.arange(1, SEGMENTS + 1) * radius // SEGMENTS
+    turns = (np.arange(SEGMENTS)[:, None] + np.arange(SEGMENTS)) % SEGMENTS
+
+    def found(keys, nodes, *words):
+        bits, starts = np.stack(words, axis=1).view(np.uint64), (keys & (1 << tag) - 1).astype(np.int64)
+
+        def near(i, j):
+            differ = np.bitwise_count((bits[i] ^ bits[j]).view(np.uint16))
+            chains = np.cumsum(np.take_along_axis(differ, turns[starts[i]], axis=1), axis=1, dtype=np.int64)
+            return (chains <= budgets).all(axis=1)
+
+        a, b = _linked_rows(keys, near)
+        return nodes[a], nodes[b]
+
+    return _bucket_links(rows, ["node", *names], found)
 
 
 def _confirmed(nodes: list[int], labels: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -355,50 +473,46 @@ def _group_links(sets: DataFrame, similarity: float) -> DataFrame:
     return found.union(written(_near_links(dealt.join(sets.select("node", "shingles"), "node"), similarity), "more-near-links"))
 
 
-def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "text", shingle: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, name) of every row: ``name`` is the smallest key of its group of near copies.
 
-    Texts of equal shingle sets are copies. A text has ``TABLES`` fingerprints of its distinct shingles; those within ``radius``
-    bits of each other's put texts into one candidate group, by the links of ``simhash_components``.
-    Inside a candidate group two texts are near copies if their whole shingle sets are alike by
-    ``similarity`` or more, and groups are closed under that. Sets are made of texts in candidate groups only,
-    one for each distinct set. Keys may be of any type that has an order, structs included.
+    Texts of equal shingle sets are copies. Two texts are near copies if their whole shingle sets are
+    alike by ``similarity`` or more, and groups are closed under that. Pairs are proposed by rings: one
+    64-bit SimHash of all shingles of a text differs in 15 % of its bits between texts of similarity 0.8,
+    so no radius with selective keys would find them; a ring has ``SEGMENTS`` SimHashes, each over ``DRAWN`` shingles
+    drawn minwise, of which some are equal. At 0.8, 997 pairs in 1000 are proposed, and more above it. Proposals
+    make candidate groups, and inside each of them all pairs that could still join two components are tested exactly.
+    Sets are made of texts in candidate groups only, one for each distinct set. Keys may be of any type that
+    has an order, structs included. Null and empty texts have the empty set and are copies of each other.
     """
+    if similarity < 0.75:
+        raise ValueError("rings propose enough pairs from a similarity of 0.75 on")
     text = F.col(text_column).cast("string")
     source = df.select(F.col(key_column).alias("id"), text.alias("text"), F.xxhash64(F.col(key_column), text).alias("row"))
-    names = [f"fp{k}" for k in range(TABLES)]
 
     def class_of(found):
         return xxhash.xxh64_intdigest(found.tobytes(), 3)
 
     def run(batches):
-        for batch in batches:
-            parts = [_shingle_hashes(t, shingle) for t in texts_of(batch, "text")]
+        for batch in sliced(batches, "text"):
             # Over distinct shingles, as similarity is: a line said often has no more say than one said once.
-            sets = [_distinct(x) for x in parts]
-            found = np.array([_majority(_pieces(x), TABLES) for x in sets], np.uint64).reshape(-1, TABLES).view(np.int64)
+            sets = [_distinct(_shingle_hashes(t, shingle)) for t in texts_of(batch, "text")]
+            found = rings(np.array([drawn([x]) for x in sets], np.uint64)).view(np.int64)
             classes = np.array([class_of(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(classes), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(TABLES))], names=["id", "row", "fp", *names])
-
-    columns = ", ".join(f"{n} bigint" for n in names)
-    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp bigint, {columns}"), "set-fingerprints")
-    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), F.min("row").alias("row"), *(F.min(n).alias(n) for n in names)), "distinct-sets")
-    near = None
-    for n in names:
-        # One class names those of an equal fingerprint; all of them are in its candidate group.
-        stands = written(firsts.groupBy(n).agg(F.min("fp").alias("rep")), "representatives")
-        same = firsts.join(stands, n).where("fp <> rep").select(F.col("fp").alias("u"), F.col("rep").alias("v"))
-        linked = written(links(stands.select(F.col(n).alias("fp")), radius).distinct(), "candidates")
-        side = lambda x: stands.select(F.col(n).alias(x), F.col("rep").alias(f"{x}_rep"))  # noqa: B023, E731
-        both = same.union(linked.join(side("u"), "u").join(side("v"), "v").select("u_rep", "v_rep"))
-        near = both if near is None else near.union(both)
+            ring_of = pa.ListArray.from_arrays(np.arange(0, found.size + 1, SEGMENTS, dtype=np.int32), pa.array(np.ascontiguousarray(found).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(classes), ring_of], names=["id", "row", "fp", "ring"])
+
+    held = written(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp bigint, ring array<bigint>"), "set-rings")
+    # Equal sets have equal rings, so any row of a class names its ring.
+    firsts = written(held.groupBy("fp").agg(F.min("id").alias("first"), F.min(F.struct("row", "ring")).alias("any")).select("fp", "first", "any.row", "any.ring"), "distinct-sets")
+    near = written(ring_links(firsts.select(F.col("fp").alias("node"), "ring"), ring_radius(similarity)).distinct(), "candidates")
     groups = written(components(near), "candidate-groups")
     sizes = written(groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks")), "candidate-sizes")
     members = written(groups.join(sizes, "root").join(firsts.select(F.col("fp").alias("node"), "row"), "node").select("row", "node", "root", "blocks"), "candidate-members")
 
     def whole(batches):
         seen = set()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             rows = []
             for i, (text, node) in enumerate(zip(texts_of(batch, "text"), batch.column("node").to_pylist())):
                 # Rows of equal id and text come more than once; a class is named by its own set only.
@@ -417,19 +531,21 @@ def near_duplicate_groups(df: DataFrame, key_column: str, text_column: str = "te
 def drop_near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """Keep one row of each group of near copies: the one of the smallest (id, hash of the text).
 
-    All columns are kept. A null id is smaller than any other. Of rows that have the same id and text,
-    one stays, found by a map-side aggregation.
+    All columns are kept, whatever their names. A null id is smaller than any other. Of rows that have
+    the same id and text, one stays, found by a map-side aggregation.
     """
     names = df.columns
-    keyed = df.withColumn("_key", F.struct(F.col(id_column), F.xxhash64(F.col(text_column))))
-    groups = written(near_duplicate_groups(keyed, "_key", text_column, **options), "near-groups")
-    dropped = groups.where(~F.col("_key").eqNullSafe(F.col("name"))).select("_key").distinct()
-    again = written(groups.where(F.col("_key").eqNullSafe(F.col("name"))).groupBy("_key").count().where("count > 1").select("_key"), "repeated-rows")
-    parts = lambda x: x.select(F.col(f"_key.{id_column}").alias("_id"), F.col("_key.col2").alias("_hash"))
-    left = df.withColumn("_hash2", F.xxhash64(F.col(text_column)))
-    match = lambda x: F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_hash2") == F.col("_hash"))
-    kept = left.join(parts(dropped), match(dropped), "left_anti")
+    key, own_id, own_hash, text_hash = unused_names(names, "key", "id", "hash", "text_hash")
+    hashed = F.xxhash64(F.col(text_column))
+    keyed = df.select(F.struct(F.col(id_column).alias("id"), hashed.alias("hash")).alias(key), F.col(text_column))
+    groups = written(near_duplicate_groups(keyed, key, text_column, **options), "near-groups")
+    first = F.col(key).eqNullSafe(F.col("name"))
+    dropped = groups.where(~first).select(key).distinct()
+    again = written(groups.where(first).groupBy(key).count().where("count > 1").select(key), "repeated-rows")
+    parts = lambda x: x.select(F.col(f"{key}.id").alias(own_id), F.col(f"{key}.hash").alias(own_hash))
+    match = F.col(id_column).eqNullSafe(F.col(own_id)) & (F.col(text_hash) == F.col(own_hash))
+    kept = df.withColumn(text_hash, hashed).join(parts(dropped), match, "left_anti")
     if again.isEmpty():
         return kept.select(names)
-    repeated = kept.join(parts(again), match(again), "left_semi").groupBy(id_column, "_hash2").agg(F.min(F.struct(names)).alias("row")).select("row.*")
-    return kept.join(parts(again), match(again), "left_anti").select(names).unionByName(repeated.select(names))
+    repeated = kept.join(parts(again), match, "left_semi").groupBy(id_column, text_hash).agg(F.min(F.struct(names)).alias(key)).select(f"{key}.*")
+    return kept.join(parts(again), match, "left_anti").select(names).unionByName(repeated.select(names))
