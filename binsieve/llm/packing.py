@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from binsieve.llm.common import texts_of, written
+from binsieve.llm.common import sliced, texts_of, written
 from binsieve.llm.encoding import byte_encoder, packed, shared_classes
 
 #: Triples considered for each longest length, the fullest histogram bins first.
@@ -133,7 +133,7 @@ def pieces(df: DataFrame, tokenizer: str, limit: int, end_id: int, id_column: st
 
     def run(batches):
         encoder, pid = byte_encoder(tokenizer, classes.value), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             own, rows, held = [], [], []
             for i, ids in enumerate(encoder.encode(texts_of(batch, "text"))):
                 ids += tail
@@ -160,6 +160,9 @@ def pieces(df: DataFrame, tokenizer: str, limit: int, end_id: int, id_column: st
 def pack(made: DataFrame, limit: int) -> DataFrame:
     """Give each piece a ``sequence_id`` and an ``offset`` there; ``made`` is a written table of pieces.
 
+    Counts by task and length grow with the number of tasks, so they are merged with the pieces, which the
+    ranks in a task have already put in that order, and not broadcast.
+
     The driver sees the histogram of lengths alone (at most ``limit`` rows). A piece's rank among
     those of its length is its rank in its task plus the counts of the tasks before; so no length,
     however common, comes to one task.
@@ -170,7 +173,7 @@ def pack(made: DataFrame, limit: int) -> DataFrame:
     base = F.sum("count").over(Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1))
     base = written(counts.select("pid", "length", F.coalesce(base, F.lit(0)).alias("base")), "piece-ranks")
     own = F.row_number().over(Window.partitionBy("pid", "length").orderBy("id", "piece", "ids_crc32", "start")) - 1
-    ranked = made.withColumn("own", own).join(base, ["pid", "length"]).withColumn("rank", F.col("own") + F.col("base")).drop("own", "base", "pid")
+    ranked = made.withColumn("own", own).join(base.hint("merge"), ["pid", "length"]).withColumn("rank", F.col("own") + F.col("base")).drop("own", "base", "pid")
 
     def run(batches):
         first, before, sequence, offset = slots.value
