@@ -42,6 +42,48 @@ def test_media_formats():
         assert not any(n == name for n, *_ in media.sniff(part[:-1] + b"?" if name == "png" else part[:-3]))
 
 
+def plain_pdf(body=b"stream"):
+    head = b"%PDF-1.4\n1 0 obj\n" + body + b"\nendobj\n"
+    return head + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(head)
+
+
+def test_two_files_in_a_row_stay_two():
+    one, two = plain_pdf(), plain_pdf(b"more %%EOF PK\5\6")
+    data = b"text %PDF- no " + one + b" and " + two + b" %%EOF"
+    assert media.sniff(data) == [("pdf", 14, len(one)), ("pdf", 14 + len(one) + 5, len(two))]
+    assert media.sniff(one[:-9] + b"9\n%%EOF") == []
+    chunk = b"WEBPVP8 " + (6).to_bytes(4, "little") + b"abcdef"
+    webp = b"RIFF" + len(chunk).to_bytes(4, "little") + chunk
+    assert media.sniff(webp) == [("webp", 0, len(webp))] and media.sniff(webp[:16] + b"\7" + webp[17:]) == []
+
+
+def test_sniffing_takes_linear_time():
+    import gzip
+    import time
+
+    big = gzip.compress(b"\0" * 3_000_000, 1)
+    for unit in (b"PK\3\4 no ", b"%PDF-1 no ", b"%PDF-1 startxref 5 %%EOF", b"PK\3\4PK\5\6" + b"\0" * 18, b"\x1f\x8b\x08 no ", b"BM" + b"\1" * 40, b"RIFF    WEBPVP8 "):
+        took = []
+        for n in (1 << 14, 1 << 16):
+            began = time.process_time()
+            media.sniff(unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 8 * took[0] + 0.2, unit
+    assert media.sniff(b"x" + big) == [("gzip", 1, len(big))]
+
+
+def test_features_are_plain_counts():
+    samples = bytes(range(256)) * 3 + b"\0" * 64
+    wav = media.encode_wav(samples)
+    mean = sum(samples) / len(samples)
+    spread = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+    levels = ".".join(str(sum(x // 16 == k for x in samples)) for k in range(16))
+    assert media.feature(wav, samples) == f"wav;{len(wav)};none;mean={mean:.4f};std={spread:.4f};levels={levels}"
+    inner = plain_pdf()
+    held = media.encode_wav(inner)
+    assert f";pdf@44:{len(inner)};" in media.feature(held, inner)
+
+
 def test_media_columns(spark, odd_docs):
     wav = media.encode_wav(b"x" * 64)
     df = spark.createDataFrame([(1, wav, "image/png"), (2, b"plain" + wav, "text/plain"), (3, None, "image/png"), (4, b"", None)], "k int, media binary, told string")
@@ -241,6 +283,69 @@ def test_repeated_lines_hide_no_near_copy(spark):
     assert found_groups(spark, texts) == expected
 
 
+def edited_pair(rng, name, words, share):
+    """A text, and it with single words changed until about ``share`` of all five-word shingles is common."""
+    a = [f"{name}w{rng.randrange(10**6)}" for _ in range(words)]
+    b, n, edit = list(a), words - 4, 0
+    places = list(range(2, words - 2, 7))
+    rng.shuffle(places)
+    while places:
+        b[places.pop()] = f"{name}edit{edit}"
+        edit += 1
+        if (n - 5 * edit) / (n + 5 * edit) < share + 5 / n:
+            break
+    return " ".join(a), " ".join(b)
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs from 0.8 to 0.95, each the only way to its partner: at least 98 in 100 are found, and nothing unlike."""
+    rng = random.Random(21)
+    texts = [t for g in range(400) for t in edited_pair(rng, f"p{g}", rng.randrange(80, 600), rng.uniform(0.8, 0.95))]
+    expected, got = near_groups_of_pairs(texts), found_groups(spark, texts)
+    alike = [k for k in range(1, len(texts), 2) if expected[k] != k]
+    assert len(alike) > 300
+    assert sum(got[k] == expected[k] for k in alike) >= 0.98 * len(alike)
+    assert all(got[k] == k for k in range(len(texts)) if expected[k] == k)
+
+
+def near_groups_of_pairs(texts):
+    """For each text the first of its group, where only the texts of a pair can be alike."""
+    return {k + at: k + g for k in range(0, len(texts), 2) for at, g in near_groups(texts[k : k + 2]).items()}
+
+
+def test_ring_radius_holds_for_similar_sets():
+    rng = np.random.default_rng(3)
+    radius, over = simhash.ring_radius(0.8), 0
+    for _ in range(400):
+        common, own = rng.integers(0, 2**63, (1, 400), np.uint64)[0], rng.integers(0, 2**63, (2, 50), np.uint64)
+        a, b = simhash.rings(np.array([simhash.drawn([np.append(common, x)]) for x in own]))
+        over += int(np.bitwise_count((a ^ b) & np.uint64((1 << simhash.BOX) - 1)).sum()) > radius
+    assert over <= 8 and 64 <= radius <= 76
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_variants_of_one_text(spark, monkeypatch, block):
+    """Three hundred edits of one text: what stays is what stays by brute force, in whole buckets and dealt ones."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(17)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(300):
+        own = list(base)
+        for at in rng.sample(range(300), rng.randrange(1, 9)):
+            own[at] = f"edit{k}x{at}"
+        texts.append(" ".join(own))
+    assert found_groups(spark, texts) == near_groups(texts)
+
+
+def test_names_that_clash_stay(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9, 10), (2, "a b c d e f", 7, 8, 9, 10), (2, "a b c d e f", 7, 8, 9, 10), (3, None, 7, 8, 9, 10)], "doc_id int, text string, _id int, _hash int, _hash2 int, __text_hash int")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect())) == [(1, "a b c d e f", 7, 8, 9, 10), (3, None, 7, 8, 9, 10)]
+    renamed = df.withColumnRenamed("_id", "_key").withColumnRenamed("_hash", "name").withColumnRenamed("_hash2", "_text_hash")
+    assert simhash.drop_near_duplicates(renamed).columns == renamed.columns and simhash.drop_near_duplicates(renamed).count() == 2
+    assert simhash.drop_near_duplicates(df.where("false")).count() == 0
+
+
 def test_imatch(spark, odd_docs, documents):
     for df in (odd_docs, documents):
         rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
@@ -262,6 +367,40 @@ def test_imatch(spark, odd_docs, documents):
     assert near[0] > 5 * near[1]
 
 
+def test_imatch_fingerprints_are_plain_counts(spark, documents):
+    """Only the hash function is asked of Spark."""
+    rows = [r.text for r in documents.orderBy("doc_id").select(F.coalesce("text", F.lit("")).alias("text")).collect()]
+    own = [list(dict.fromkeys(w for w in re.split(r"[ \n\t\r,.]", t.lower()) if w)) for t in rows]
+    every = sorted({w for ws in own for w in ws})
+    df = spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("t"))
+    hashed = df.select("w", "t", *(F.pmod(F.xxhash64("t", F.lit(k)), F.lit(m)).alias(f"m{k}") for k, m in imatch.subsets())).collect()
+    term = {r.w: r.t for r in hashed}
+    inside = {r.t: [k for k, _ in imatch.subsets() if r[f"m{k}"] == 0] for r in hashed}
+    count: dict = {}
+    for ws in own:
+        for t in {term[w] for w in ws}:
+            count[t] = count.get(t, 0) + 1
+    n = len(rows)
+    words = {t for t, c in count.items() if c >= 2 and imatch.BAND[0] * n <= c <= imatch.BAND[1] * n}
+    lists = []
+    for ws in own:
+        band = sorted({term[w] for w in ws} & words)
+        whole = sorted({term[w] for w in ws})
+        lists.append(([[t for t in band if k in inside[t]] for k, _ in imatch.subsets()], whole, bool(band)))
+    parts = spark.createDataFrame([(i, *x) for i, x in enumerate(lists)], "i int, parts array<array<bigint>>, whole array<bigint>, some boolean")
+    each = F.array(*[F.xxhash64(F.get("parts", k)) for k, _ in imatch.subsets()])
+    other = F.array(*[F.xxhash64("whole", F.lit(k)) for k, _ in imatch.subsets()])
+    signed = {r.i: r.s for r in parts.select("i", F.when(F.col("some"), each).otherwise(other).alias("s")).collect()}
+    shown = lambda s: "".join(f"{x & 0xFFFFFFFF:08x}" for x in s)
+    got = [r for r in imatch.imatch_edits(documents).orderBy("doc_id").collect()]
+    assert [r.fingerprint for r in got] == [shown(signed[i]) for i in range(n)]
+    empty = spark.range(1).select(F.xxhash64(F.array().cast("array<bigint>"))).first()[0]
+    for i, r in enumerate(got):
+        a, b = signed[i], signed[(i - 1) % n]
+        told = [(x, y) for x, y in zip(a, b) if not x == y == empty]
+        assert r.near_next == pytest.approx(sum(x == y for x, y in told) / len(told) if told else 0.0)
+
+
 def test_url_rules(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x", "block"), ("a.example.net", "/", "allow"), ("com", "/de/", "block"), ("Sub.Example.com", "/", "allow")]
     hosts = ["net", "example.net", "xexample.net", "a.example.net", "b.a.example.net", "com", "example.com", "sub.example.com", "q.sub.example.com", "org", "", "net.", "a..net", "EXAMPLE.NET"]
@@ -339,6 +478,19 @@ def test_shortcut_skips_nothing(monkeypatch):
     assert gated == [pii.find(t) for t in texts]
 
 
+def test_many_spans_take_linear_time():
+    import time
+
+    for unit in ("joe at example dot com, ", "joe@example.com jane at example dot com "):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            base, every = pii.find(unit * n)
+            took.append(time.process_time() - began)
+            assert len(every) == n * (1 + ("@" in unit)) and set(base) <= set(every)
+        assert took[1] < 8 * took[0]
+
+
 def test_pii_rows(odd_docs):
     rows = {r.doc_id: r for r in pii.find_pii(odd_docs).collect()}
     text = odd_docs.where("doc_id = 9").first().text
@@ -368,6 +520,63 @@ def test_grammar():
     assert found("loweient (idiot)") == {"insult": 2} and found("not at all so very much an idiot") == {"insult": 1}
 
 
+def plain_clause(grammar, clause):
+    """The grammar said as one loop: what a clause matches."""
+    words = toxicity.split_words(clause)
+    target = any(w in toxicity.TARGETS for w in words)
+    out, negated, reported = [], 0, False
+    for w in words:
+        weight = max([grammar.lexicon.get(e, 0.0) for e in toxicity.entries(w)])
+        if w in toxicity.NEGATIONS:
+            negated = toxicity.NEGATED_WORDS + 1
+        elif w in toxicity.REPORTS:
+            reported = True
+        elif w in toxicity.THREATS and target or weight:
+            threat = w in toxicity.THREATS and target
+            out.append(("negated" if negated else "reported" if reported else "threat" if threat else "targeted" if target else "insult", 1.0 if threat else weight))
+        negated -= negated > 0
+    return out
+
+
+def test_composed_grammar_is_the_plain_one():
+    made = toxicity.Grammar({"idiot": 6.0, "lowe*": 5.0, "kill": 2.5, "they": 1.5}).prepare()
+    rng = random.Random(14)
+    words = ["idiot", "lowering", "kill", "hurt", "they", "you", "not", "said", "never", "the", "a", "very", "calls", "(stab)", "we"]
+    for _ in range(20_000):
+        clause = " ".join(rng.choice(words) for _ in range(rng.randrange(9)))
+        found = {k: [] for k in toxicity.PATTERNS}
+        made.clause(clause, found)
+        want = {k: [x for n, x in plain_clause(made, clause) if n == k] for k in toxicity.PATTERNS}
+        assert found == want, clause
+        row = made.features(clause)
+        assert row[1::3][:5].tolist() == [pytest.approx(np.log1p(len(want[k]))) for k in toxicity.PATTERNS]
+        assert row[3::3][:5].tolist() == [pytest.approx(np.log1p(sum(want[k]))) for k in toxicity.PATTERNS]
+
+
+def test_transducers_alone():
+    read = toxicity.negation().read([("negation", False), ("other", True), ("insult", False), ("threat", False), ("insult", False)])
+    assert [[sorted(m) for _, _, m in outs] for outs, _ in read] == [[[], [], ["negated"], ["negated"], []]]
+    none = frozenset()
+    told = toxicity.reported_speech().read([("insult", False, none), ("report", False, none), ("insult", False, none)])
+    assert [sorted(x[2]) for x in told[0][0]] == [[], [], ["reported"]]
+    for late, marks in ((True, {"targeted"}), (False, set())):
+        paths = toxicity.target_in_clause().read([("insult", False, none), ("other", late, none)])
+        assert len(paths) == 1 and paths[0][0][0] == ("insult", marks)
+    assert toxicity.pattern_names().read([("threat", frozenset({"targeted"})), ("threat", none), ("both", none)]) == [([("threat", False), None, ("insult", True)], 1.0)]
+    chained = toxicity.negation() @ toxicity.reported_speech()
+    for symbols in ([("negation", False), ("insult", True)], [("report", False), ("both", False), ("negation", True), ("threat", False)]):
+        [(mid, _)] = toxicity.negation().read(symbols)
+        assert chained.read(symbols) == toxicity.reported_speech().read(mid)
+    assert len(toxicity.COMPOSED.starts) == 2 and all(len(x) == 1 for own in toxicity.COMPOSED.arcs.values() for x in own.values())
+
+
+def test_toxicity_of_no_rows(spark, odd_docs):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    nothing = odd_docs.where("false")
+    assert toxicity.score_toxicity(nothing, toxicity.fit(nothing, labels)).count() == 0
+    assert toxicity.reject_toxic(nothing, toxicity.fit(nothing, labels)).count() == 0
+
+
 def test_word_beginnings_need_many_words():
     rows = {"loser": 100, "lose*": 110, "loser*": 20, "vequ*": 90, "vequju": 30, "vequno": 35}
     assert [e for e in rows if toxicity.explained(e, rows)] == ["lose*"]

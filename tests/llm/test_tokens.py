@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -12,10 +13,11 @@ from tokenizers import Tokenizer
 from binsieve.llm import words
 from binsieve.llm.bpe_automaton import MergeAutomaton, bpe_round_trip, compile_file
 from binsieve.llm.bpe_automaton import encoder as automaton_encoder
+from binsieve.llm.common import sliced
 from binsieve.llm.encoding import byte_encoder, word_encoder
 from binsieve.llm.packing import pack_documents, places, plan
 from binsieve.llm.token_counts import token_counts
-from binsieve.llm.token_files import EliasFano, block_bytes, read_block, read_token_files, token_files_round_trip, write_token_files
+from binsieve.llm.token_files import EliasFano, block_bytes, read_block, read_token_files, shard_bounds, token_files_round_trip, write_token_files
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = {BYTE: Tokenizer.from_file(BYTE), WORD: Tokenizer.from_file(WORD)}
@@ -83,6 +85,32 @@ def test_automaton_of_any_merges(pairs, word):
     assert made.encode(word.encode()) == ids
 
 
+def test_table_of_arcs():
+    """The compiled table alone: its size, and that an arc is where the library keeps two tokens apart."""
+    automaton, _ = compile_file(BYTE)
+    assert automaton.states == 14639 and len(automaton.table) == 10482 * automaton.stride and len(automaton.table) < 20e6
+    assert automaton.arcs() == 713_346_705
+    rng = random.Random(3)
+    model = LIBRARY[BYTE].model
+    vocab = {t: i for t, i in LIBRARY[BYTE].get_vocab().items() if i != 50256}
+    shown = {i: t for t, i in vocab.items()}
+    for _ in range(20_000):
+        a, b = rng.randrange(50_256), rng.randrange(50_256)
+        apart = [t.id for t in model.tokenize(shown[a] + shown[b])] == [a, b]
+        assert (automaton.step(automaton.state[a], b) >= 0 if automaton.state[a] >= 0 else False) == apart
+
+
+def test_long_words_take_linear_time():
+    automaton, _ = compile_file(BYTE)
+    took = []
+    for n in (20_000, 40_000):
+        began = time.process_time()
+        ids = automaton.encode(b"xqa" * n)
+        took.append(time.process_time() - began)
+        assert b"".join(automaton.labels[i] for i in ids) == b"xqa" * n
+    assert took[1] < 3.5 * took[0]
+
+
 def test_round_trip_query(odd_docs):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_round_trip(odd_docs, BYTE).collect())
     want = []
@@ -109,6 +137,37 @@ def test_counts(odd_docs, monkeypatch):
     assert token_counts(odd_docs.where("false"), BYTE).count() == 0
 
 
+def test_long_texts_of_every_kind_of_file(spark, monkeypatch):
+    """Cut into short pieces, texts count as the library counts them whole."""
+    import sentencepiece
+
+    from binsieve.llm import token_counts as module
+
+    monkeypatch.setattr(module, "PIECE_CHARS", 40)
+    rng = random.Random(9)
+    parts = ["word", " ", "\n", "  ", "'s", ",", "é", "<|endoftext|>", "\t", "a1 b2", "e\u0301 \u0301x", "Σ ", "\u2581", " the end", "漢字"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["x" * 1000, "a b " * 300]
+    for path in (BYTE, WORD, public_tokenizers.path("piece_bpe_32k.model")):
+        kind = module.kind_of(path)
+        if kind == "piece":
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            assert module._spaces_part(model)
+            want = [len(model.encode(t)) for t in texts]
+        else:
+            want = [len(library(path, t)) for t in texts]
+        assert module._counter(path, kind, TABLE)(texts) == want
+
+
+def test_slices_are_balanced_by_bytes():
+    import pyarrow as pa
+
+    texts = [None, "", "é" * 30, "a" * 500, "b", "c" * 39, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(7))], names=["text", "n"])
+    got = [x.to_pydict() for x in sliced([batch, batch.slice(0, 0)], "text", 100)]
+    assert [t for g in got for t in g["text"]] == texts and [n for g in got for n in g["n"]] == list(range(7))
+    assert [len(g["n"]) for g in got] == [3, 1, 3]
+
+
 def test_safe_pieces():
     rng = random.Random(1)
     text = "".join(rng.choice(["word", " ", "\n", "  ", "'s", ",", "é"]) for _ in range(3000))
@@ -210,3 +269,60 @@ def test_single_documents_are_selected(spark, odd_docs, documents, tmp_path):
     for ids in ([1, 5, 8], [r.doc_id for r in every if r.doc_id is not None], [10**9], []):
         got = read_token_files(spark, path, keep_ids=True, only=ids).collect()
         assert sorted(got, key=lambda r: r.start) == sorted((r for r in every if r.doc_id in ids), key=lambda r: r.start)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**50), max_size=700), st.randoms())
+def test_select_of_many(steps, rng):
+    values = np.cumsum(np.array(steps, np.int64))
+    code = EliasFano.of(values)
+    numbers = np.array([rng.randrange(len(values)) for _ in range(50 if len(values) else 0)], np.int64)
+    assert np.array_equal(code.selects(numbers), values[numbers] if len(values) else values) and np.array_equal(code.selects(np.arange(len(values))), values)
+    assert [code.select(i) for i in numbers.tolist()] == code.selects(numbers).tolist()
+
+
+def test_block_refuses_what_it_cannot_hold():
+    one = [np.array([70_000], "<u4").tobytes()]
+    with pytest.raises(ValueError):
+        block_bytes(np.array([1]), np.array([True]), one, False)
+    assert read_block(block_bytes(np.array([1]), np.array([True]), one, True))[3].tolist() == [70_000]
+    two = [np.arange(2, dtype="<u4").tobytes()] * 2
+    for ids in ([2, 1], [-(2**62), 2**62]):
+        with pytest.raises(ValueError):
+            block_bytes(np.array(ids), np.array([True, True]), two, False)
+    docs = 10**15 + np.arange(5000) * 3
+    data = block_bytes(docs, np.ones(5000, bool), [b"\1\0\0\0"] * 5000, False)
+    assert np.array_equal(read_block(data)[0], docs) and len(data) < 5000 * (2 + 1.5)
+
+
+def test_width_comes_from_the_vocabulary(spark, tmp_path):
+    """A vocabulary of 70,000 tokens: wide by itself, an error when asked to be narrow."""
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        file = json.load(f)
+    file["model"]["vocab"] |= {f"unused{k}": 49_408 + k for k in range(70_000 - 49_408)}
+    file["added_tokens"][1]["id"] = 69_999
+    file["model"]["vocab"].pop("unused20591")
+    path = str(tmp_path / "wide.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    docs = spark.createDataFrame([(-(2**62), "a b"), (2**62, "<|endoftext|> c"), (None, None)], "doc_id bigint, text string")
+    write_token_files(docs, str(tmp_path / "files"), path, end_id=66_000)
+    rows = {r.doc_id: r.ids for r in read_token_files(spark, str(tmp_path / "files"), keep_ids=True).collect()}
+    assert rows[2**62][0] == 69_999 and all(ids[-1] == 66_000 for ids in rows.values()) and set(rows) == {None, -(2**62), 2**62}
+    for options in ({"tokenizer": path}, {"tokenizer": WORD, "end_id": 70_000}):
+        with pytest.raises(ValueError):
+            write_token_files(docs, str(tmp_path / "narrow"), wide=False, **options)
+
+
+def test_shards_have_equal_bytes(spark):
+    """Long documents at one end of the ids don't make one shard long."""
+    rows = [(i, "x" * (5000 if i < 400 else 10)) for i in range(4000)]
+    source = spark.createDataFrame(rows, "id bigint, text string")
+    bounds, shard_of = shard_bounds(source, 8)
+    size = np.zeros(8, np.int64)
+    for i, text in rows:
+        size[shard_of[np.searchsorted(bounds, i, side="right")]] += len(text)
+    assert size.max() < 1.6 * size.mean() and size.min() > 0
+    assert len(np.unique(shard_bounds(source, None)[1])) == 1
