@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binsieve.functions.binning import Binning
+from binsieve.functions.binning import Binning, from_told
 from binsieve.operators import regions
 from binsieve.plans.encoding import ENCODINGS
 
@@ -25,6 +26,15 @@ class Index:
     bins: DataFrame
     parts: DataFrame
     present: DataFrame
+    binning: Binning | None = None
+    #: (part_id, region_id, bytes) where it is stored, and whether this index is.
+    known_sizes: DataFrame | None = None
+    stored: bool = False
+
+    @property
+    def sizes(self) -> DataFrame:
+        """(part_id, region_id, bytes) of every region: read where the index is stored, else added up."""
+        return self.region_bytes() if self.known_sizes is None else self.known_sizes
 
     def encode(self, encoding: str) -> Index:
         """The same bins in another encoding; the source has to be an equality index."""
@@ -35,7 +45,7 @@ class Index:
         bins = self.bins.select("part_id", F.col("bin_no").cast("int").alias("b")).join(n, "part_id")
         into = bins.select("part_id", F.col("b").alias("region_id"), F.explode(made.members(F.col("n"), F.col("b"))).alias("to"))
         words = self.words.join(into, ["part_id", "region_id"]).groupBy("part_id", F.col("to").cast("int").alias("region_id"), "word_idx").agg(F.bit_or("word").alias("word"))
-        return replace(self, encoding=made.name, words=words)
+        return replace(self, encoding=made.name, words=words, known_sizes=None, stored=False)
 
     def regions(self, ids: list[int], parts: list[int] | None = None) -> DataFrame:
         """Words of some regions; both filters reach the Parquet scan."""
@@ -44,7 +54,8 @@ class Index:
 
     def partition(self, part_id: int) -> Index:
         own = F.col("part_id") == part_id
-        return replace(self, words=self.words.where(own), bins=self.bins.where(own), parts=self.parts.where(own), present=self.present.where(own))
+        sizes = None if self.known_sizes is None else self.known_sizes.where(own)
+        return replace(self, words=self.words.where(own), bins=self.bins.where(own), parts=self.parts.where(own), present=self.present.where(own), known_sizes=sizes)
 
     def partition_at(self, offset: int) -> DataFrame:
         """The partition whose domain begins at an offset: one row or none."""
@@ -60,31 +71,84 @@ class Index:
         own = self.words.where((F.col("region_id") >= lower) & (F.col("region_id") < upper))
         return self.parts.select("part_id").join(own.groupBy("part_id").agg((F.count(F.lit(1)) * 8).alias("bytes")), "part_id", "left").select("part_id", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
-    def info(self) -> DataFrame:
-        """A row for each partition: domain, encoding, bins and bytes."""
-        stored = self.words.groupBy("part_id").agg(F.count_distinct("region_id").alias("nregions"), (F.count(F.lit(1)) * 8).alias("bytes"))
+    def info(self, keys: bool = False) -> DataFrame:
+        """A row for each partition: domain, encoding, binning, bins and bytes, and with ``keys`` the bin keys in order."""
+        stored = self.sizes.groupBy("part_id").agg(F.count(F.lit(1)).alias("nregions"), F.sum("bytes").alias("bytes"))
         rows = self.parts.join(stored, "part_id", "left")
-        return rows.select(F.lit(self.var).alias("var"), F.lit(self.encoding).alias("encoding"), "part_id", "domain_offset", "domain_size", "nbins", F.coalesce("nregions", F.lit(0)).alias("nregions"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+        told = [F.lit(self.var).alias("var"), F.lit(self.encoding).alias("encoding"), F.lit(None if self.binning is None else str(self.binning)).cast("string").alias("binning")]
+        extra = []
+        if keys:
+            listed = self.bins.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("bin_no", "bin_key"))).alias("bins"))
+            rows, extra = rows.join(listed, "part_id", "left"), [F.col("bins.bin_key").alias("bin_keys")]
+        return rows.select(*told, "part_id", "domain_offset", "domain_size", "nbins", F.coalesce("nregions", F.lit(0)).alias("nregions"), F.coalesce("bytes", F.lit(0)).alias("bytes"), *extra)
 
     def domains(self) -> DataFrame:
         """Partitions in order of domain offset with their rank."""
         return self.parts.select("part_id", "domain_offset", "domain_size", (F.row_number().over(Window.orderBy("domain_offset")) - 1).alias("domain_id"))
 
-    def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Words by partition, sorted by region so that row groups can be skipped; ``append`` adds partitions."""
-        self.words.repartition("part_id", F.floor(F.col("word_idx") / (1 << 20))).sortWithinPartitions("part_id", "region_id", "word_idx").write.mode(mode).parquet(f"{path}/words")
-        self.bins.write.mode(mode).parquet(f"{path}/bins")
-        self.present.write.mode(mode).parquet(f"{path}/present")
-        self.parts.withColumn("meta", F.lit(json.dumps({"var": self.var, "encoding": self.encoding}))).write.mode(mode).parquet(f"{path}/parts")
-
-    def append(self, path: str) -> None:
-        self.save(path, "append")
+    def save(self, path: str, mode: str = "errorifexists", batch: str | None = None) -> bool:
+        """Write the index as one batch of partitions: a folder that counts only once all of it is there.
+
+        Words stand by partition, sorted by region so that row groups can be skipped. ``append`` adds a batch;
+        with a name, a batch that is committed already is left alone, and what a failure left of one is
+        written anew. Tells whether anything was written.
+        """
+        spark = self.words.sparkSession
+        fs, folder = _files(spark, path)
+        if mode == "overwrite":
+            fs.delete(folder(path), True)
+        elif mode == "errorifexists" and committed(spark, path):
+            raise FileExistsError(path)
+        elif mode not in ("append", "errorifexists"):
+            raise ValueError(f"unknown mode {mode!r}")
+        own = f"{path}/batch-{batch or uuid.uuid4().hex}"
+        if fs.exists(folder(f"{own}/{COMMIT}")):
+            return False
+        fs.delete(folder(own), True)
+        self.words.repartition("part_id", F.floor(F.col("word_idx") / (1 << 20))).sortWithinPartitions("part_id", "region_id", "word_idx").write.parquet(f"{own}/words")
+        spark.read.parquet(f"{own}/words").groupBy("part_id", "region_id").agg((F.count(F.lit(1)) * 8).alias("bytes")).write.parquet(f"{own}/sizes")
+        self.bins.write.parquet(f"{own}/bins")
+        self.present.write.parquet(f"{own}/present")
+        meta = {"var": self.var, "encoding": self.encoding, "binning": None if self.binning is None else self.binning.told()}
+        self.parts.withColumn("meta", F.lit(json.dumps(meta))).write.parquet(f"{own}/parts")
+        fs.create(folder(f"{own}/{COMMIT}"), True).close()
+        return True
+
+    def append(self, path: str, batch: str | None = None) -> bool:
+        return self.save(path, "append", batch)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        parts = spark.read.parquet(f"{path}/parts")
-        meta = json.loads(parts.select("meta").first()[0])
-        return Index(meta["var"], meta["encoding"], spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/bins"), parts.drop("meta"), spark.read.parquet(f"{path}/present"))
+        """An index of all committed batches, with the binning it was built with; batches that differ in it are an error."""
+        batches = committed(spark, path)
+        if not batches:
+            raise FileNotFoundError(f"no index in {path}")
+        read = lambda name: spark.read.parquet(*(f"{b}/{name}" for b in batches))
+        parts = read("parts")
+        told = [r["meta"] for r in parts.select("meta").distinct().limit(2).collect()]
+        if len(told) != 1:
+            raise ValueError(f"batches of {path} are not of one index")
+        meta = json.loads(told[0])
+        binning = None if meta["binning"] is None else from_told(meta["binning"])
+        return Index(meta["var"], meta["encoding"], read("words"), read("bins"), parts.drop("meta"), read("present"), binning, read("sizes"), True)
+
+
+#: The file whose presence says that a batch is whole.
+COMMIT = "_COMMITTED"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function to its paths."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path
+    return folder(path).getFileSystem(context._jsc.hadoopConfiguration()), folder
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The folders of an index's whole batches, in order of name."""
+    fs, folder = _files(spark, path)
+    found = fs.globStatus(folder(f"{path}/batch-*/{COMMIT}"))
+    return sorted(x.getPath().getParent().toString() for x in found or [])
 
 
 def build_index(df: DataFrame, var: str, rid: str, binning: Binning, part_size: int | None = None, offset: int = 0, size: int | None = None, relative: bool = True) -> Index:
@@ -109,4 +173,4 @@ def build_index(df: DataFrame, var: str, rid: str, binning: Binning, part_size:
     keyed = regions.words(filled, "local", "bin_key", PART).withColumnRenamed("region_id", "bin_key")
     words = keyed.join(bins.select("part_id", "bin_key", "bin_no"), ["part_id", "bin_key"]).select("part_id", F.col("bin_no").alias("region_id"), "word_idx", "word")
     present = keyed.groupBy("part_id", "word_idx").agg(F.bit_or("word").alias("word"))
-    return Index(var, "equality", words, bins.select("part_id", "bin_no", "bin_key", "order", "n"), parts, present)
+    return Index(var, "equality", words, bins.select("part_id", "bin_no", "bin_key", "order", "n"), parts, present, binning)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,35 +33,75 @@ def choose(encoding: str, n: int, lower: int, upper: int, sizes: dict[int, int],
     return direct, False
 
 
-def _word_op(name: str, operands: list[Column]) -> Column:
-    if name == "NOT":
-        return F.bitwise_not(operands[0])
-    if name == "ANDNOT":
-        return operands[0].bitwiseAND(F.bitwise_not(reduce(lambda a, b: a.bitwiseOR(b), operands[1:]))) if len(operands) > 1 else operands[0]
-    method = {"AND": "bitwiseAND", "OR": "bitwiseOR", "XOR": "bitwiseXOR"}[name]
-    return reduce(lambda a, b: getattr(a, method)(b), operands)
+_PICK = "array<struct<side:int,place:int,ands:int,is_and:boolean,region_id:int>>"
+_PLAN = f"part_id bigint, nbins int, lower int, upper int, kind string, complemented boolean, negated boolean, seeks int, formula string, picks {_PICK}"
 
 
-@dataclass(frozen=True)
-class Step:
-    """How one constraint is answered in some partitions: a bin range and its formula, None for a uniform answer."""
+def _plans(encoding: str):
+    """A function of batches of bin ranges that adds each partition's formula."""
+    made = ENCODINGS[encoding]
 
-    constraint: Constraint
-    parts: tuple[int, ...]
-    nbins: int
-    lower: int
-    upper: int
-    formula: Formula | None
-    complemented: bool
+    def run(batches):
+        for batch in batches:
+            rows: dict[str, list] = {k: [] for k in ("kind", "complemented", "negated", "seeks", "formula", "picks")}
+            for n, lower, upper, other in zip(*(batch.column(c).to_pylist() for c in ("nbins", "lower", "upper", "other"))):
+                kind = "empty" if lower >= upper else "full" if (lower, upper) == (0, n) else "some"
+                formula, complemented, negated, picks = None, False, False, []
+                if kind == "some":
+                    formula = made.formula(n, lower, upper, other)
+                    complemented = other and formula != made.formula(n, lower, upper)
+                    *chains, negated = formula.sides()
+                    for side, chain in enumerate(chains):
+                        ands = 0
+                        for place, (op, region) in enumerate(chain):
+                            ands += op == "AND"
+                            picks.append({"side": side, "place": place, "ands": ands, "is_and": op == "AND", "region_id": region})
+                ids = formula.regions() if formula else []
+                told = (kind, complemented, negated, sum(not i or ids[i - 1] != r - 1 for i, r in enumerate(ids)), str(formula or kind), picks)
+                for column, value in zip(rows.values(), told):
+                    column.append(value)
+            pick = pa.list_(pa.struct([("side", pa.int32()), ("place", pa.int32()), ("ands", pa.int32()), ("is_and", pa.bool_()), ("region_id", pa.int32())]))
+            kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pick)
+            own = [batch.column(c) for c in ("part_id", "nbins", "lower", "upper")]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(rows.values(), kinds))], names=["part_id", "nbins", "lower", "upper", *rows])
+
+    return run
+
+
+def _chain(side: int) -> Column:
+    """The words of one chain, from left to right, where a region without a word here is zero: what an AND that is missing leaves."""
+    zero = F.lit(0).cast("bigint")
+    steps = F.array_sort(F.filter("found", lambda x: x["side"] == side))
+
+    def step(held, x):
+        # ``ands`` counts the ANDs up to a place: one that has no word lies between if the count jumps.
+        before = F.when(held["ands"] == x["ands"] - x["is_and"].cast("int"), held["word"]).otherwise(zero)
+        return F.struct(x["ands"].alias("ands"), F.when(x["is_and"], before.bitwiseAND(x["word"])).otherwise(before.bitwiseOR(x["word"])).alias("word"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("ands"), zero.alias("word")), step, lambda held: F.when(held["ands"] == F.col(f"ands{side}"), held["word"]).otherwise(zero))
 
 
 class IndexEngine:
-    """Range queries over indexes of several columns with the same partitions."""
+    """Range queries over indexes of several columns with the same partitions.
+
+    Bins of an index come from the binning it was built with; ``binnings`` is for indexes that carry none, and
+    one that differs from the index's own is an error.
+    """
 
-    def __init__(self, indexes: dict[str, Index], binnings: dict[str, Binning], complement: str = "auto"):
-        self.indexes, self.binnings, self.complement = indexes, binnings, complement
+    def __init__(self, indexes: dict[str, Index], binnings: dict[str, Binning] | None = None, complement: str = "auto"):
         if not indexes:
             raise ValueError("no index")
+        if complement not in ("auto", "never", "always"):
+            raise ValueError(f"unknown complement mode {complement!r}")
+        self.indexes, self.complement = indexes, complement
+        self.binnings = {}
+        for var, index in indexes.items():
+            told = (binnings or {}).get(var)
+            if index.binning is not None and told is not None and told != index.binning:
+                raise ValueError(f"the index of {var} was built with {index.binning}, not {told}")
+            if (own := index.binning or told) is None:
+                raise ValueError(f"no binning for {var}")
+            self.binnings[var] = own
 
     def bin_range(self, c: Constraint, begin: int = 0, end: int | None = None) -> DataFrame:
         """(part_id, nbins, lower, upper): the bins lower <= b < upper that a constraint touches in each partition."""
@@ -81,64 +119,58 @@ class IndexEngine:
         df = df.where(F.col("part_id") >= begin)
         return df if end is None else df.where(F.col("part_id") < end)
 
-    def plan(self, query: Query, begin: int = 0, end: int | None = None) -> list[Step]:
-        """The steps of every constraint; partitions whose bins give the same formula share one.
+    def plan(self, c: Constraint, begin: int = 0, end: int | None = None) -> DataFrame:
+        """How a constraint is answered in each partition, one row each: bin range, formula, and the regions it picks.
 
-        The driver sees a row for each partition and, for the cost of reading, one for each region of an
-        equality index: the metadata of the index, not its words.
+        Partitions differ in their bins, so each has a formula of its own, direct or by complement as
+        costs less there. Nothing comes to the driver, and the plan is the same for any number of partitions.
         """
-        steps = []
-        for c in dict.fromkeys(t for t in query.terms if isinstance(t, Constraint)):
-            index = self.indexes[c.var]
-            sizes: dict[int, int] = {}
-            if self.complement == "auto" and index.encoding == "equality":
-                sizes = {r["region_id"]: r["bytes"] for r in self._some(index.region_bytes(), begin, end).groupBy("region_id").agg(F.sum("bytes").alias("bytes")).collect()}
-            grouped: dict[tuple, list[int]] = {}
-            for r in self.bin_range(c, begin, end).collect():
-                grouped.setdefault((r["nbins"], r["lower"], r["upper"]), []).append(r["part_id"])
-            for (n, lower, upper), parts in sorted(grouped.items()):
-                formula, other = (None, False) if lower >= upper or (lower, upper) == (0, n) and self._dense(index) else self._formula(index, n, lower, upper, sizes)
-                steps.append(Step(c, tuple(sorted(parts)), n, lower, upper, formula, other))
-        return steps
-
-    def _dense(self, index: Index) -> bool:
-        """A full bin range is the whole domain only where no value is null."""
-        row = index.bins.agg(F.sum("n")).first()[0] or 0
-        return row == (index.parts.agg(F.sum("domain_size")).first()[0] or 0)
-
-    def _formula(self, index, n, lower, upper, sizes):
-        if (lower, upper) == (0, n):  # every bin, but not every record: all bins' regions
-            return None, False
-        return choose(index.encoding, n, lower, upper, sizes, self.complement)
-
-    def _answer(self, step: Step, whole: DataFrame) -> DataFrame:
-        """Words of one step: its regions side by side for each word position, and the formula over them."""
-        index = self.indexes[step.constraint.var]
-        own = whole.where(F.col("part_id").isin(*step.parts))
-        if step.lower >= step.upper:
-            return regions.uniform(own, False, PART)
-        if step.formula is None:
-            return regions.uniform(own, True, PART) if self._dense(index) else self._all_bins(index, step)
-        ids = step.formula.regions()
-        named = index.regions(ids, list(step.parts)).groupBy("part_id", "word_idx").agg(*[F.bit_or(F.when(F.col("region_id") == r, F.col("word"))).alias(f"r{r}") for r in ids])
-        value = step.formula.fold(lambda r: F.coalesce(F.col(f"r{r}"), F.lit(0).cast("bigint")), _word_op)
-        negates = ("NOT", 1) in step.formula.steps
-        joined = own.join(named, ["part_id", "word_idx"], "left" if negates else "inner")
-        out = joined.select("part_id", "word_idx", value.bitwiseAND(F.col("mask")).alias("word")).where("word <> 0")
-        return regions.intersect(out, self._all_bins(index, step), by=PART) if negates and not self._dense(index) else out
-
-    @staticmethod
-    def _all_bins(index: Index, step: Step) -> DataFrame:
-        return index.present.where(F.col("part_id").isin(*step.parts)).select("part_id", "word_idx", "word")
+        index = self.indexes[c.var]
+        ranges = self.bin_range(c, begin, end)
+        if self.complement == "auto" and index.encoding == "equality":
+            inside = (F.col("region_id") >= F.col("lower")) & (F.col("region_id") < F.col("upper"))
+            sized = ranges.join(self._some(index.sizes, begin, end), "part_id", "left").groupBy("part_id", "nbins", "lower", "upper")
+            seeks = (F.col("lower") > 0).cast("int") + (F.col("upper") < F.col("nbins")).cast("int")
+            cost = sized.agg(F.coalesce(F.sum(F.when(inside, F.col("bytes"))), F.lit(0)).alias("direct"), F.coalesce(F.sum(F.when(~inside, F.col("bytes"))), F.lit(0)).alias("rest"))
+            ranges = cost.withColumn("other", F.col("rest") + SEEK * seeks < F.col("direct") + SEEK)
+        else:
+            ranges = ranges.withColumn("other", F.lit(self.complement == "always"))
+        own = ranges.select("part_id", F.col("nbins").cast("int").alias("nbins"), F.col("lower").cast("int").alias("lower"), F.col("upper").cast("int").alias("upper"), "other")
+        return own.mapInArrow(_plans(index.encoding), _PLAN)
+
+    def _answer(self, c: Constraint, begin: int, end: int | None) -> DataFrame:
+        """(part_id, word_idx, word) of one constraint, by one aggregation of the words its plan picks.
+
+        A partition that is answered by what its regions leave, or in full, also reads the words of
+        all records that are in a bin, so that nulls stay out.
+        """
+        index, plan = self.indexes[c.var], self.plan(c, begin, end)
+        picks = plan.select("part_id", F.explode("picks").alias("pick")).select("part_id", "pick.*")
+        stored = self._some(index.words, begin, end)
+        if index.stored:  # regions outside the least and the greatest picked are left out by the scan
+            ends = picks.agg(F.min("region_id").alias("low"), F.max("region_id").alias("high"))
+            stored = stored.where((F.col("region_id") >= ends.select("low").scalar()) & (F.col("region_id") <= ends.select("high").scalar()))
+        found = stored.join(picks, ["part_id", "region_id"]).select("part_id", "word_idx", "word", "side", "place", "ands", "is_and")
+        whole = plan.where("negated or kind = 'full'").select("part_id")
+        rest = self._some(index.present, begin, end).join(whole, "part_id").select("part_id", "word_idx", "word", F.lit(2).alias("side"), F.lit(0).alias("place"), F.lit(0).alias("ands"), F.lit(False).alias("is_and"))
+        rows = found.unionByName(rest).groupBy("part_id", "word_idx")
+        zero = F.lit(0).cast("bigint")
+        side = lambda k: F.bit_or(F.when(F.col("side") == k, F.col("word")))
+        if index.encoding in ("binary", "interval"):
+            # ANDs need their order; a position has as many rows as a formula has regions: at most two, or bits of the bins' number.
+            last = plan.select("part_id", *(F.coalesce(F.array_max(F.transform(F.filter("picks", among), lambda x: x["ands"])), F.lit(0)).alias(f"ands{k}") for k, among in ((0, lambda x: x["side"] == 0), (1, lambda x: x["side"] == 1))))
+            listed = rows.agg(F.collect_list(F.when(F.col("side") < 2, F.struct("side", "place", "ands", "is_and", "word"))).alias("found"), side(2).alias("whole"))
+            words = listed.join(last, "part_id").select("part_id", "word_idx", _chain(0).alias("kept"), _chain(1).alias("dropped"), "whole")
+        else:
+            words = rows.agg(F.coalesce(side(0), zero).alias("kept"), F.coalesce(side(1), zero).alias("dropped"), side(2).alias("whole"))
+        own = F.col("kept").bitwiseAND(F.bitwise_not("dropped"))
+        return words.select("part_id", "word_idx", F.when(F.col("whole").isNotNull(), F.col("whole").bitwiseAND(F.bitwise_not(own))).otherwise(own).alias("word")).where("word <> 0")
 
     def words(self, query: Query, begin: int = 0, end: int | None = None) -> DataFrame:
         """(part_id, word_idx, word) of the answer."""
         some = next(iter(self.indexes.values()))
         whole = regions.spine(self._some(some.parts, begin, end), "domain_size", PART)
-        answers: dict[Constraint, DataFrame] = {}
-        for step in self.plan(query, begin, end):
-            own = self._answer(step, whole)
-            answers[step.constraint] = answers[step.constraint].unionByName(own) if step.constraint in answers else own
+        answers = {c: self._answer(c, begin, end) for c in dict.fromkeys(t for t in query.terms if isinstance(t, Constraint))}
 
         def combine(name, operands):
             if name == "NOT":
@@ -159,7 +191,61 @@ class IndexEngine:
         return some.join(regions.count(self.words(query, begin, end), PART), "part_id", "left").select("part_id", F.coalesce("n", F.lit(0)).alias("n"))
 
     def statistics(self, query: Query, begin: int = 0, end: int | None = None) -> DataFrame:
-        """A row for each step of the plan: bins touched, regions read, complement used."""
-        spark = next(iter(self.indexes.values())).words.sparkSession
-        rows = [(str(s.constraint), len(s.parts), s.nbins, s.upper - s.lower, len(s.formula.regions()) if s.formula else 0, s.complemented, str(s.formula) if s.formula else "uniform") for s in self.plan(query, begin, end)]
-        return spark.createDataFrame(rows, "constraint string, parts int, nbins int, bins_touched int, regions_read int, complemented boolean, formula string")
+        """A row for each constraint and partition: bins touched, regions, bytes and seeks read, complement used, and the formula."""
+        out = None
+        for c in dict.fromkeys(t for t in query.terms if isinstance(t, Constraint)):
+            plan = self.plan(c, begin, end)
+            read = plan.select("part_id", F.explode(F.array_distinct(F.transform("picks", lambda x: x["region_id"]))).alias("region_id"))
+            read = read.join(self._some(self.indexes[c.var].sizes, begin, end), ["part_id", "region_id"], "left").groupBy("part_id").agg(F.count(F.lit(1)).alias("regions_read"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+            zero = F.lit(0).cast("bigint")
+            rows = plan.join(read, "part_id", "left").select(
+                F.lit(str(c)).alias("constraint"), "part_id", "nbins", (F.col("upper") - F.col("lower")).alias("bins_touched"), F.coalesce("regions_read", zero).alias("regions_read"),
+                F.coalesce("bytes", zero).alias("bytes"), F.col("seeks").cast("bigint").alias("seeks"), "complemented", "formula",
+            )
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    @staticmethod
+    def total_statistics(rows: DataFrame) -> DataFrame:
+        """Statistics of many partitions, or of many runs, added up by constraint."""
+        sums = [F.sum(c).alias(c) for c in ("bins_touched", "regions_read", "bytes", "seeks")]
+        return rows.groupBy("constraint").agg(F.count(F.lit(1)).alias("parts"), *sums, F.sum(F.col("complemented").cast("bigint")).alias("complemented"))
+
+    def cursor(self, query: Query, begin: int = 0, end: int | None = None, step: int = 1) -> Cursor:
+        """The answer, some partitions at a time."""
+        return Cursor(self, query, begin, end, step)
+
+
+class Cursor:
+    """Record ids of ``step`` partitions after another, each worked out when it is asked for.
+
+    The driver holds the numbers of the partitions. A cursor is also an iterator.
+    """
+
+    def __init__(self, engine: IndexEngine, query: Query, begin: int, end: int | None, step: int):
+        if step < 1:
+            raise ValueError("a step is one partition or more")
+        self.engine, self.query, self.step_size = engine, query, step
+        parts = engine._some(next(iter(engine.indexes.values())).parts, begin, end)
+        self.parts = [r["part_id"] for r in parts.select("part_id").orderBy("part_id").collect()]
+        self.at = 0
+
+    def has_next(self) -> bool:
+        return self.at < len(self.parts)
+
+    def step(self, n: int = 1) -> None:
+        """Pass over n steps."""
+        self.at = min(len(self.parts), self.at + n * self.step_size)
+
+    def next(self) -> DataFrame:
+        """(part_id, rid) of the next partitions."""
+        if not self.has_next():
+            raise StopIteration
+        own = self.parts[self.at : self.at + self.step_size]
+        self.step()
+        return self.engine.evaluate(self.query, own[0], own[-1] + 1)
+
+    __next__ = next
+
+    def __iter__(self) -> Cursor:
+        return self

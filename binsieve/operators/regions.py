@@ -19,13 +19,24 @@ def words(df: DataFrame, rid: str, region: str = "region_id", by: tuple[str, ...
     return df.groupBy(*by, F.col(region).alias("region_id"), F.floor(F.col(rid) / BITS).cast("bigint").alias("word_idx")).agg(F.bit_or(bit).alias("word"))
 
 
+#: Word positions of a stretch of a spine that one row stands for before it is spread over tasks.
+STRETCH = 1 << 16
+
+
 def spine(domain: DataFrame, size: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """All word positions of a domain of ``size`` records, each with the mask of its valid bits."""
+    """All word positions of a domain of ``size`` records, each with the mask of its valid bits.
+
+    A domain is cut into stretches first, which are dealt to all tasks, so that no row or task has to hold all of a long one.
+    """
+    n = int(domain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     last = F.floor((F.col(size) - 1) / BITS)
     rest = F.pmod(F.col(size), F.lit(BITS)).cast("int")
     full = F.lit(-1).cast("bigint")
     tail = F.when((F.col("word_idx") == last) & (rest > 0), F.call_function("shiftleft", F.lit(1).cast("bigint"), rest) - F.lit(1).cast("bigint")).otherwise(full)
-    return domain.where(F.col(size) > 0).select(*by, size, F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("word_idx")).select(*by, "word_idx", tail.alias("mask"))
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    stretches = domain.where(F.col(size) > 0).select(*by, size, F.explode(F.sequence(zero, F.floor(last / STRETCH).cast("bigint"))).alias("stretch")).repartition(n, *by, "stretch")
+    first = F.col("stretch") * STRETCH
+    return stretches.select(*by, size, F.explode(F.sequence(first, F.least(last.cast("bigint"), first + F.lit(STRETCH).cast("bigint") - one))).alias("word_idx")).select(*by, "word_idx", tail.alias("mask"))
 
 
 def _operands(regions: list[DataFrame], by: tuple[str, ...]) -> DataFrame:
@@ -95,11 +106,11 @@ def from_runs(runs: DataFrame, start: str = "start", length: str = "len", by: tu
     return parts.groupBy(*by, "word_idx").agg(F.bit_or(mask).alias("word"))
 
 
-def runs(region: DataFrame, by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+def runs(region: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Run-length form: (start, len) of each maximal run.
 
-    Runs inside a word are found there; those that meet at word ends are put together by a window
-    over at most 2^16 words, and again over the ends of those stretches.
+    Records of 2^16 words are numbered together, where the difference of record and number tells the runs
+    apart; those that meet at the ends of such stretches are put together by a second window over the ends.
     """
     ids = rids(region, by=by)
     chunk = F.floor(F.col("rid") / (BITS << 16))
@@ -156,10 +167,12 @@ def id_list(region: DataFrame, inverted: bool = False, whole: DataFrame | None =
     return lists.select("chunk", F.lit(inverted).alias("inverted"), deltas.alias("deltas"))
 
 
-def from_id_list(table: DataFrame) -> DataFrame:
-    """Word table of a list form that isn't inverted."""
-    ids = F.transform("deltas", lambda x, i: F.aggregate(F.slice("deltas", F.lit(1), i + 1), F.lit(0).cast("bigint"), lambda s, d: s + d))
-    return words(table.select(F.lit(0).alias("region_id"), F.explode(ids).alias("rid")), "rid").drop("region_id")
+def from_id_list(table: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Word table of a list form; with the domain's spine ``whole``, of lists that are inverted."""
+    deltas = table.select("chunk", F.posexplode("deltas").alias("place", "delta"))
+    running = Window.partitionBy("chunk").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    listed = words(deltas.select(F.lit(0).alias("region_id"), F.sum("delta").over(running).alias("rid")), "rid").drop("region_id")
+    return listed if whole is None else complement(listed, whole)
 
 
 def sizes(region: DataFrame, dims: int = 2, levels: int = 3) -> DataFrame:
