@@ -35,6 +35,10 @@ class Binning:
     def constant(self, value) -> Column:
         return F.lit(value)
 
+    def told(self) -> dict:
+        """What ``from_told`` makes the same binning of; plain enough for JSON."""
+        raise NotImplementedError
+
     def upper_values(self, column: Column, value) -> Column | None:
         """What ``key <= bound(value)`` says about the column itself, in a form that scans can use, if anything."""
         return None
@@ -95,21 +99,24 @@ class Sigbits(Binning):
             return key if not (self.kind.order == "unsigned" and n == 64) else key - (1 << 63)
         return key - (1 << n) if self.kind.order == "twos" else ~(key & (1 << (n - 1)) - 1)
 
+    def told(self) -> dict:
+        return {"kind": "sigbits", "n": self.n, "type": self.kind.name}
+
 
 @dataclass(frozen=True)
 class Precision(Binning):
-    """Round to ``digits`` significant decimal digits, half up; 0 or over 15 digits leave the value alone."""
+    """Round to ``digits`` significant decimal digits, half up; 0 digits round as 1 does, over 15 leave the value alone."""
 
     digits: int
 
     def key(self, value: Column) -> Column:
         x = F.abs(value.cast("double"))
-        if not 0 < self.digits <= 15:
+        if self.digits > 15:
             return value.cast("double")
         usual = (x >= 2.0**-1022) & (x < float("inf"))
         safe = F.when(usual, x).otherwise(F.lit(1.0))
         log = F.log10(safe)
-        shift = F.floor(log) - (self.digits - 1)
+        shift = F.floor(log) - (max(1, self.digits) - 1)
         digits = F.floor(F.lit(0.5) + F.pow(F.lit(10.0), log - shift)).cast("double")
         scaled = F.when(shift > 0, digits * F.pow(F.lit(10.0), shift)).when(shift < 0, digits / F.pow(F.lit(10.0), -shift)).otherwise(digits)
         rounded = F.when(usual, scaled).when(x < 2.0**-1022, F.lit(0.0)).otherwise(x)
@@ -120,6 +127,9 @@ class Precision(Binning):
             raise TypeError("a string bound on a numeric column")
         return F.lit(float(value))
 
+    def told(self) -> dict:
+        return {"kind": "precision", "digits": self.digits}
+
 
 @dataclass(frozen=True)
 class Explicit(Binning):
@@ -163,6 +173,9 @@ class Explicit(Binning):
             raise TypeError("a bound of another type than the boundaries")
         return F.lit(value)
 
+    def told(self) -> dict:
+        return {"kind": "explicit", "bounds": list(self.bounds), "lowest": self.lowest}
+
 
 @dataclass(frozen=True)
 class Cast(Binning):
@@ -174,6 +187,9 @@ class Cast(Binning):
     def key(self, value: Column) -> Column:
         return self.base.key(value.cast(column_type(self.kind).spark))
 
+    def told(self) -> dict:
+        return {"kind": "cast", "type": self.kind, "base": self.base.told()}
+
     def order(self, key: Column) -> Column:
         return self.base.order(key)
 
@@ -181,6 +197,22 @@ class Cast(Binning):
         return F.lit(value)
 
 
+def from_told(told: dict) -> Binning:
+    """The binning that told itself so."""
+    kind = told["kind"]
+    if kind == "sigbits":
+        return Sigbits(told["n"], told["type"])
+    if kind == "precision":
+        return Precision(told["digits"])
+    if kind == "cast":
+        return Cast(told["type"], from_told(told["base"]))
+    if kind == "explicit":
+        made = Explicit(told["bounds"])
+        object.__setattr__(made, "lowest", told["lowest"])
+        return made
+    raise ValueError(f"unknown binning {kind!r}")
+
+
 #: Kinds of binning by the names a command line has.
 BINNINGS = {"sigbits": lambda parameter, kind: Sigbits(int(parameter), kind), "precision": lambda parameter, kind: Precision(int(parameter)), "explicit": lambda parameter, kind: Explicit(parameter, kind)}
 

@@ -71,7 +71,9 @@ def test_precision(spark):
         assert keys(spark, [1.234], "float64", Precision(digits)) == [want]
     assert keys(spark, [9.87654321e24], "float64", Precision(3)) == [pytest.approx(9.88e24, rel=1e-12)]
     assert keys(spark, [-1.236, 0.0, 5e-324, math.inf, None], "float64", Precision(3)) == [-1.24, 0.0, 0.0, math.inf, None]
-    assert keys(spark, [1.23456], "float64", Precision(0)) == [1.23456]
+    # 0 digits round as 1 does; only more digits than a double has leave a value alone.
+    assert keys(spark, [1.23456, 16.0, -0.27], "float64", Precision(0)) == keys(spark, [1.23456, 16.0, -0.27], "float64", Precision(1))
+    assert keys(spark, [1.23456], "float64", Precision(0)) == [1.0] and keys(spark, [1.23456], "float64", Precision(16)) == [1.23456]
 
 
 def test_explicit(spark):
