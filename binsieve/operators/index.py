@@ -71,16 +71,16 @@ class Index:
         own = self.words.where((F.col("region_id") >= lower) & (F.col("region_id") < upper))
         return self.parts.select("part_id").join(own.groupBy("part_id").agg((F.count(F.lit(1)) * 8).alias("bytes")), "part_id", "left").select("part_id", F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
-    def info(self, keys: bool = False) -> DataFrame:
-        """A row for each partition: domain, encoding, binning, bins and bytes, and with ``keys`` the bin keys in order."""
+    def info(self, details: bool = False) -> DataFrame:
+        """A row for each partition: domain, encoding, bins and bytes, and with ``details`` the binning and the bin keys in order."""
         stored = self.sizes.groupBy("part_id").agg(F.count(F.lit(1)).alias("nregions"), F.sum("bytes").alias("bytes"))
         rows = self.parts.join(stored, "part_id", "left")
-        told = [F.lit(self.var).alias("var"), F.lit(self.encoding).alias("encoding"), F.lit(None if self.binning is None else str(self.binning)).cast("string").alias("binning")]
         extra = []
-        if keys:
+        if details:
             listed = self.bins.groupBy("part_id").agg(F.array_sort(F.collect_list(F.struct("bin_no", "bin_key"))).alias("bins"))
-            rows, extra = rows.join(listed, "part_id", "left"), [F.col("bins.bin_key").alias("bin_keys")]
-        return rows.select(*told, "part_id", "domain_offset", "domain_size", "nbins", F.coalesce("nregions", F.lit(0)).alias("nregions"), F.coalesce("bytes", F.lit(0)).alias("bytes"), *extra)
+            told = F.lit(None if self.binning is None else str(self.binning)).cast("string")
+            rows, extra = rows.join(listed, "part_id", "left"), [told.alias("binning"), F.col("bins.bin_key").alias("bin_keys")]
+        return rows.select(F.lit(self.var).alias("var"), F.lit(self.encoding).alias("encoding"), "part_id", "domain_offset", "domain_size", "nbins", F.coalesce("nregions", F.lit(0)).alias("nregions"), F.coalesce("bytes", F.lit(0)).alias("bytes"), *extra)
 
     def domains(self) -> DataFrame:
         """Partitions in order of domain offset with their rank."""

@@ -117,13 +117,20 @@ def runs(region: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     within = Window.partitionBy(*by, "chunk").orderBy("rid")
     marked = ids.withColumn("chunk", chunk).withColumn("island", F.col("rid") - F.row_number().over(within))
     parts = marked.groupBy(*by, "chunk", "island").agg(F.min("rid").alias("start"), F.max("rid").alias("stop")).drop("island")
-    # A run that goes over chunks touches their edges: only those parts meet in a second pass.
+    return joined(parts, by)
+
+
+def joined(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(start, len) of runs (start, stop) that were found in stretches of 2^16 words each.
+
+    A run that goes over stretches touches their edges: only those parts meet in a second pass.
+    """
     edge = (F.pmod("start", F.lit(BITS << 16)) == 0) | (F.pmod(F.col("stop") + 1, F.lit(BITS << 16)) == 0)
     inner = parts.where(~edge).select(*by, "start", "stop")
     order = Window.partitionBy(*by).orderBy("start") if by else Window.partitionBy(F.lit(0)).orderBy("start")
     edges = parts.where(edge).withColumn("fresh", (F.coalesce(F.lag("stop").over(order), F.lit(-2)) + 1 != F.col("start")).cast("int")).withColumn("run", F.sum("fresh").over(order))
-    joined = edges.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(*by, "start", "stop")
-    return inner.unionByName(joined).select(*by, "start", (F.col("stop") - F.col("start") + 1).alias("len"))
+    whole = edges.groupBy(*by, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select(*by, "start", "stop")
+    return inner.unionByName(whole).select(*by, "start", (F.col("stop") - F.col("start") + 1).alias("len"))
 
 
 def blocks(region: DataFrame, dims: int, levels: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -11,11 +11,12 @@ from binsieve.functions import bits
 from binsieve.functions.binning import Cast, Explicit, Precision, Sigbits
 from binsieve.operators import regions, tools
 from binsieve.operators.column_engine import ColumnEngine
+from binsieve.operators.forms import IdLists, combine_runs
 from binsieve.operators.index import Index, build_index
 from binsieve.operators.index_engine import IndexEngine
 from binsieve.plans.encoding import ENCODINGS
-from binsieve.plans.terms import AndNot, Constraint, Or, Query, Xor, parse
-from binsieve.sources.datasets import chunk_of, linear_ranges, subvolume
+from binsieve.plans.terms import AndNot, Constraint, Or, Query, Xor, parse, simplify
+from binsieve.sources.datasets import chunk_of, linear_ranges, subvolume, write_rids
 from binsieve.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,11 +308,61 @@ def rep_ii(spark, sf_dir):
     return regions.rids(regions.from_id_list(lists))
 
 
-@query("SELECT p_partkey // 65536 AS chunk, true AS inverted, count(*) AS n, max(p_partkey) AS last FROM part WHERE NOT p_size BETWEEN 5 AND 40 GROUP BY 1")
+@query("SELECT chunk, true AS inverted, row_number() OVER w - 1 AS place, rid - coalesce(lag(rid) OVER w, 0) AS delta FROM (SELECT p_partkey // 65536 AS chunk, p_partkey AS rid FROM part WHERE NOT p_size BETWEEN 5 AND 40) WINDOW w AS (PARTITION BY chunk ORDER BY rid)")
 def rep_cii(spark, sf_dir):
     lists = regions.id_list(_size_words(spark, sf_dir, 5, 40), True, _part_spine(spark, sf_dir))
-    total = F.aggregate("deltas", F.lit(0).cast("bigint"), lambda s, d: s + d)
-    return lists.select("chunk", "inverted", F.size("deltas").cast("bigint").alias("n"), total.alias("last"))
+    return lists.select("chunk", "inverted", F.posexplode("deltas").alias("place", "delta")).withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(_IN + "p_size BETWEEN 5 AND 40")
+def rep_from_cii(spark, sf_dir):
+    whole = _part_spine(spark, sf_dir)
+    return regions.rids(regions.from_id_list(regions.id_list(_size_words(spark, sf_dir, 5, 40), True, whole), whole))
+
+
+def _size_lists(spark, sf_dir, lower, upper, inverted=False) -> IdLists:
+    inside = F.col("p_size").between(lower, upper)
+    return IdLists.of(_table(spark, sf_dir, "part").where(~inside if inverted else inside).select(F.col("p_partkey").alias("rid")), inverted)
+
+
+def _part_domain(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").agg((F.max("p_partkey") + 1).alias("size"))
+
+
+@query("SELECT 'or' AS op, p_partkey AS rid FROM part WHERE p_size BETWEEN 5 AND 30 UNION ALL SELECT 'and', p_partkey FROM part WHERE p_size BETWEEN 15 AND 20 UNION ALL SELECT 'andnot', p_partkey FROM part WHERE p_size BETWEEN 5 AND 14 UNION ALL SELECT 'xor', p_partkey FROM part WHERE (p_size BETWEEN 5 AND 20) <> (p_size BETWEEN 15 AND 30)")
+def rep_ii_ops(spark, sf_dir):
+    a, b = _size_lists(spark, sf_dir, 5, 20), _size_lists(spark, sf_dir, 15, 30)
+    return _labelled({"or": a | b, "and": a & b, "andnot": a - b, "xor": a ^ b}, _part_domain(spark, sf_dir))
+
+
+@query("""SELECT op, p_partkey AS rid FROM part, (VALUES ('or'), ('and'), ('andnot'), ('xor'), ('nor')) o(op) WHERE CASE op
+    WHEN 'or' THEN p_size BETWEEN 5 AND 20 OR p_size BETWEEN 15 AND 30 WHEN 'and' THEN p_size BETWEEN 5 AND 20 AND p_size BETWEEN 15 AND 30
+    WHEN 'andnot' THEN p_size BETWEEN 15 AND 30 AND NOT p_size BETWEEN 5 AND 20 WHEN 'xor' THEN (p_size BETWEEN 5 AND 20) <> (p_size BETWEEN 15 AND 30)
+    ELSE NOT (p_size BETWEEN 5 AND 20 OR p_size BETWEEN 40 AND 50) END""")
+def rep_cii_ops(spark, sf_dir):
+    a, b, c = _size_lists(spark, sf_dir, 5, 20, True), _size_lists(spark, sf_dir, 15, 30), _size_lists(spark, sf_dir, 40, 50, True)
+    return _labelled({"or": a | b, "and": a & b, "andnot": b - a, "xor": a ^ b, "nor": ~(a | c)}, _part_domain(spark, sf_dir))
+
+
+def _labelled(named: dict[str, IdLists], domain: DataFrame) -> DataFrame:
+    out = None
+    for name, lists in named.items():
+        rows = lists.rids(domain).select(F.lit(name).alias("op"), "rid")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_RUN_CASES = {"OR": "a OR b OR c", "AND": "a AND b AND c", "ANDNOT": "a AND NOT b AND NOT c", "XOR": "(a <> b) <> c"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{op}' AS op, min(rid) AS start, count(*) AS len FROM (SELECT rid, rid - row_number() OVER (ORDER BY rid) AS g FROM (SELECT p_partkey AS rid, p_size BETWEEN 5 AND 35 AS a, p_size BETWEEN 15 AND 45 AS b, p_size BETWEEN 10 AND 20 AS c FROM part) WHERE {test}) GROUP BY g" for op, test in _RUN_CASES.items()))
+def rep_wah_ops(spark, sf_dir):
+    forms = [regions.runs(_size_words(spark, sf_dir, *r)) for r in ((5, 35), (15, 45), (10, 20))]
+    out = None
+    for op in _RUN_CASES:
+        rows = combine_runs(op, *forms).select(F.lit(op).alias("op"), "start", "len")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("""WITH l0 AS (SELECT p_partkey AS b FROM part WHERE p_size BETWEEN 5 AND 48),
@@ -327,10 +378,14 @@ def rep_from_blocks(spark, sf_dir):
     return regions.rids(regions.from_blocks(regions.blocks(_size_words(spark, sf_dir, 5, 48), 3, 2), 3))
 
 
-@query(f"""SELECT 'list' AS form, count(*) * 4 AS bytes FROM part WHERE p_size BETWEEN 5 AND 40
-    UNION ALL SELECT 'bitmap', count(DISTINCT p_partkey // 64) * 8 FROM part WHERE p_size BETWEEN 5 AND 40 UNION ALL SELECT 'runs', count(*) * 8 FROM ({_RUNS})""")
+@query(f"""WITH l0 AS (SELECT p_partkey AS b FROM part WHERE p_size BETWEEN 5 AND 40), l1 AS (SELECT b // 4 AS b FROM l0 GROUP BY 1 HAVING count(*) = 4),
+    l2 AS (SELECT b // 4 AS b FROM l1 GROUP BY 1 HAVING count(*) = 4), l3 AS (SELECT b // 4 AS b FROM l2 GROUP BY 1 HAVING count(*) = 4)
+    SELECT 'list' AS form, count(*) * 4 AS bytes FROM part WHERE p_size BETWEEN 5 AND 40
+    UNION ALL SELECT 'bitmap', count(DISTINCT p_partkey // 64) * 8 FROM part WHERE p_size BETWEEN 5 AND 40 UNION ALL SELECT 'runs', count(*) * 8 FROM ({_RUNS})
+    UNION ALL SELECT 'blocks', 9 * ((SELECT count(*) FROM l0 WHERE b // 4 NOT IN (SELECT b FROM l1)) + (SELECT count(*) FROM l1 WHERE b // 4 NOT IN (SELECT b FROM l2))
+        + (SELECT count(*) FROM l2 WHERE b // 4 NOT IN (SELECT b FROM l3)) + (SELECT count(*) FROM l3))""")
 def rep_sizes(spark, sf_dir):
-    return regions.sizes(_size_words(spark, sf_dir, 5, 40)).where("form <> 'blocks'")
+    return regions.sizes(_size_words(spark, sf_dir, 5, 40))
 
 
 # Indexes and encodings ------------------------------------------------------------------------------
@@ -441,9 +496,84 @@ def idx_region_bytes(spark, sf_dir):
     return _price_index(spark, sf_dir)["o_totalprice"].size(2, 5)
 
 
-@query()
+def _statistics_sql(var: str, lower, upper) -> str:
+    """What reading an equality index costs: eight bytes a word, and 2^20 for each stretch of regions."""
+    key, part = _ORDER_KEYS[var], f"o_orderkey // {PART_SIZE}"
+    low = "0" if lower is None else f"coalesce(max(b) FILTER (k <= {_bound(var, lower)}), 0)"
+    high = "count(*)" if upper is None else f"coalesce(max(b) FILTER (k <= {_bound(var, upper)}), -1) + 1"
+    return f"""SELECT '{Constraint(var, lower, upper)}' AS "constraint", part_id, nbins, hi - lo AS bins_touched,
+        CASE WHEN NOT partly THEN 0 WHEN other THEN nbins - (hi - lo) ELSE hi - lo END AS regions_read, CASE WHEN NOT partly THEN 0 WHEN other THEN rest ELSE direct END AS bytes,
+        CASE WHEN NOT partly THEN 0 WHEN other THEN gaps ELSE 1 END AS seeks, partly AND other AS complemented
+        FROM (SELECT *, lo < hi AND NOT (lo = 0 AND hi = nbins) AS partly, rest + 1048576 * gaps < direct + 1048576 AS other
+            FROM (SELECT part_id, any_value(n) AS nbins, any_value(lo) AS lo, any_value(hi) AS hi, (any_value(lo) > 0)::INTEGER + (any_value(hi) < any_value(n))::INTEGER AS gaps,
+                    coalesce(sum(bytes) FILTER (b >= lo AND b < hi), 0) AS direct, coalesce(sum(bytes) FILTER (NOT (b >= lo AND b < hi)), 0) AS rest
+                FROM (SELECT {part} AS part_id, {key} AS k, dense_rank() OVER (PARTITION BY {part} ORDER BY {key}) - 1 AS b, count(DISTINCT (o_orderkey % {PART_SIZE}) // 64) * 8 AS bytes FROM orders WHERE {var} IS NOT NULL GROUP BY 1, 2)
+                JOIN (SELECT part_id, n, lo, greatest(lo, hi) AS hi FROM (SELECT part_id, count(*) AS n, {low} AS lo, {high} AS hi
+                    FROM (SELECT {part} AS part_id, {key} AS k, dense_rank() OVER (PARTITION BY {part} ORDER BY {key}) - 1 AS b FROM orders WHERE {var} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)) USING (part_id)
+                GROUP BY 1))"""
+
+
+@query(f"{_statistics_sql(*_A)} UNION ALL {_statistics_sql(*_C)}")
 def idx_statistics(spark, sf_dir):
-    return IndexEngine(_price_index(spark, sf_dir), _PRICE_BINNINGS).statistics(_a & _c)
+    return IndexEngine(_price_index(spark, sf_dir)).statistics(_a & _c).drop("formula")
+
+
+@query(f"""SELECT "constraint", count(*) AS parts, sum(bins_touched)::BIGINT AS bins_touched, sum(regions_read)::BIGINT AS regions_read, sum(bytes)::BIGINT AS bytes, sum(seeks)::BIGINT AS seeks,
+    count(*) FILTER (complemented) AS complemented FROM ({_statistics_sql(*_A)} UNION ALL {_statistics_sql(*_C)}) GROUP BY 1""")
+def idx_statistics_total(spark, sf_dir):
+    return IndexEngine.total_statistics(IndexEngine(_price_index(spark, sf_dir)).statistics(_a & _c))
+
+
+@query(f"SELECT part_id, rid FROM ({_PARTED.format('NOT (' + _by_part_sql(*_A) + ')')}) WHERE hit")
+def idx_append(spark, sf_dir):
+    """Two batches, of even and of odd partitions, read as one index with its own binning."""
+    path, orders = scratch_path(spark, "index"), _table(spark, sf_dir, "orders")
+    for odd in (0, 1):
+        some = orders.where(F.floor(F.col("o_orderkey") / PART_SIZE) % 2 == odd)
+        build_index(some, "o_totalprice", "o_orderkey", Explicit(PRICES), PART_SIZE).encode("binary").append(path, f"half-{odd}")
+    return IndexEngine({"o_totalprice": Index.load(spark, path)}).evaluate(~_a)
+
+
+_WITH_NULLS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 3 THEN o_totalprice END AS o_totalprice FROM orders)"
+
+
+@query(f"SELECT o_orderkey AS rid FROM {_WITH_NULLS} WHERE NOT " + _SQL[_A].replace("FROM orders", f"FROM {_WITH_NULLS}"))
+def idx_nulls(spark, sf_dir):
+    """Records without a value are in no bin, and so in every complement."""
+    holes = _table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 3, F.col("o_totalprice")).alias("o_totalprice"))
+    index = build_index(holes, "o_totalprice", "o_orderkey", Explicit(PRICES)).encode("interval")
+    return IndexEngine({"o_totalprice": index}).evaluate(~_a).select("rid")
+
+
+@query("SELECT bin_key, dense_rank() OVER (ORDER BY bin_key) - 1 AS bin_no FROM (SELECT DISTINCT (CASE WHEN p_size % 2 = 0 THEN 65535 - p_size ELSE p_size END) >> 2 AS bin_key FROM part)")
+def bin_keys_unsigned(spark, sf_dir):
+    """High words are the greatest keys, not negative ones."""
+    word = F.when(F.col("p_size") % 2 == 0, 65535 - F.col("p_size")).otherwise(F.col("p_size")).cast("int")
+    index = build_index(_table(spark, sf_dir, "part").select("p_partkey", word.alias("word")), "word", "p_partkey", Sigbits(14, "uint16"))
+    return index.bins.select(F.col("bin_key").cast("bigint").alias("bin_key"), F.col("bin_no").cast("bigint").alias("bin_no"))
+
+
+@query(f"SELECT o_orderkey AS rid FROM orders WHERE {_SQL[_A]} AND {_SQL[_B]}")
+def scan_rid_file(spark, sf_dir):
+    """Record ids written to a file and read again."""
+    path = scratch_path(spark, "rids")
+    write_rids(_orders(spark, sf_dir).evaluate(_a & _b), path)
+    return spark.read.parquet(path)
+
+
+_UNIFORM = ("empty", "filled", "mixed")
+
+
+@query("""SELECT op, a, b, CASE op
+    WHEN 'AND' THEN CASE WHEN 'empty' IN (a, b) THEN 'empty' WHEN a = 'filled' AND b = 'filled' THEN 'filled' WHEN 'filled' IN (a, b) THEN 'SAME' ELSE 'AND' END
+    WHEN 'OR' THEN CASE WHEN 'filled' IN (a, b) THEN 'filled' WHEN a = 'empty' AND b = 'empty' THEN 'empty' WHEN 'empty' IN (a, b) THEN 'SAME' ELSE 'OR' END
+    WHEN 'ANDNOT' THEN CASE WHEN a = 'empty' OR b = 'filled' THEN 'empty' WHEN b = 'empty' THEN CASE WHEN a = 'filled' THEN 'filled' ELSE 'SAME' END WHEN a = 'filled' THEN 'NOT' ELSE 'ANDNOT' END
+    ELSE CASE WHEN 'mixed' NOT IN (a, b) THEN CASE WHEN a = b THEN 'empty' ELSE 'filled' END WHEN a = 'mixed' AND b = 'mixed' THEN 'XOR' WHEN 'filled' IN (a, b) THEN 'NOT' ELSE 'SAME' END END AS result
+    FROM (VALUES ('AND'), ('OR'), ('ANDNOT'), ('XOR')) o(op), (VALUES ('empty'), ('filled'), ('mixed')) x(a), (VALUES ('empty'), ('filled'), ('mixed')) y(b)""")
+def q_simplify(spark, sf_dir):
+    """The uniformity simplifier over every pair of kinds."""
+    rows = [(op, a, b, simplify(op, [a, b])[0]) for op in ("AND", "OR", "ANDNOT", "XOR") for a in _UNIFORM for b in _UNIFORM]
+    return spark.createDataFrame(rows, "op string, a string, b string, result string")
 
 
 # Scans --------------------------------------------------------------------------------------------
@@ -459,15 +589,22 @@ def scan_multi_range(spark, sf_dir):
     return _table(spark, sf_dir, "events").where(linear_ranges(F.col("event_id"), [(10, 10), (500, 200)])).select("event_id", "value")
 
 
-@query("SELECT event_id, value FROM events WHERE event_id < 1000 AND event_id // 100 BETWEEN 2 AND 4 AND (event_id // 10) % 10 BETWEEN 1 AND 3 AND event_id % 10 BETWEEN 5 AND 8")
+def _event_grid(events: DataFrame) -> list[int]:
+    """A grid of rows of 10 x 10 events that holds the whole table."""
+    return [(events.agg(F.max("event_id")).first()[0] or 0) // 100 + 1, 10, 10]
+
+
+@query("SELECT event_id, value FROM events WHERE event_id // 100 BETWEEN 2 AND 4 AND (event_id // 10) % 10 BETWEEN 1 AND 3 AND event_id % 10 BETWEEN 5 AND 8")
 def scan_subvolume(spark, sf_dir):
-    return _table(spark, sf_dir, "events").where(subvolume(F.col("event_id"), [10, 10, 10], [2, 1, 5], [3, 3, 4])).select("event_id", "value")
+    events = _table(spark, sf_dir, "events")
+    return events.where(subvolume(F.col("event_id"), _event_grid(events), [2, 1, 5], [3, 3, 4])).select("event_id", "value")
 
 
-@query("SELECT ((event_id // 100) // 4) + (((event_id // 10) % 10) // 5) * 3 + ((event_id % 10) // 3) * 6 AS chunk, count(*) AS n FROM events WHERE event_id < 1000 GROUP BY 1")
+@query("""WITH g AS (SELECT (max(event_id) // 100 + 1 + 3) // 4 AS chunks FROM events)
+    SELECT ((event_id // 100) // 4) + (((event_id // 10) % 10) // 5) * chunks + ((event_id % 10) // 3) * 2 * chunks AS chunk, count(*) AS n FROM events, g GROUP BY 1""")
 def scan_natural_partitions(spark, sf_dir):
-    events = _table(spark, sf_dir, "events").where("event_id < 1000")
-    return events.groupBy(chunk_of(F.col("event_id"), [10, 10, 10], [4, 5, 3]).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    events = _table(spark, sf_dir, "events")
+    return events.groupBy(chunk_of(F.col("event_id"), _event_grid(events), [4, 5, 3]).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Tools --------------------------------------------------------------------------------------------
