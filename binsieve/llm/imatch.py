@@ -8,6 +8,8 @@ aren't in. Subsets of many sizes serve short and long documents alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,36 +38,58 @@ def subsets() -> list[tuple[int, int]]:
 
 
 def lexicon(df: DataFrame, text_column: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """One row: ``lexicon``, the band's term hashes in order, and ``parts``, its subsets.
+    """(term, mask): the band's term hashes, each with a bit for every subset it is in.
 
     Document frequencies are counted over all documents. Were each document to have d distinct terms
-    on average, at most d / band[0] terms could reach the band, whatever the number of documents: so
-    the row stays small, and it is used as a scalar subquery.
+    on average, at most d / band[0] terms could reach the band, whatever the number of documents.
     """
     docs = df.select(F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").count()
     total = docs.count()
-    held = counts.where((F.col("count") >= band[0] * total) & (F.col("count") <= band[1] * total) & (F.col("count") >= 2)).select("term")
-    one = held.agg(F.sort_array(F.collect_list("term")).alias("lexicon"))
-    part = lambda k, m: F.filter("lexicon", lambda t: F.pmod(F.xxhash64(t, F.lit(k)), F.lit(m)) == 0)
-    return written(one.select(F.struct("lexicon", *(part(k, m).alias(f"part{k}") for k, m in subsets())).alias("all")), "lexicon")
+    held = counts.where((F.col("count") >= band[0] * total) & (F.col("count") <= band[1] * total) & (F.col("count") >= 2))
+    mask = F.lit(0).cast("bigint")
+    for k, m in subsets():
+        mask = mask.bitwiseOR(F.when(F.pmod(F.xxhash64("term", F.lit(k)), F.lit(m)) == 0, F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint"))
+    return written(held.select("term", mask.alias("mask")), "lexicon")
+
+
+def lookup(words: DataFrame) -> Callable[[Column], Column]:
+    """The lexicon as a constant table: a function from a term to the (term, mask) entries of its bucket.
+
+    The lexicon's terms come to the driver; their number is bounded as ``lexicon`` says.
+    """
+    held = words.collect()
+    buckets: list[list[str]] = [[] for _ in range(1 << len(held).bit_length())]
+    for term, mask in held:
+        buckets[term % len(buckets)].append(f'{{"term":{term},"mask":{mask}}}')
+    table = F.from_json(F.lit("[" + ",".join(f"[{','.join(x)}]" for x in buckets) + "]"), "array<array<struct<term:bigint,mask:bigint>>>")
+    low = F.lit(len(buckets) - 1).cast("bigint")
+    return lambda term: F.get(table, term.bitwiseAND(low).cast("int"))
 
 
-def with_signatures(df: DataFrame, text_column: str, to: str, words: Column) -> DataFrame:
-    """Add an array of one hash for each subset; ``words`` is the lexicon row's struct.
+def with_signatures(df: DataFrame, text_column: str, to: str, bucket: Callable[[Column], Column]) -> DataFrame:
+    """Add an array of one hash for each subset; ``bucket`` looks up the lexicon.
 
+    Each term of the document is looked up in its bucket, so a document costs what its own terms cost,
+    however large the lexicon is; subsets of a size are then filtered from the terms that are in any of them.
     A text without a term of the lexicon is hashed with all its terms, so that texts don't become
     alike by having none. Terms are columns of their own, so that each is worked out once.
     """
-    own, band, whole, each = (f"{to} {x}" for x in ("terms", "band", "whole", "each"))
-    found = df.withColumn(own, terms(F.col(text_column))).withColumn(band, F.array_intersect(words["lexicon"], F.col(own)))
-    hashed = F.array(*[F.xxhash64(F.array_intersect(words[f"part{k}"], F.col(band))) for k, _ in subsets()])
-    # The lambda keeps this projection out of whole-stage code, whose one method for all subsets would be too
+    own, found, band, whole, each = (f"{to} {x}" for x in ("terms", "found", "band", "whole", "each"))
+    looked = F.flatten(F.transform(own, lambda t: F.filter(bucket(t), lambda x: x["term"] == t)))
+    held = df.withColumn(own, terms(F.col(text_column))).withColumn(found, looked).withColumn(band, F.sort_array(found))
+    by_size: dict[int, list[int]] = {}
+    for k, m in subsets():
+        by_size.setdefault(m, []).append(k)
+    some = {m: f"{to} of {m}" for m in by_size}
+    among = lambda ks: lambda x: x["mask"].bitwiseAND(F.lit(sum(1 << k for k in ks)).cast("bigint")) != 0
+    held = held.withColumns({some[m]: F.filter(band, among(ks)) for m, ks in by_size.items()})
+    # Filters keep this projection out of whole-stage code, whose one method for all subsets would be too
     # long for the JVM to compile; expression code is split into a method for each.
-    found = found.withColumns({each: hashed, whole: F.filter(own, lambda t: F.size(band) == 0)})
-    other = F.transform(F.array(*[F.lit(k) for k, _ in subsets()]), lambda k: F.xxhash64(F.col(f"{whole} sorted"), k))
-    found = found.withColumn(f"{whole} sorted", F.sort_array(whole))
-    return found.withColumn(to, F.when(F.size(band) > 0, F.col(each)).otherwise(other)).drop(own, band, whole, each, f"{whole} sorted")
+    hashed = F.array(*[F.xxhash64(F.filter(some[m], among([k]))["term"]) for k, m in subsets()])
+    held = held.withColumns({each: hashed, whole: F.sort_array(F.filter(own, lambda t: F.size(band) == 0))})
+    other = F.transform(F.array(*[F.lit(k) for k, _ in subsets()]), lambda k: F.xxhash64(F.col(whole), k))
+    return held.withColumn(to, F.when(F.size(band) > 0, F.col(each)).otherwise(other)).drop(own, found, band, whole, each, *some.values())
 
 
 def shown(found: Column) -> Column:
@@ -130,7 +154,7 @@ def imatch_edits(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    words = lexicon(docs, "text", band).scalar()
+    words = lookup(lexicon(docs, "text", band))
     signed = with_signatures(docs, "text", "own", words)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     paired = with_next(signed, "id", ["text", "own"], buckets)
