@@ -3,13 +3,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from binsieve.functions.binning import Explicit, Sigbits
+from binsieve.functions.binning import Cast, Explicit, Precision, Sigbits, from_told
 from binsieve.operators import regions, tools
 from binsieve.operators.column_engine import ColumnEngine
-from binsieve.operators.index import Index, build_index
+from binsieve.operators.forms import IdLists, combine_runs
+from binsieve.operators.index import Index, build_index, committed
 from binsieve.operators.index_engine import IndexEngine, choose, read_cost
 from binsieve.plans.terms import AndNot, Constraint, Or, Query, Xor
 
+# Data sets and answers that other implementations of these operators are tested with.
 SMALL = [0, 0, 0, 2, 1, 1, 1, 0, 2, 2, 2, 1, 0, 0, 1, 0]
 MEDIUM = SMALL + [3, 3, 3, 3, 2, 3, 3, 3, 3, 3, 4, 4, 3, 3, 4, 4] + [5] * 32
 BIG = list(range(10)) + [random.Random(1).randrange(10) for _ in range(2000)]
@@ -156,3 +158,113 @@ def test_runs_over_chunks(spark, monkeypatch):
     part = MEDIUM[2:52]
     runs = [v for i, v in enumerate(part) if not i or part[i - 1] != v]
     assert rows == {k: (part.count(k), runs.count(k)) for k in set(part)}
+
+
+@pytest.mark.parametrize("parts", [1, 15, 1000])
+def test_any_number_of_partitions(spark, parts):
+    """Answers by partition, from a plan that is no longer for more partitions."""
+    rng = random.Random(parts)
+    values = [rng.randrange(8) if rng.randrange(9) else None for _ in range(3 * parts + 2)]
+    step = -(-len(values) // parts)
+    made = (Query.range("var", 2, 5) | Query.range("var", 7)) - Query.range("var", 4, 4)
+    want = {}
+    for at in range(0, len(values), step):
+        own = values[at : at + step]
+        keys = {v for v in own if v is not None}
+        hit = lambda v, *r: v is not None and v in touched(keys, *r)  # noqa: B023, E731
+        want[at // step] = sum((hit(v, 2, 5) or hit(v, 7, 99)) and not hit(v, 4, 4) for v in own)
+    df, encoding = frame(spark, values), ["equality", "range", "interval", "hierarchical", "binary"][parts % 5]
+    counted = [IndexEngine({"var": build_index(df, "var", "rid", Sigbits(32, "int32"), size).encode(encoding)}).counts(made) for size in (step, len(values))]
+    assert {r.part_id: r.n for r in counted[0].collect()} == want
+    nodes = [len(x._jdf.queryExecution().logical().toString().splitlines()) for x in counted]
+    assert nodes[0] == nodes[1]
+
+
+def test_complement_is_chosen_by_partition(spark):
+    """The same bins are cheap to read in one partition and dear in the other."""
+    values = [0] * 10 + list(range(1, 9)) * 200 + [8] * 30 + [0] * 1600 + [1] * 40
+    index = build_index(frame(spark, values), "var", "rid", Sigbits(32, "int32"), 1640)
+    rows = {r.part_id: r for r in IndexEngine({"var": index}).statistics(Query.range("var", 1)).collect()}
+    assert rows[0].complemented and rows[0].regions_read == 1 and rows[0].seeks == 1
+    assert rows[0].bytes == 8 and rows[0].formula == "0 NOT/1" and rows[1].formula == "1" and not rows[1].complemented
+    total = IndexEngine.total_statistics(IndexEngine({"var": index}).statistics(Query.range("var", 1))).first()
+    assert total.parts == len(rows) and total.bytes == sum(r.bytes for r in rows.values())
+
+
+def test_cursor(spark):
+    engine = IndexEngine({"var": build_index(frame(spark, SMALL), "var", "rid", Sigbits(32, "int32"), 4)})
+    made = Query.range("var", 1, 2)
+    whole = rids(engine.evaluate(made))
+    cursor = engine.cursor(made, step=3)
+    assert cursor.has_next() and rids(cursor.next()) == [i for i in whole if i < 12]
+    assert rids(cursor.next()) == [i for i in whole if i >= 12] and not cursor.has_next()
+    cursor = engine.cursor(made)
+    cursor.step(3)
+    assert [rids(x) for x in cursor] == [[i for i in whole if i >= 12]]
+    with pytest.raises(StopIteration):
+        cursor.next()
+
+
+def test_a_failed_append_counts_for_nothing(spark, tmp_path, monkeypatch):
+    path, own = str(tmp_path / "index"), {"var": Sigbits(32, "int32")}
+    index = build_index(frame(spark, SMALL), "var", "rid", own["var"], 4)
+    assert index.partition(0).append(path, "a")
+    whole = Index.save
+    broken = index.partition(1)
+    object.__setattr__(broken, "parts", broken.parts.withColumn("nbins", F.raise_error(F.lit("lost"))))
+    with pytest.raises(Exception, match="lost"):
+        broken.append(path, "b")
+    assert len(committed(spark, path)) == 1 and Index.load(spark, path).parts.count() == 1
+    assert index.partition(1).append(path, "b") and not index.partition(1).append(path, "b")
+    loaded = Index.load(spark, path)
+    assert loaded.bins.agg(F.sum("n")).first()[0] == 8 and loaded.binning == own["var"] and loaded.sizes.count() == loaded.region_bytes().count()
+    made = Query.range("var", 1, 2)
+    assert rids(IndexEngine({"var": loaded}).evaluate(made)) == rids(IndexEngine({"var": index}, own).evaluate(made, 0, 2))
+    with pytest.raises(ValueError):
+        IndexEngine({"var": loaded}, {"var": Sigbits(31, "int32")})
+    with pytest.raises(FileExistsError):
+        index.save(path)
+    with pytest.raises(ValueError):
+        build_index(frame(spark, SMALL), "var", "rid", Explicit((0, 1), "int32"), 4).append(path) and Index.load(spark, path)
+    assert whole is Index.save and index.save(path, "overwrite") and Index.load(spark, path).parts.count() == 4
+    assert index.info(details=True).where("part_id = 0").first().bin_keys == [0, 2]
+
+
+def test_binnings_tell_themselves():
+    for own in (Sigbits(12, "uint16"), Precision(3), Explicit((1, 5), "int32"), Explicit(("a", "b")), Cast("int32", Sigbits(20, "int32"))):
+        import json
+
+        assert from_told(json.loads(json.dumps(own.told()))) == own
+
+
+def test_algebra_of_stored_forms(spark):
+    rng = random.Random(8)
+    size = 5 * (1 << 22)
+    near = [k * (1 << 22) + d for k in range(5) for d in range(-9, 9) if 0 <= k * (1 << 22) + d]
+    sets = [{*rng.sample(near, 50), *range(70_000 * k, 70_000 * k + 900)} for k in (1, 1, 2)]
+    table = lambda ids: spark.createDataFrame([(i,) for i in sorted(ids)], "rid bigint")
+    domain = spark.createDataFrame([(200_000,)], "size bigint")
+    small = [{i for i in s if i < 200_000} for s in sets]
+    every = set(range(200_000))
+    for flip in ((False, False), (True, False), (False, True), (True, True)):
+        a, b = (IdLists.of(table(every - s if f else s), f) for s, f in zip(small, flip))
+        for got, want in ((a & b, small[0] & small[1]), (a | b, small[0] | small[1]), (a - b, small[0] - small[1]), (a ^ b, small[0] ^ small[1])):
+            assert rids(got.rids(domain)) == sorted(want)
+    runs = [regions.runs(regions.words(table(s).withColumn("region_id", F.lit(0)), "rid").select("word_idx", "word")) for s in sets]
+    for name, want in (("OR", sets[0] | sets[1] | sets[2]), ("AND", sets[0] & sets[1] & sets[2]), ("ANDNOT", sets[0] - sets[1] - sets[2]), ("XOR", sets[0] ^ sets[1] ^ sets[2])):
+        got = sorted((r.start, r.len) for r in combine_runs(name, *runs).collect())
+        plain = []
+        for i in sorted(want):
+            if plain and sum(plain[-1]) == i:
+                plain[-1] = (plain[-1][0], plain[-1][1] + 1)
+            else:
+                plain.append((i, 1))
+        assert got == plain and max(want) < size
+
+
+def test_inverted_lists_read_back(spark):
+    whole = regions.spine(spark.createDataFrame([(200_000,)], "size bigint"), "size")
+    own = region(spark, [*range(65_536, 131_072), 5, 7, 199_999])
+    assert regions.equal(regions.from_id_list(regions.id_list(own, True, whole), whole), own).first().equal
+    long = spark.createDataFrame([(0, False, [1] * 60_000)], "chunk bigint, inverted boolean, deltas array<bigint>")
+    assert regions.count(regions.from_id_list(long)).first().n == 60_000

@@ -64,3 +64,17 @@ def test_streaming_append(spark, tmp_path):
         df.where("rid >= 20").write.mode("append").parquet(source)
     index = Index.load(spark, out)
     assert sorted((r.part_id, r.domain_size) for r in index.parts.collect()) == [(0, 10), (1, 10), (2, 10)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace as Made
+
+    from binsieve.sources.scratch import scratch_root
+
+    none = Made(isDefined=lambda: False)
+    of = lambda master, folder=None: Made(sparkContext=Made(master=master, applicationId="app-1", getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}, _jsc=Made(sc=lambda: Made(getCheckpointDir=lambda: none))), conf=Made(get=lambda k, d=None: d))
+    assert scratch_root(of("spark://host:1", "s3://bucket/shared/")) == "s3://bucket/shared"
+    assert scratch_root(of("local[2]")) == scratch_root(of("local[2]"))
+    for master in ("spark://host:1", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            scratch_root(of(master))
