@@ -164,12 +164,13 @@ def build_index(df: DataFrame, var: str, rid: str, binning: Binning, part_size:
     step = part_size or (1 << 62)
     part = F.floor((F.col("rid") - start) / step).cast("bigint")
     own = own.withColumn("part_id", part).withColumn("local", F.col("rid") - start - F.col("part_id") * step).withColumn("bin_key", binning.key(F.col("value")))
-    parts = own.groupBy("part_id").agg((F.max("local") + 1).alias("domain_size"))
+    # One aggregation by (partition, key) tells the bins, and added up by partition the domains: count() passes over the null key.
+    keys = own.groupBy("part_id", "bin_key").agg(F.count(F.lit(1)).alias("n"), F.max("local").alias("last"))
+    sizes = keys.groupBy("part_id").agg((F.max("last") + 1).alias("domain_size"), F.count("bin_key").cast("int").alias("nbins"))
+    parts = sizes.select("part_id", (F.lit(start) + F.col("part_id") * step).alias("domain_offset"), "domain_size", "nbins")
     filled = own.where("bin_key is not null")
-    counts = filled.groupBy("part_id", "bin_key").agg(F.count(F.lit(1)).alias("n")).withColumn("order", binning.order(F.col("bin_key")))
+    counts = keys.where("bin_key is not null").select("part_id", "bin_key", "n", binning.order(F.col("bin_key")).alias("order"))
     bins = counts.withColumn("bin_no", (F.row_number().over(Window.partitionBy("part_id").orderBy("order")) - 1).cast("int"))
-    nbins = bins.groupBy("part_id").agg(F.max("bin_no").alias("top"))
-    parts = parts.join(nbins, "part_id", "left").select("part_id", (F.lit(start) + F.col("part_id") * step).alias("domain_offset"), "domain_size", (F.coalesce("top", F.lit(-1)) + 1).cast("int").alias("nbins"))
     keyed = regions.words(filled, "local", "bin_key", PART).withColumnRenamed("region_id", "bin_key")
     words = keyed.join(bins.select("part_id", "bin_key", "bin_no"), ["part_id", "bin_key"]).select("part_id", F.col("bin_no").alias("region_id"), "word_idx", "word")
     present = keyed.groupBy("part_id", "word_idx").agg(F.bit_or("word").alias("word"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from binsieve.functions.binning import Binning
 from binsieve.operators import regions
 from binsieve.operators.index import PART, Index
 from binsieve.plans.encoding import ENCODINGS, Formula
-from binsieve.plans.terms import Constraint, Query
+from binsieve.plans.terms import Constraint, Operator, Query
 
 #: Cost of a seek, in bytes read.
 SEEK = 1 << 20
@@ -68,17 +70,31 @@ def _plans(encoding: str):
     return run
 
 
-def _chain(side: int) -> Column:
+def _chain(found: Column, side: int, ands: Column) -> Column:
     """The words of one chain, from left to right, where a region without a word here is zero: what an AND that is missing leaves."""
     zero = F.lit(0).cast("bigint")
-    steps = F.array_sort(F.filter("found", lambda x: x["side"] == side))
+    steps = F.array_sort(F.filter(found, lambda x: x["side"] == side))
 
     def step(held, x):
         # ``ands`` counts the ANDs up to a place: one that has no word lies between if the count jumps.
         before = F.when(held["ands"] == x["ands"] - x["is_and"].cast("int"), held["word"]).otherwise(zero)
         return F.struct(x["ands"].alias("ands"), F.when(x["is_and"], before.bitwiseAND(x["word"])).otherwise(before.bitwiseOR(x["word"])).alias("word"))
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("ands"), zero.alias("word")), step, lambda held: F.when(held["ands"] == F.col(f"ands{side}"), held["word"]).otherwise(zero))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("ands"), zero.alias("word")), step, lambda held: F.when(held["ands"] == ands, held["word"]).otherwise(zero))
+
+
+#: The region id under which the words of all records in a bin meet a plan's picks, and the side they are on.
+PRESENT, WHOLE = -1, 2
+
+
+def _combine(name: str, operands: list[Column]) -> Column:
+    """One operator on words that stand side by side; NOT is within the spine's mask."""
+    first, *rest = operands
+    if name == "NOT":
+        return F.bitwise_not(first).bitwiseAND(F.coalesce("mask", F.lit(0).cast("bigint")))
+    if name == "ANDNOT":
+        return first.bitwiseAND(F.bitwise_not(reduce(Column.bitwiseOR, rest))) if rest else first
+    return reduce({"AND": Column.bitwiseAND, "OR": Column.bitwiseOR, "XOR": Column.bitwiseXOR}[name], rest, first)
 
 
 class IndexEngine:
@@ -138,46 +154,64 @@ class IndexEngine:
         own = ranges.select("part_id", F.col("nbins").cast("int").alias("nbins"), F.col("lower").cast("int").alias("lower"), F.col("upper").cast("int").alias("upper"), "other")
         return own.mapInArrow(_plans(index.encoding), _PLAN)
 
-    def _answer(self, c: Constraint, begin: int, end: int | None) -> DataFrame:
-        """(part_id, word_idx, word) of one constraint, by one aggregation of the words its plan picks.
+    def _picked(self, c: Constraint, number: int, begin: int, end: int | None) -> DataFrame:
+        """The words that one constraint's plan picks, each with its place in the formula.
 
-        A partition that is answered by what its regions leave, or in full, also reads the words of
+        A partition that is answered by what its regions leave, or in full, also picks the words of
         all records that are in a bin, so that nulls stay out.
         """
         index, plan = self.indexes[c.var], self.plan(c, begin, end)
-        picks = plan.select("part_id", F.explode("picks").alias("pick")).select("part_id", "pick.*")
+        most = lambda k: F.coalesce(F.array_max(F.transform(F.filter("picks", lambda x: x["side"] == k), lambda x: x["ands"])), F.lit(0)).alias(f"ands{k}")
+        told = {"side": F.lit(WHOLE), "place": F.lit(0), "ands": F.lit(0), "is_and": F.lit(False), "region_id": F.lit(PRESENT)}
+        present = F.when(F.expr("negated or kind = 'full'"), F.array(F.struct(*(v.alias(k) for k, v in told.items())))).otherwise(F.array().cast(_PICK))
+        picks = plan.select("part_id", most(0), most(1), F.explode(F.concat("picks", present)).alias("pick")).select("part_id", "ands0", "ands1", "pick.*")
         stored = self._some(index.words, begin, end)
         if index.stored:  # regions outside the least and the greatest picked are left out by the scan
-            ends = picks.agg(F.min("region_id").alias("low"), F.max("region_id").alias("high"))
+            ends = picks.where(F.col("region_id") != PRESENT).agg(F.min("region_id").alias("low"), F.max("region_id").alias("high"))
             stored = stored.where((F.col("region_id") >= ends.select("low").scalar()) & (F.col("region_id") <= ends.select("high").scalar()))
-        found = stored.join(picks, ["part_id", "region_id"]).select("part_id", "word_idx", "word", "side", "place", "ands", "is_and")
-        whole = plan.where("negated or kind = 'full'").select("part_id")
-        rest = self._some(index.present, begin, end).join(whole, "part_id").select("part_id", "word_idx", "word", F.lit(2).alias("side"), F.lit(0).alias("place"), F.lit(0).alias("ands"), F.lit(False).alias("is_and"))
-        rows = found.unionByName(rest).groupBy("part_id", "word_idx")
-        zero = F.lit(0).cast("bigint")
-        side = lambda k: F.bit_or(F.when(F.col("side") == k, F.col("word")))
-        if index.encoding in ("binary", "interval"):
+        whole = self._some(index.present, begin, end).select("part_id", F.lit(PRESENT).alias("region_id"), "word_idx", "word")
+        found = stored.select("part_id", "region_id", "word_idx", "word").unionByName(whole).join(picks, ["part_id", "region_id"])
+        return found.select("part_id", "word_idx", F.lit(number).alias("number"), "word", "side", "place", "ands", "is_and", "ands0", "ands1")
+
+    def _answer(self, c: Constraint, number: int) -> tuple[list[Column], Column]:
+        """One constraint's columns in the aggregation by word, and its answer from them."""
+        own, zero = F.col("number") == number, F.lit(0).cast("bigint")
+        side = lambda k: F.bit_or(F.when(own & (F.col("side") == k), F.col("word"))).alias(f"side{k}_{number}")
+        whole = F.col(f"side{WHOLE}_{number}")
+        if self.indexes[c.var].encoding in ("binary", "interval"):
             # ANDs need their order; a position has as many rows as a formula has regions: at most two, or bits of the bins' number.
-            last = plan.select("part_id", *(F.coalesce(F.array_max(F.transform(F.filter("picks", among), lambda x: x["ands"])), F.lit(0)).alias(f"ands{k}") for k, among in ((0, lambda x: x["side"] == 0), (1, lambda x: x["side"] == 1))))
-            listed = rows.agg(F.collect_list(F.when(F.col("side") < 2, F.struct("side", "place", "ands", "is_and", "word"))).alias("found"), side(2).alias("whole"))
-            words = listed.join(last, "part_id").select("part_id", "word_idx", _chain(0).alias("kept"), _chain(1).alias("dropped"), "whole")
+            listed = F.collect_list(F.when(own & (F.col("side") != WHOLE), F.struct("side", "place", "ands", "is_and", "word"))).alias(f"found_{number}")
+            aggregates = [listed, *(F.max(F.when(own, F.col(f"ands{k}"))).alias(f"ands{k}_{number}") for k in (0, 1)), side(WHOLE)]
+            kept, dropped = (_chain(F.col(f"found_{number}"), k, F.coalesce(F.col(f"ands{k}_{number}"), F.lit(0))) for k in (0, 1))
         else:
-            words = rows.agg(F.coalesce(side(0), zero).alias("kept"), F.coalesce(side(1), zero).alias("dropped"), side(2).alias("whole"))
-        own = F.col("kept").bitwiseAND(F.bitwise_not("dropped"))
-        return words.select("part_id", "word_idx", F.when(F.col("whole").isNotNull(), F.col("whole").bitwiseAND(F.bitwise_not(own))).otherwise(own).alias("word")).where("word <> 0")
+            aggregates = [side(0), side(1), side(WHOLE)]
+            kept, dropped = (F.coalesce(F.col(f"side{k}_{number}"), zero) for k in (0, 1))
+        picked = kept.bitwiseAND(F.bitwise_not(dropped))
+        return aggregates, F.when(whole.isNotNull(), whole.bitwiseAND(F.bitwise_not(picked))).otherwise(picked)
 
     def words(self, query: Query, begin: int = 0, end: int | None = None) -> DataFrame:
-        """(part_id, word_idx, word) of the answer."""
-        some = next(iter(self.indexes.values()))
-        whole = regions.spine(self._some(some.parts, begin, end), "domain_size", PART)
-        answers = {c: self._answer(c, begin, end) for c in dict.fromkeys(t for t in query.terms if isinstance(t, Constraint))}
+        """(part_id, word_idx, word) of the answer.
 
-        def combine(name, operands):
-            if name == "NOT":
-                return regions.complement(operands[0], whole, PART)
-            return {"AND": regions.intersect, "OR": regions.union, "ANDNOT": regions.difference, "XOR": regions.symdiff}[name](*operands, by=PART)
-
-        return query.fold(lambda c: answers[c], combine)
+        The words that all constraints pick meet in one aggregation by (partition, word), whatever the
+        expression is; its operators then are functions of the answers that stand side by side in a row.
+        """
+        numbers = {c: i for i, c in enumerate(dict.fromkeys(t for t in query.terms if isinstance(t, Constraint)))}
+        aggregates, answers, rows = [], {}, None
+        for c, number in numbers.items():
+            own, answer = self._answer(c, number)
+            aggregates += own
+            answers[c] = F.col(f"answer_{number}"), answer.alias(f"answer_{number}")
+            picked = self._picked(c, number, begin, end)
+            rows = picked if rows is None else rows.unionByName(picked)
+        if rows is None:
+            raise ValueError("a query without a constraint")
+        masked = any(isinstance(t, Operator) and t.name == "NOT" for t in query.terms)
+        if masked:
+            spine = regions.spine(self._some(next(iter(self.indexes.values())).parts, begin, end), "domain_size", PART)
+            rows = rows.unionByName(spine.select("part_id", "word_idx", F.lit(len(numbers)).alias("number"), F.col("mask").alias("word")), allowMissingColumns=True)
+            aggregates.append(F.bit_or(F.when(F.col("number") == len(numbers), F.col("word"))).alias("mask"))
+        sides = rows.groupBy(*PART, "word_idx").agg(*aggregates).select(*PART, "word_idx", *(["mask"] if masked else []), *(a for _, a in answers.values()))
+        return sides.select(*PART, "word_idx", query.fold(lambda c: answers[c][0], _combine).alias("word")).where("word <> 0")
 
     def evaluate(self, query: Query, begin: int = 0, end: int | None = None) -> DataFrame:
         """(part_id, rid) with 0-based record ids over all partitions."""
