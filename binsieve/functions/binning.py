@@ -80,6 +80,19 @@ class Sigbits(Binning):
         negative = key < 0 if n == 64 else F.getbit(key, F.lit(n - 1)) == 1
         return F.when(negative, F.bitwise_not(magnitude)).otherwise(key)
 
+    def min_key(self) -> int:
+        """The first key in order: that of the least value, or of the negative ones farthest from zero."""
+        return self._signed({"unsigned": 0, "twos": 1 << (self.n - 1), "magnitude": (1 << self.n) - 1}[self.kind.order])
+
+    def max_key(self) -> int:
+        """The last key in order: all bits set, but for the sign of types that have one."""
+        return self._signed((1 << (self.n if self.kind.order == "unsigned" else self.n - 1)) - 1)
+
+    @staticmethod
+    def _signed(key: int) -> int:
+        """A key of 64 bits as the long that holds it."""
+        return key - (1 << 64) if key >> 63 else key
+
     def constant(self, value) -> Column:
         if isinstance(value, str):
             raise TypeError("a string bound on a numeric column")

@@ -37,6 +37,24 @@ TYPES = (
 _BY_NAME = {n: t for t in TYPES for n in (t.name, *t.aliases)}
 
 
+def universal(value, to: str):
+    """A constant as one of the four stored types (int64, uint64, double, string), or None where there is no conversion.
+
+    Text and numbers don't convert to each other; integers wrap, fractions are cut towards zero, and what
+    no integer of 64 bits can hold (NaN, infinities, greater floats) is None.
+    """
+    if to not in ("int64", "uint64", "double", "string"):
+        raise ValueError(f"no stored type {to!r}")
+    if value is None or isinstance(value, str) != (to == "string"):
+        return None
+    if to in ("string", "double"):
+        return value if to == "string" else float(value)
+    if isinstance(value, float) and not -(2.0**63) <= value < 2.0**64:
+        return None
+    whole = int(value) & (1 << 64) - 1
+    return whole - (1 << 64) if to == "int64" and whole >> 63 else whole
+
+
 def column_type(name: str) -> ColumnType:
     """The type of a name or alias, in any case."""
     try:

@@ -162,6 +162,65 @@ def from_blocks(table: DataFrame, dims: int, by: tuple[str, ...] = ()) -> DataFr
     return from_runs(table.select(*by, (F.col("block_no") * size).alias("start"), size.alias("len")), by=by)
 
 
+def tree_levels(size: int, dims: int) -> int:
+    """The least number of levels whose tree of 2^dims children a node holds ``size`` records."""
+    levels = 1
+    while 1 << dims * levels < size:
+        levels += 1
+    return levels
+
+
+def _node(level: int, node: Column, word: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), node.alias("node"), F.bit_count(word).cast("bigint").alias("n"))
+
+
+def _word_nodes(level: int, size: int) -> Column:
+    """The nodes of ``size`` records each, fewer than 64, that lie in a word."""
+    mask = F.lit((1 << size) - 1).cast("bigint")
+    cut = lambda i: F.call_function("shiftrightunsigned", F.col("word"), i * size).bitwiseAND(mask)
+    return F.transform(F.sequence(F.lit(0), F.lit(BITS // size - 1)), lambda i: _node(level, F.col("word_idx") * (BITS // size) + i, cut(i)))
+
+
+def _level_counts(region: DataFrame, dims: int, levels: int) -> DataFrame:
+    """(level, node, n) of the nodes below the root that have records: one aggregation, combined before its shuffle.
+
+    Nodes of fewer records than a word has are cut out of it; a greater node adds up the words it holds.
+    """
+    told = [_word_nodes(level, 1 << dims * level) if dims * level < 6 else F.array(_node(level, F.shiftright("word_idx", dims * level - 6), F.col("word"))) for level in range(levels)]
+    return region.select(F.explode(F.concat(*told)).alias("t")).select("t.*").where("n > 0").groupBy("level", "node").agg(F.sum("n").alias("n"))
+
+
+def codes(region: DataFrame, dims: int, levels: int) -> DataFrame:
+    """Tree form in codes: (level, node, code), a row for each child of the root and of every mixed node.
+
+    A node of level l stands for the (2^dims)^l records from ``node`` times that many; code 0 is empty, 1 full, 2
+    mixed. The root is on level ``levels`` and has no row; the domain ends with it. What is above a mixed node is
+    mixed, so the counts alone tell which nodes have rows: one join, however many levels there are.
+    """
+    if levels < 1 or dims * levels > 62:
+        raise ValueError("a tree has a level or more and at most 2^62 records")
+    counts = _level_counts(region, dims, levels)
+    whole = F.expr(f"shiftleft(1L, level * {dims})")
+    mixed = counts.where((F.col("level") > 0) & (F.col("n") < whole)).select("level", "node")
+    root = region.sparkSession.range(1).select(F.lit(levels).alias("level"), F.col("id").alias("node"))
+    below = F.transform(F.sequence(F.lit(0), F.lit((1 << dims) - 1)), lambda i: F.col("node") * (1 << dims) + i)
+    children = mixed.unionByName(root).select((F.col("level") - 1).alias("level"), F.explode(below).alias("node"))
+    code = F.when(F.col("n").isNull(), 0).when(F.col("n") == whole, 1).otherwise(2)
+    return children.join(counts, ["level", "node"], "left").select("level", "node", code.alias("code"))
+
+
+def from_codes(table: DataFrame, dims: int) -> DataFrame:
+    """Word table of a tree form in codes."""
+    return from_blocks(table.where("code = 1").select("level", F.col("node").alias("block_no")), dims)
+
+
+def traverse(table: DataFrame, dims: int, depth_first: bool = False) -> DataFrame:
+    """The codes in order: by level from the root down, or each node before what is under it."""
+    if not depth_first:
+        return table.orderBy(F.desc("level"), "node")
+    return table.orderBy(F.col("node") * F.pow(F.lit(2.0), F.col("level") * dims).cast("bigint"), F.desc("level"))
+
+
 def id_list(region: DataFrame, inverted: bool = False, whole: DataFrame | None = None) -> DataFrame:
     """List form, in chunks of 2^16 records: (chunk, inverted, deltas), where the first of a chunk is its own id.
 

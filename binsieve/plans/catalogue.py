@@ -378,6 +378,30 @@ def rep_from_blocks(spark, sf_dir):
     return regions.rids(regions.from_blocks(regions.blocks(_size_words(spark, sf_dir, 5, 48), 3, 2), 3))
 
 
+def _tree_codes(dims: int):
+    def run(spark, sf_dir):
+        top = _table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] or 0
+        return regions.codes(_size_words(spark, sf_dir, 5, 48), dims, regions.tree_levels(top + 1, dims))
+
+    run.__name__ = f"rep_tree_codes_{dims}d"
+    side = 1 << dims
+    query(f"""WITH p AS (SELECT p_partkey AS b, p_size BETWEEN 5 AND 48 AS hit FROM part),
+        t AS (SELECT min(k) AS top FROM range(1, 32) r(k) WHERE pow({side}::DOUBLE, k) >= (SELECT max(b) + 1 FROM p)),
+        c AS (SELECT k AS level, b // pow({side}, k)::BIGINT AS node, count(*) AS n FROM p, t, range(0, 32) r(k) WHERE hit AND k <= top GROUP BY 1, 2),
+        kids AS (SELECT level - 1 AS level, node * {side} + j AS node FROM c, t, range(0, {side}) x(j) WHERE level > 0 AND (level = top OR n < pow({side}, level)::BIGINT))
+        SELECT level::INTEGER AS level, node, CASE WHEN n IS NULL THEN 0 WHEN n = pow({side}, level)::BIGINT THEN 1 ELSE 2 END::INTEGER AS code FROM kids LEFT JOIN c USING (level, node)""")(run)
+
+
+for _dims in (2, 3, 4):
+    _tree_codes(_dims)
+
+
+@query(_IN + "p_size BETWEEN 5 AND 48")
+def rep_from_tree_codes(spark, sf_dir):
+    """The 4-D tree written in codes and read back."""
+    return regions.rids(regions.from_codes(QUERIES["rep_tree_codes_4d"](spark, sf_dir), 4))
+
+
 @query(f"""WITH l0 AS (SELECT p_partkey AS b FROM part WHERE p_size BETWEEN 5 AND 40), l1 AS (SELECT b // 4 AS b FROM l0 GROUP BY 1 HAVING count(*) = 4),
     l2 AS (SELECT b // 4 AS b FROM l1 GROUP BY 1 HAVING count(*) = 4), l3 AS (SELECT b // 4 AS b FROM l2 GROUP BY 1 HAVING count(*) = 4)
     SELECT 'list' AS form, count(*) * 4 AS bytes FROM part WHERE p_size BETWEEN 5 AND 40
@@ -645,3 +669,40 @@ def tool_morton(spark, sf_dir):
     y, x = F.pmod(F.floor(F.col("event_id") / 100), F.lit(100)), F.pmod(F.col("event_id"), F.lit(100))
     return _table(spark, sf_dir, "events").select("event_id", bits.morton([y, x], 7).alias("z"))
 
+
+#: A grid of five dimensions, none of them a power of two.
+GRID = (3, 5, 6, 7, 9)
+
+
+def _grid_sql() -> str:
+    """Coordinates by division and Z-order ids by spreading bits."""
+    names, stride, parts = [f"c{k}" for k in range(len(GRID))], 1, []
+    for name, n in zip(reversed(names), reversed(GRID)):
+        parts.append(f"(rid // {stride}) % {n} AS {name}")
+        stride *= n
+    z = " + ".join(_dilated_sql(c, len(GRID), 4, len(GRID) - 1 - k) for k, c in enumerate(names))
+    return f"SELECT ({z})::BIGINT AS z, rid, {', '.join(names)} FROM (SELECT rid, {', '.join(parts)} FROM range(0, {stride}) r(rid))"
+
+
+@query(_grid_sql())
+def tool_z_order(spark, sf_dir):
+    return bits.z_order(spark, list(GRID))
+
+
+def _limits_sql(name: str, n: int, order: str) -> str:
+    return f"SELECT '{name}' AS kind, {n} AS bits, arg_min(k, {order}) AS min_key, arg_max(k, {order}) AS max_key FROM range(0, {1 << n}) r(k)"
+
+
+@query(" UNION ALL ".join(_limits_sql(name, n, order) for n in (1, 7, 12) for name, order in (
+    ("uint16", "k"), ("int16", f"CASE WHEN k >= {1 << (n - 1)} THEN k - {1 << n} ELSE k END"), ("float32", f"CASE WHEN k >= {1 << (n - 1)} THEN {(1 << (n - 1)) - 1} - k ELSE k END"))))
+def bin_key_limits(spark, sf_dir):
+    """The first and the last key of each order of bits, against all keys sorted."""
+    rows = [(kind, n, Sigbits(n, kind).min_key(), Sigbits(n, kind).max_key()) for n in (1, 7, 12) for kind in ("uint16", "int16", "float32")]
+    return spark.createDataFrame(rows, "kind string, bits int, min_key bigint, max_key bigint")
+
+
+@query(f"""SELECT part_id, list(k ORDER BY k) AS bin_keys, any_value(domain_size) AS domain_size FROM (SELECT DISTINCT o_orderkey // {PART_SIZE} AS part_id, {_ORDER_KEYS['o_totalprice']} AS k,
+    max(o_orderkey) OVER (PARTITION BY o_orderkey // {PART_SIZE}) - (o_orderkey // {PART_SIZE}) * {PART_SIZE} + 1 AS domain_size FROM orders) GROUP BY 1""")
+def idx_info_keys(spark, sf_dir):
+    """What an index tells about its bins, partition by partition."""
+    return _price_index(spark, sf_dir)["o_totalprice"].info(details=True).select("part_id", "bin_keys", "domain_size")
