@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,12 +108,18 @@ class Index:
         if fs.exists(folder(f"{own}/{COMMIT}")):
             return False
         fs.delete(folder(own), True)
-        self.words.repartition("part_id", F.floor(F.col("word_idx") / (1 << 20))).sortWithinPartitions("part_id", "region_id", "word_idx").write.parquet(f"{own}/words")
-        spark.read.parquet(f"{own}/words").groupBy("part_id", "region_id").agg((F.count(F.lit(1)) * 8).alias("bytes")).write.parquet(f"{own}/sizes")
-        self.bins.write.parquet(f"{own}/bins")
-        self.present.write.parquet(f"{own}/present")
         meta = {"var": self.var, "encoding": self.encoding, "binning": None if self.binning is None else self.binning.told()}
-        self.parts.withColumn("meta", F.lit(json.dumps(meta))).write.parquet(f"{own}/parts")
+        tables = {"bins": self.bins, "present": self.present, "parts": self.parts.withColumn("meta", F.lit(json.dumps(meta)))}
+
+        def words_and_sizes() -> None:
+            self.words.repartition("part_id", F.floor(F.col("word_idx") / (1 << 20))).sortWithinPartitions("part_id", "region_id", "word_idx").write.parquet(f"{own}/words")
+            spark.read.parquet(f"{own}/words").groupBy("part_id", "region_id").agg((F.count(F.lit(1)) * 8).alias("bytes")).write.parquet(f"{own}/sizes")
+
+        # The tables don't need each other, so their jobs run together; one that fails leaves the batch without its commit.
+        writes = [words_and_sizes, *(partial(df.write.parquet, f"{own}/{name}") for name, df in tables.items())]
+        with ThreadPoolExecutor(len(writes)) as pool:
+            for done in [pool.submit(inheritable_thread_target(spark)(w)) for w in writes]:
+                done.result()
         fs.create(folder(f"{own}/{COMMIT}"), True).close()
         return True
 
