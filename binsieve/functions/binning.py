@@ -11,7 +11,8 @@ import struct
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from binsieve.functions.bits import MAX_LONG, MIN_LONG, float_bits
@@ -35,6 +36,10 @@ class Binning:
     def constant(self, value) -> Column:
         return F.lit(value)
 
+    def counts(self, df: DataFrame, value: Column) -> DataFrame:
+        """(bin_key, n): the keys of a table's rows and how many have each."""
+        return df.groupBy(self.key(value).alias("bin_key")).agg(F.count(F.lit(1)).alias("n"))
+
     def told(self) -> dict:
         """What ``from_told`` makes the same binning of; plain enough for JSON."""
         raise NotImplementedError
@@ -116,24 +121,69 @@ class Sigbits(Binning):
         return {"kind": "sigbits", "n": self.n, "type": self.kind.name}
 
 
+def rounded(value: float | None, digits: int) -> float | None:
+    """A value to ``digits`` significant decimal digits, by the C library's logarithm and power.
+
+    Whether a value halfway between two keys goes up or down depends on the last bits of both functions: those of
+    the C library are the reference's and DuckDB's, and those of the JVM are others.
+    """
+    if value is None or digits > 15 or not 0 < abs(value) < math.inf:
+        return value
+    if abs(value) < 2.0**-1022:
+        return math.copysign(0.0, value)
+    power = lambda n: math.pow(10.0, n) if n <= 308 else math.inf
+    log = math.log10(abs(value))
+    shift = math.floor(log) - (max(1, digits) - 1)
+    whole = float(math.floor(0.5 + math.pow(10.0, log - shift)))
+    return math.copysign(whole * power(shift) if shift > 0 else whole / power(-shift), value)
+
+
 @dataclass(frozen=True)
 class Precision(Binning):
-    """Round to ``digits`` significant decimal digits, half up; 0 digits round as 1 does, over 15 leave the value alone."""
+    """Round to ``digits`` significant decimal digits, half up; 0 digits round as 1 does, over 15 leave the value alone.
+
+    "Half" is as ``rounded`` has it. Built-in functions give the key of all values but those so near to a half, to a power
+    of ten or to the ends of the range that the last bits of a logarithm or a power count; an Arrow function rounds these.
+    """
 
     digits: int
 
-    def key(self, value: Column) -> Column:
-        x = F.abs(value.cast("double"))
-        if self.digits > 15:
-            return value.cast("double")
+    def _split(self, value: Column) -> tuple[Column, Column]:
+        """The key where built-in functions can tell it, else null, and the value where they can't, else null."""
+        value = value.cast("double")
+        x = F.abs(value)
         usual = (x >= 2.0**-1022) & (x < float("inf"))
-        safe = F.when(usual, x).otherwise(F.lit(1.0))
-        log = F.log10(safe)
+        log = F.log10(F.when(usual, x).otherwise(F.lit(2.0)))
         shift = F.floor(log) - (max(1, self.digits) - 1)
-        digits = F.floor(F.lit(0.5) + F.pow(F.lit(10.0), log - shift)).cast("double")
+        exact = F.pow(F.lit(10.0), log - shift)
+        # Over six times what two logarithms within 1.5 units of their last place, and a power of each, can differ by. Powers of ten
+        # are exact up to 22. One comparison, no OR: what is evaluated always is evaluated once.
+        slack = (F.abs(log) + 1) * 1e-14
+        near = F.least(F.abs(exact - F.floor(exact) - 0.5) / exact, F.abs(log - F.rint(log)), 22.5 - F.abs(shift)) <= slack
+        digits = F.floor(F.lit(0.5) + exact).cast("double")
         scaled = F.when(shift > 0, digits * F.pow(F.lit(10.0), shift)).when(shift < 0, digits / F.pow(F.lit(10.0), -shift)).otherwise(digits)
-        rounded = F.when(usual, scaled).when(x < 2.0**-1022, F.lit(0.0)).otherwise(x)
-        return F.when(value < 0, -rounded).otherwise(rounded)
+        told = F.when(near, F.lit(None)).when(usual, scaled).when(x < 2.0**-1022, F.lit(0.0)).otherwise(x)
+        return F.when(value < 0, -told).otherwise(told), F.when(near, value)
+
+    def _settled(self, told: Column, value: Column) -> Column:
+        digits = self.digits
+        by_library = F.arrow_udf(lambda batch: pa.array([rounded(v, digits) for v in batch.to_pylist()], pa.float64()), "double")
+        return F.coalesce(told, by_library(value))
+
+    def key(self, value: Column) -> Column:
+        return value.cast("double") if self.digits > 15 else self._settled(*self._split(value))
+
+    def counts(self, df: DataFrame, value: Column) -> DataFrame:
+        """As any binning's, but rows are counted first, so that the Arrow function sees distinct values only."""
+        if self.digits > 15:
+            return super().counts(df, value)
+        told, left = self._split(value)
+        first = df.groupBy(told.alias("told"), left.alias("left")).agg(F.count(F.lit(1)).alias("n"))
+        return first.groupBy(self._settled(F.col("told"), F.col("left")).alias("bin_key")).agg(F.sum("n").alias("n"))
+
+    def bound(self, value):
+        self.constant(value)
+        return F.lit(rounded(float(value), self.digits))
 
     def constant(self, value) -> Column:
         if isinstance(value, str):

@@ -103,7 +103,8 @@ class ColumnEngine:
     def count(self, query: Query) -> DataFrame:
         return self.select(query).agg(F.count(F.lit(1)).alias("n"))
 
-    def bin_keys(self, var: str) -> DataFrame:
-        """Populated keys with their counts, in key order."""
+    def bin_keys(self, var: str, nulls: bool = False) -> DataFrame:
+        """Populated keys with their counts, in key order; with ``nulls`` the count of nulls, if there are any, under a null key."""
         own = self.binnings[var]
-        return self.df.where(F.col(var).isNotNull()).groupBy(own.key(F.col(var)).alias("bin_key")).agg(F.count(F.lit(1)).alias("n")).orderBy(own.order(F.col("bin_key")))
+        rows = self.df if nulls else self.df.where(F.col(var).isNotNull())
+        return own.counts(rows, F.col(var)).orderBy(own.order(F.col("bin_key")))

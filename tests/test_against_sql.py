@@ -30,3 +30,11 @@ def test_bin_keys_order_has_one_zero(spark, tmp_path):
 
 def test_bin_sigbits_double_has_one_zero(spark, tmp_path):
     assert differences(spark, tmp_path, "customer", customers(spark), "bin_sigbits_double") == ({}, {})
+
+
+def test_bin_precision_rounds_halves_as_its_sql(spark, tmp_path):
+    halves = [1705.0, 21.95, 24.45, 30650.0, 7285.0, 85050.0]
+    odd = [None, None, 0.0, -0.0, 1000.0, 999.5, 999.4999999999999, 9.995e24, 1.005e-30, 2.2250738585072014e-308, 5e-324]
+    prices = halves + [-v for v in halves] + odd + [v / 100 for v in range(100000, 160000, 5)]
+    df = spark.createDataFrame(list(enumerate(prices)), "l_orderkey bigint, l_extendedprice double")
+    assert differences(spark, tmp_path, "lineitem", df, "bin_precision") == ({}, {})

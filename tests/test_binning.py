@@ -1,4 +1,5 @@
 import math
+import random
 import struct
 
 import pytest
@@ -7,8 +8,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from binsieve.functions import bits
-from binsieve.functions.binning import Cast, Explicit, Precision, Sigbits, binning
+from binsieve.functions.binning import Cast, Explicit, Precision, Sigbits, binning, rounded
 from binsieve.functions.types import TYPES, column_type
+from binsieve.operators.column_engine import ColumnEngine
+from binsieve.operators.index import build_index
+from binsieve.plans.terms import Query
 
 
 def keys(spark, values, kind, made):
@@ -76,6 +80,26 @@ def test_precision(spark):
     assert keys(spark, [1.23456], "float64", Precision(0)) == [1.0] and keys(spark, [1.23456], "float64", Precision(16)) == [1.23456]
 
 
+@pytest.mark.parametrize("digits", [1, 3, 9, 15])
+def test_precision_is_the_librarys(spark, digits):
+    draw = random.Random(digits)
+    ties = [(draw.randrange(10 ** (digits - 1), 10**digits) + 0.5) * 10.0 ** draw.randint(-20, 20) for _ in range(2000)]
+    values = ties + [math.nextafter(v, 0) for v in ties] + [draw.uniform(-1, 1) * 10.0 ** draw.randint(-307, 308) for _ in range(2000)]
+    values += [10.0**n for n in range(-307, 309)] + [1.7976931348623157e308, -0.0, math.inf]
+    assert keys(spark, values, "float64", Precision(digits)) == [rounded(v, digits) for v in values]
+
+
+def test_precision_of_constants(spark):
+    values = [21.95, -30650.0, 24.45, 1705.0, 7.0, None]
+    df, own = spark.createDataFrame(list(enumerate(values)), "rid int, x double"), {"x": Precision(3)}
+    for v in values[:-1]:
+        engine = ColumnEngine(df, own, "rid")
+        assert {r.rid for r in engine.evaluate(Query.range("x", v, v)).collect()} == {i for i, w in enumerate(values) if rounded(w, 3) == rounded(v, 3)}
+    assert [tuple(r) for r in ColumnEngine(df, own, "rid").bin_keys("x").collect()] == sorted((rounded(v, 3), 1) for v in values[:-1])
+    assert tuple(ColumnEngine(df, own, "rid").bin_keys("x", nulls=True).first()) == (None, 1)
+    assert [r[0] for r in build_index(df, "x", "rid", own["x"]).bins.orderBy("bin_no").select("bin_key").collect()] == sorted(rounded(v, 3) for v in values[:-1])
+
+
 def test_explicit(spark):
     bounds = (1, 2, 3, 4, 5, 8, 10, 20, 40, 60, 80, 100, 120, 140, 160, 180)
     values = list(range(-3, 190))
