@@ -22,14 +22,18 @@ from binsieve.llm.encoding import kept, packed, shared_classes, word_encoder
 from binsieve.sources.scratch import scratch_path
 
 MAGIC = b"BSTOKEN2"
-#: A block is closed at so many ids or documents; a longer document has a block of its own.
-BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 16
+#: A block is closed at so many ids or documents; a longer document has a block of its own. Blocks of 16 bits an id are then
+#: under half a region of a small heap, so that the JVM frees them young; larger ones pile up until a whole marking.
+BLOCK_IDS, BLOCK_DOCS = 1 << 17, 1 << 16
+#: Pages and row groups are closed after the block that fills them. Parquet asks for their size first at 100 rows else, and
+#: a task would hold all its blocks at once, when writing them and when reading them.
+STORED = {"compression": "zstd", "parquet.block.size": str(1 << 23), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: One select sample for so many documents.
 SAMPLE = 256
 #: Documents of a block have ids that differ by less than this.
 BLOCK_SPREAD = 1 << 62
 #: Bytes of text that make a shard, the most shards, and the ranges of ids that shards are put together from.
-SHARD_BYTES, SHARDS, RANGES = 1 << 26, 1 << 13, 1 << 14
+SHARD_BYTES, SHARDS, RANGES = 1 << 25, 1 << 13, 1 << 14
 _HEADER = struct.Struct("<8sBBBHIQqIIIIIII")
 
 
@@ -245,7 +249,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 2,
 
     # A task for each shard, by its number: a hash of so few numbers would give some tasks several and others none.
     dealt = source.mapInArrow(encode, "shard int, id bigint, ids binary").repartitionById(int(shard_of.max()) + 1, F.col("shard")).sortWithinPartitions("shard", "id", "ids")
-    dealt.mapInArrow(blocks, "shard int, block int, first bigint, n_ids bigint, data binary").write.option("compression", "zstd").parquet(path)
+    dealt.mapInArrow(blocks, "shard int, block int, first bigint, n_ids bigint, data binary").write.options(**STORED).parquet(path)
 
 
 def read_token_files(spark, path: str, id_column: str = "doc_id", keep_ids: bool = False, only: list[int] | None = None) -> DataFrame:

@@ -326,3 +326,28 @@ def test_shards_have_equal_bytes(spark):
         size[shard_of[np.searchsorted(bounds, i, side="right")]] += len(text)
     assert size.max() < 1.6 * size.mean() and size.min() > 0
     assert len(np.unique(shard_bounds(source, None)[1])) == 1
+
+
+def test_shards_are_stored_in_small_parts(spark, tmp_path):
+    """Neither a block nor a row group of a shard of 12 MB holds the whole shard, and all documents come back from them."""
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    with open(WORD, encoding="utf-8") as f:
+        vocabulary = [x[:-4] for x in json.load(f)["model"]["vocab"] if x.endswith("</w>") and x[:-4].isascii() and x[:-4].isalpha()]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(vocabulary, 20_000)) for _ in range(300)]
+    pq.write_table(pa.table({"doc_id": range(300), "text": texts}), str(tmp_path / "docs.parquet"))
+    path = tmp_path / "files"
+    write_token_files(spark.read.parquet(str(tmp_path / "docs.parquet")), str(path), WORD, shards=1)
+    (file,) = path.glob("*.parquet")
+    stored = pq.ParquetFile(file)
+    groups = [stored.metadata.row_group(k).total_byte_size for k in range(stored.num_row_groups)]
+    assert len(groups) > 1 and max(groups) < 0.8 * sum(groups)
+    assert max(len(x) for x in stored.read(["data"])["data"].to_pylist()) < 1 << 19
+    rows = sorted(read_token_files(spark, str(path)).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in rows] == list(range(300)) and [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    for k in (0, 149, 299):
+        assert rows[k].ids_crc32 == zlib.crc32(np.append(library(WORD, texts[k]), 2).astype("<u4").tobytes())
